@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..session import shuffle_width
 from .ordered import global_index
 from .spatial import exclude_within
 
-# Primes above 2^30: coprime to any smaller pool size.
+# Primes above 2^30: coprime to any smaller pool size.  Products stay below 2^61.
 MULTIPLIERS = (1073741827, 1073741831, 1073741833, 1073741839, 1073741843, 1073741857, 1073741891, 1073741909)
 BLOCK = 4096
 SLOTS_PER_DAY = 4
@@ -67,6 +69,8 @@ def day_matched_negatives(
     )
     primes = F.array(*[F.lit(p) for p in MULTIPLIERS])
     plan = plan.withColumn("a", F.element_at(primes, (F.pmod("slot", F.lit(len(MULTIPLIERS))) + 1).cast("int")))
+    too_big = F.raise_error(F.lit("grid has 2^30 cells or more; split it by region"))
+    plan = plan.withColumn("a", F.when(F.col("N") < (1 << 30), F.col("a")).otherwise(too_big))
     plan = plan.withColumn("b", F.pmod(F.col("slot") * 9973 + seed * 7919, F.col("N")))
     blocks = plan.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / BLOCK))))
     # an explicit number keeps adaptive execution from merging rows that are about to grow
@@ -93,11 +97,13 @@ def hyper_negatives(grid: DataFrame, events: DataFrame, n: int, dates: DataFrame
     spark = grid.sparkSession
     n_cells, n_dates = grid.count(), dates.count()
     space = n_cells * n_dates * SLOTS_PER_DAY
-    if space >= 1 << 31:
-        raise ValueError("index space must stay below 2^31; sample per year")
     taken_n = events.select(cell, date, window).distinct().count()
     steps = min(space, n + taken_n)
-    a, b = MULTIPLIERS[seed % len(MULTIPLIERS)], (seed * 7919) % space
+    # the largest odd step that keeps a * i inside 64 bits and shares no factor with the space
+    a = min(MULTIPLIERS[seed % len(MULTIPLIERS)], ((1 << 62) // space) | 1)
+    while math.gcd(a, space) != 1:
+        a += 2
+    b = (seed * 7919) % space
     walk = spark.range(0, steps, numPartitions=shuffle_width(spark))
     at = F.pmod(F.col("id") * a + b, F.lit(space))
     walk = walk.select(
@@ -147,16 +153,11 @@ def spatial_negatives(
     return drawn.where(F.col("_n") < n).drop("_h", "_round").withColumnRenamed("_n", "draw")
 
 
-def draw_dates(points: DataFrame, events: DataFrame, date: str, draw: str = "draw", seed: int = 42) -> DataFrame:
+def draw_dates(points: DataFrame, events: DataFrame, date: str, event_id: str, draw: str = "draw", seed: int = 42) -> DataFrame:
     """Dates drawn with replacement from the events' dates, so frequent dates stay frequent."""
-    counts = events.groupBy(date).agg(F.count(F.lit(1)).alias("_c"))
-    total = events.count()
-    w = Window.partitionBy(F.lit(0)).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per calendar date
-    spans = counts.withColumn("_from", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    slots = spans.withColumn("_slot", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_c") - 1)))
-    pick = F.pmod(mix(seed, draw), F.lit(total))
-    return points.withColumn("_slot", pick).join(slots.select("_slot", date), "_slot").drop("_slot")
+    dated = global_index(events.where(F.col(date).isNotNull()).select(date, event_id), [event_id], "_slot")
+    total = events.agg(F.count(date)).scalar()
+    return points.withColumn("_slot", F.pmod(mix(seed, draw), total)).join(dated.drop(event_id), "_slot").drop("_slot")
 
 
 def random_negatives(spark, events, bbox: tuple[float, float, float, float], n: int, km: float, event_lat, event_lon, event_id, seed: int = 42, over: int = 2) -> DataFrame:
