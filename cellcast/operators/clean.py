@@ -125,7 +125,7 @@ def validation_summary(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     flat = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.when(c, 1)).alias(f"r{i}") for i, c in enumerate(rules.values())])
     rows = [F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("invalid")) for i, n in enumerate(rules)]
     out = flat.select("_rows", F.explode(F.array(*rows)).alias("m")).select("_rows", "m.*")
-    return out.select("rule", "invalid", F.round(F.col("invalid") * 100.0 / F.col("_rows"), 4).alias("pct"))
+    return out.select("rule", "invalid", F.round(F.try_divide(F.col("invalid") * 100.0, F.col("_rows")), 4).alias("pct"))
 
 
 def violation_samples(df: DataFrame, rules: dict[str, Column], row_id: str, n: int = SAMPLE_IDS) -> DataFrame:

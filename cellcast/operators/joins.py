@@ -86,7 +86,7 @@ def coverage_join(points: DataFrame, bounds: list[dict], x: str, y: str, label:
 
 def coverage_gaps(points, bounds, x, y, label, limit_pct: float = 2.0) -> DataFrame:
     out = coverage_join(points, bounds, x, y, label)
-    pct = (F.col("outside_pos") + F.col("outside_neg")) * 100.0 / F.col("rows")
+    pct = F.try_divide((F.col("outside_pos") + F.col("outside_neg")) * 100.0, F.col("rows"))
     return out.withColumn("outside_pct", F.round(pct, 4)).withColumn("flagged", pct > limit_pct)
 
 

@@ -45,11 +45,11 @@ def score_table(df: DataFrame, score: str, label: str, by=()) -> DataFrame:
 def auroc(table: DataFrame, by=()) -> DataFrame:
     """Tie-aware area: every negative meets the positives above it and half its ties."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
-    return table.groupBy(*_names(by)).agg((area / (F.max("P") * F.max("N"))).alias("auroc"))
+    return table.groupBy(*_names(by)).agg(F.try_divide(area, F.max("P") * F.max("N")).alias("auroc"))
 
 
 def average_precision(table: DataFrame, by=()) -> DataFrame:
-    step = F.col("pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    step = F.try_divide(F.col("pos"), F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))
     return table.groupBy(*_names(by)).agg(F.sum(step).alias("average_precision"))
 
 
@@ -87,11 +87,11 @@ def threshold_metrics(df: DataFrame, score: str, label: str, threshold: float, b
 
 
 def pr_curve(table: DataFrame) -> DataFrame:
-    return table.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.col("tp") / F.col("P"))
+    return table.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", "P"))
 
 
 def roc_curve(table: DataFrame) -> DataFrame:
-    return table.withColumn("tpr", F.col("tp") / F.col("P")).withColumn("fpr", F.col("fp") / F.col("N"))
+    return table.withColumn("tpr", F.try_divide("tp", "P")).withColumn("fpr", F.try_divide("fp", "N"))
 
 
 def best_f1_threshold(table: DataFrame, by=()) -> DataFrame:

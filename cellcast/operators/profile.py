@@ -42,7 +42,7 @@ def melt(df: DataFrame, cols: list[str], kind: str = "double") -> DataFrame:
 
 
 def share(part: Column, whole: Column, digits: int) -> Column:
-    return F.round(part * 100.0 / whole, digits)
+    return F.round(F.try_divide(part * 100.0, whole), digits)
 
 
 # ---------------------------------------------------------------- counts
@@ -75,7 +75,7 @@ def missing_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         "_rows",
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in cols])).alias("m"),
     )
-    pct = F.col("m.missing") * 100.0 / F.col("_rows")
+    pct = F.try_divide(F.col("m.missing") * 100.0, F.col("_rows"))
     tier = F.when(F.col("missing_pct") >= MISSING_TIERS[0][0], MISSING_TIERS[0][1])
     for limit, name in MISSING_TIERS[1:]:
         tier = tier.when(F.col("missing_pct") >= limit, name)
@@ -481,7 +481,7 @@ def column_quality(df: DataFrame, cols: list[str] | None = None, non_negative=NO
     is_num = F.col("column").isin(*numeric) if numeric else F.lit(False)
     present = F.col("rows") - F.col("missing")
     constant = F.col("unique") <= 1
-    dominant = F.when(constant, F.lit(0.0)).otherwise(F.col("top.n") / present)
+    dominant = F.when(constant, F.lit(0.0)).otherwise(F.try_divide(F.col("top.n"), present))
     hinted = F.lit(False)
     for hint in non_negative:
         hinted = hinted | F.lower("column").contains(hint)
