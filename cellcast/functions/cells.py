@@ -67,19 +67,16 @@ def cell_id(lat, lon, res: int, lat0: float = DEFAULT_LAT0) -> Column:
     return pack(res, q, r)
 
 
-def _by_resolution(cell: Column, make) -> Column:
-    res = cell_resolution(cell)
-    out = None
-    for level in EDGE_KM:
-        out = F.when(res == level, make(level)) if out is None else out.when(res == level, make(level))
-    return out
+def _edge_of(cell: Column) -> Column:
+    edges = F.array(*[F.lit(EDGE_KM[level]) for level in sorted(EDGE_KM)])
+    return F.get(edges, cell_resolution(cell))
 
 
 def cell_center(cell: Column | str, lat0: float = DEFAULT_LAT0, digits: int | None = 6, res: int | None = None) -> tuple[Column, Column]:
     """(lat, lon) of the centre.  Naming ``res`` saves the per-row resolution test."""
     cell = as_col(cell)
     q, r = cell_axes(cell)
-    edge = F.lit(EDGE_KM[res]) if res is not None else _by_resolution(cell, lambda level: F.lit(EDGE_KM[level]))
+    edge = F.lit(EDGE_KM[res]) if res is not None else _edge_of(cell)
     lat = r * 1.5 * edge / KM_PER_DEG
     lon = (q + r / 2.0) * math.sqrt(3.0) * edge / _scale(lat0)
     if digits is None:
@@ -96,7 +93,7 @@ def cell_boundary(cell: Column | str, lat0: float = DEFAULT_LAT0) -> Column:
     """Six vertices as ARRAY<STRUCT<lat, lon>>, counter-clockwise from the upper right."""
     cell = as_col(cell)
     lat, lon = cell_center(cell, lat0, digits=None)
-    edge = _by_resolution(cell, lambda level: F.lit(EDGE_KM[level]))
+    edge = _edge_of(cell)
     corners = []
     for k in range(6):
         angle = math.radians(30 + 60 * k)

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import profile_queries  # noqa: F401
+from . import model_queries, profile_queries, table_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
