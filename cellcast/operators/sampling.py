@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_bbox
-from ..session import shuffle_width
+from ..session import cut_lineage, shuffle_width
 from .ordered import global_index
 from .spatial import exclude_within
 
@@ -142,9 +142,10 @@ def spatial_negatives(
 
     Without replacement while the pool lasts; a short pool is gone through again.
     """
-    far = exclude_within(pool, events, lat, lon, event_lat, event_lon, event_id, km)
+    # written once: it is counted, cut into bins and ranked
+    far = cut_lineage(exclude_within(pool, events, lat, lon, event_lat, event_lon, event_id, km))
     ranked = global_index(far.withColumn("_h", order), ["_h", pool_id], "_n")
-    left = ranked.count()
+    left = far.count()
     if left == 0:
         raise ValueError("no pool point lies outside the exclusion radius")
     rounds = -(-n // left)
@@ -153,11 +154,11 @@ def spatial_negatives(
     return drawn.where(F.col("_n") < n).drop("_h", "_round").withColumnRenamed("_n", "draw")
 
 
-def draw_dates(points: DataFrame, events: DataFrame, date: str, event_id: str, draw: str = "draw", seed: int = 42) -> DataFrame:
+def draw_dates(points: DataFrame, events: DataFrame, date: str, event_id: str, draw: str = "draw", seed: int = 42, key: Column | None = None) -> DataFrame:
     """Dates drawn with replacement from the events' dates, so frequent dates stay frequent."""
     dated = global_index(events.where(F.col(date).isNotNull()).select(date, event_id), [event_id], "_slot")
     total = events.agg(F.count(date)).scalar()
-    return points.withColumn("_slot", F.pmod(mix(seed, draw), total)).join(dated.drop(event_id), "_slot").drop("_slot")
+    return points.withColumn("_slot", F.pmod(mix(seed, draw) if key is None else key, total)).join(dated.drop(event_id), "_slot").drop("_slot")
 
 
 def random_negatives(spark, events, bbox: tuple[float, float, float, float], n: int, km: float, event_lat, event_lon, event_id, seed: int = 42, over: int = 2) -> DataFrame:
@@ -169,7 +170,7 @@ def random_negatives(spark, events, bbox: tuple[float, float, float, float], n:
             (uniform(seed, "id") * (north - south) + south).alias("lat"),
             (uniform(seed + 1, "id") * (east - west) + west).alias("lon"),
         )
-        far = exclude_within(drawn, events, "lat", "lon", event_lat, event_lon, event_id, km)
+        far = cut_lineage(exclude_within(drawn, events, "lat", "lon", event_lat, event_lon, event_id, km))
         if far.count() >= n:
             return global_index(far, ["id"], "_n").where(F.col("_n") < n).drop("_n")
         if over > 1024:

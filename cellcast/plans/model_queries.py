@@ -70,10 +70,15 @@ def _(t):
     return rounded(D.observations_per_cell(_labels(t)))
 
 
-@query("n2_hyper_negatives")
+@query("n2_hyper_negatives", f"""with {POS_SQL}, {GRID_SQL}, dts as (select date_utc, row_number() over (order by date_utc)-1 as di from (select distinct date_utc from pos)), tk as (select distinct cell, date_utc, window_hour from pos),
+ sp as (select *, nc*nd*4 as space from (select (select count(*) from grid) as nc, (select count(*) from dts) as nd, (select count(*) from tk) as nt, (select 5*count(*) from pos) as want)),
+ st as (select *, least({N.MULTIPLIERS[42 % 8]}, (4611686018427387904//space) | 1) as a0, least(space, want+nt) as steps, (42*7919)%space as b from sp), mul as (select min(a0+2*j) as a from st, range(1000) t(j) where gcd(a0+2*j, space)=1),
+ wk as (select i, (i*a+b)%space as place, nc, nd, want from (select *, unnest(range(steps)) as i from st), mul), nm as (select i, place%nc as cell, date_utc, cast(place//(nc*nd)*6 as integer) as window_hour, want from wk join dts on di=(place//nc)%nd),
+ fr as (select *, row_number() over (order by i) as rn from nm where not exists (select 1 from tk where tk.cell=nm.cell and tk.date_utc=nm.date_utc and tk.window_hour=nm.window_hour)) select cell, date_utc, window_hour, 0 as label from fr where rn<=want""")
 def _(t):
     dates = global_index(pos(t).select("date_utc").distinct(), ["date_utc"], "date_idx")
-    return N.hyper_negatives(grid(t).select("cell", "idx"), pos(t), 5 * 2978, dates).select("cell", "date_utc", "window_hour", "label")
+    wanted = 5 * pos(t).count()
+    return N.hyper_negatives(grid(t).select("cell", "idx"), pos(t), wanted, dates).select("cell", "date_utc", "window_hour", "label")
 
 
 @query("n3_valid_pixels", 'select cast(l_suppkey as integer) as "row", l_linenumber as col from lineitem where l_returnflag in (\'A\',\'N\',\'R\') and l_quantity<=45 group by 1,2 having count(distinct l_returnflag)=3')
@@ -92,10 +97,10 @@ def _(t):
     return out.select("cell", "draw")
 
 
-@query("n3_draw_dates")
+@query("n3_draw_dates", f"with {POS_SQL}, {GRID_SQL}, d as (select date_utc, row_number() over (order by o_orderkey)-1 as s, count(*) over () as n from pos) select g.cell, g.idx as draw, d.date_utc from grid g join d on d.s=(g.idx*7919)%d.n")
 def _(t):
     points = grid(t).select("cell", F.col("idx").alias("draw"))
-    return N.draw_dates(points, pos(t), "date_utc", "o_orderkey")
+    return N.draw_dates(points, pos(t), "date_utc", "o_orderkey", key=F.col("draw") * 7919)
 
 
 @query("n4_random_negatives")
@@ -397,9 +402,9 @@ def _axes(res: int, src: str, out: str) -> str:
 
 @query("a37_rollup_cells", f"""with {_SCORED8}, ctr as (select cell, hr*1.5*0.4614::double/{C.KM_PER_DEG!r}::double as lat, (hq+hr/2.0)*sqrt(3.0::double)*0.4614::double/{C._scale(31.0)!r}::double as lon, risk_score, label from cs),
  {_axes(5, "ctr", "p5")}, {_axes(4, "ctr", "p4")}, u as (select 5 as resolution, {_pack_sql(5)} as cell, risk_score, label from p5 union all select 4, {_pack_sql(4)}, risk_score, label from p4 union all select 8, cell, risk_score, label from cs)
- select resolution, cell, round(avg(risk_score),6) as mean_score, cast(sum(label) as bigint) as events, count(*) as rows from u group by 1,2""")
+ select resolution, cell, round(avg(risk_score),9) as mean_score, cast(sum(label) as bigint) as events, count(*) as rows from u group by 1,2""")
 def _(t):
-    return rounded(R.rollup_cells(_cells_scored(t), (4, 5)))
+    return rounded(R.rollup_cells(_cells_scored(t), (4, 5)), 9)
 
 
 @query("s8_export_scores", f"with {_SCORED8} select cell, {r('risk_score', 3)} as risk_score, label, case when {r('risk_score', 3)}>=0.8 then 'CRITICAL' when {r('risk_score', 3)}>=0.65 then 'HIGH' when {r('risk_score', 3)}>=0.5 then 'MEDIUM-HIGH' when {r('risk_score', 3)}>=0.35 then 'MEDIUM' when {r('risk_score', 3)}>=0.2 then 'LOW-MEDIUM' else 'LOW' end as band from cs")
@@ -412,9 +417,10 @@ def _(t):
     return R.export_json(R.rollup_cells(_cells_scored(t), (4, 5)))
 
 
-@query("u3_slot_rows", f"with {_DATASET_SQL} select cell, label, split from ds where date_utc=date '1997-06-10' and window_hour=6")
+@query("u3_slot_rows", f"with {_DATASET_SQL} select cell, label, split from ds join (select date_utc, window_hour from pos order by date_utc, window_hour limit 1) using (date_utc, window_hour)")
 def _(t):
-    return R.slot_rows(_dataset(t), "1997-06-10", 6).select("cell", "label", "split")
+    first = pos(t).agg(F.min(F.struct("date_utc", "window_hour")).alias("s")).first()["s"]
+    return R.slot_rows(_dataset(t), str(first["date_utc"]), first["window_hour"]).select("cell", "label", "split")
 
 
 # ---------------------------------------------------------------- streams
