@@ -22,7 +22,7 @@ def _names(cols) -> list[str]:
 
 def with_bin(df: DataFrame, keys: list[str], name: str = "_bin") -> DataFrame:
     """Adds the ordinal of the value bin that holds the row's key tuple."""
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    key = F.col(keys[0]) if len(keys) == 1 else F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     sample = (
         df.select(key.alias("key"), F.xxhash64(*keys).alias("h"))
         .orderBy("h", "key")
@@ -35,17 +35,14 @@ def with_bin(df: DataFrame, keys: list[str], name: str = "_bin") -> DataFrame:
             lambda i: F.get("s", F.floor(i * F.size("s") / BINS).cast("int")),
         ).alias("cuts")
     )
+    out = df.withColumn("_cuts", cuts.scalar()).withColumn("_at", F.lit(0))
+    # binary search, one projection per halving so that every step is compiled
     step = BINS // 2
-    steps = []
     while step:
-        steps.append(step)
+        passed = F.coalesce(F.get("_cuts", F.col("_at") + (step - 1)) <= key, F.lit(False))
+        out = out.withColumn("_at", F.col("_at") + F.when(passed, step).otherwise(0))
         step //= 2
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda acc, s: F.when(F.get("_cuts", acc + s - 1) <= key, acc + s).otherwise(acc),
-    )
-    return df.withColumn("_cuts", cuts.scalar()).withColumn(name, found).drop("_cuts")
+    return out.drop("_cuts").withColumnRenamed("_at", name)
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

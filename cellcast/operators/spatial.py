@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_KM, chord_to_km, in_ring, km_to_chord, unit_xyz
+from ..functions.geo import chord_to_km, in_ring, km_to_chord, unit_xyz
+from ..session import shuffle_width
 
 ROOT_DEG = 64.0
 FACTOR = 4
@@ -70,8 +71,8 @@ def leaf_level(spots: DataFrame, leaf_sites: int = LEAF_SITES) -> int:
     return MAX_LEVEL
 
 
-def _children(spots: DataFrame, level: int, dims: int) -> DataFrame:
-    """Occupied tiles of ``level`` grouped under their parent tile (at most 16 each)."""
+def _tiles(spots: DataFrame, level: int, dims: int) -> DataFrame:
+    """Occupied tiles of ``level`` with their parent (at most 16 per parent)."""
     ty, tx = _tile("slat", "slon", level)
     tiles = spots.groupBy(ty.alias("ty"), tx.alias("tx")).agg(
         *[F.min(f"s{i}").alias(f"lo{i}") for i in range(dims)],
@@ -79,53 +80,48 @@ def _children(spots: DataFrame, level: int, dims: int) -> DataFrame:
         F.min(F.struct(*[f"s{i}" for i in range(dims)])).alias("rep"),
         F.sum("copies").alias("copies"),
     )
-    box = F.struct(
-        "ty",
-        "tx",
-        F.array(*[F.col(f"lo{i}") for i in range(dims)]).alias("lo"),
-        F.array(*[F.col(f"hi{i}") for i in range(dims)]).alias("hi"),
-        F.array(*[F.col("rep")[f"s{i}"] for i in range(dims)]).alias("rep"),
-        "copies",
-    )
-    if level == 0:
-        return tiles.agg(F.collect_list(box).alias("kids"))
-    grouped = tiles.groupBy(
-        F.floor(F.col("ty") / FACTOR).alias("pty"), F.floor(F.col("tx") / FACTOR).alias("ptx")
-    ).agg(F.collect_list(box).alias("kids"))
-    return F.broadcast(grouped) if level <= BROADCAST_LEVEL else grouped
+    up = FACTOR if level else 1 << 20
+    tiles = tiles.withColumn("pty", F.floor(F.col("ty") / up)).withColumn("ptx", F.floor(F.col("tx") / up))
+    return F.broadcast(tiles) if level <= BROADCAST_LEVEL else tiles
 
 
 def _sum(parts) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _gap2(t: Column, dims: int) -> Column:
+def _gap2(dims: int) -> Column:
     """Squared distance from the point to the nearest spot of the box."""
     parts = []
     for i in range(dims):
-        p, lo, hi = F.col(f"p{i}"), t["lo"][i], t["hi"][i]
-        d = F.when(p < lo, lo - p).when(p > hi, p - hi).otherwise(F.lit(0.0))
+        p, lo, hi = F.col(f"p{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
+        d = F.greatest(lo - p, p - hi, F.lit(0.0))
         parts.append(d * d)
     return _sum(parts)
 
 
-def _far2(t: Column, dims: int) -> Column:
+def _far2(dims: int) -> Column:
     """Squared distance to the farthest corner of the box."""
     parts = []
     for i in range(dims):
         p = F.col(f"p{i}")
-        d = F.greatest(F.abs(p - t["lo"][i]), F.abs(p - t["hi"][i]))
+        d = F.greatest(F.abs(p - F.col(f"lo{i}")), F.abs(p - F.col(f"hi{i}")))
         parts.append(d * d)
     return _sum(parts)
 
 
-def _rep2(t: Column, dims: int) -> Column:
-    return _sum([(F.col(f"p{i}") - t["rep"][i]) * (F.col(f"p{i}") - t["rep"][i]) for i in range(dims)])
+def _rep2(dims: int) -> Column:
+    return _sum([(F.col(f"p{i}") - F.col(f"rep.s{i}")) * (F.col(f"p{i}") - F.col(f"rep.s{i}")) for i in range(dims)])
+
+
+def _spot2(dims: int) -> Column:
+    return _sum([(F.col(f"p{i}") - F.col(f"s{i}")) * (F.col(f"p{i}") - F.col(f"s{i}")) for i in range(dims)])
 
 
 def _query_spots(points: DataFrame, lat: str, lon: str, metric: str) -> DataFrame:
     clean = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     spots = clean.select(F.col(lat).cast("double").alias("qlat"), F.col(lon).cast("double").alias("qlon")).distinct()
+    # a fixed number of parts: adaptive execution would merge rows that are about to grow
+    spots = spots.repartition(shuffle_width(points.sparkSession), "qlat", "qlon")
     return spots.select("*", *[c.alias(f"p{i}") for i, c in enumerate(_coords(metric, "qlat", "qlon"))])
 
 
@@ -152,39 +148,27 @@ def nearest_join(
     """
     spots, dims = _distinct_sites(sites, site_lat, site_lon, site_id, metric)
     depth = leaf_level(spots, leaf_sites)
-    pcols = [f"p{i}" for i in range(dims)]
-    keys = ["qlat", "qlon", *pcols]
+    keys = ["qlat", "qlon", *[f"p{i}" for i in range(dims)]]
     cap = None
     if max_distance is not None:
         c = km_to_chord(max_distance) if metric == "haversine" else max_distance
         cap = c * c * (1 + SLACK) + SLACK * SLACK
-
-    def prune(frame: DataFrame) -> DataFrame:
-        best = F.array_min(F.transform("kids", lambda t: _rep2(t, dims)))
-        limit = best * (1 + SLACK) + SLACK * SLACK
-        if cap is not None:
-            limit = F.least(limit, F.lit(cap))
-        # positional lambda column is not visible inside filter, so the limit is a column
-        frame = frame.withColumn("_limit", limit)
-        return frame.withColumn("kids", F.filter("kids", lambda t: _gap2(t, dims) <= F.col("_limit"))).drop("_limit")
-
-    walk = _query_spots(points, lat, lon, metric).withColumn("kids", _children(spots, 0, dims).scalar())
-    walk = prune(walk)
-    for level in range(1, depth + 1):
-        open_tiles = walk.select(*keys, F.explode("kids").alias("t")).select(
-            *keys, F.col("t.ty").alias("pty"), F.col("t.tx").alias("ptx")
-        )
-        walk = (
-            open_tiles.join(_children(spots, level, dims), ["pty", "ptx"])
-            .groupBy(*keys)
-            .agg(F.flatten(F.collect_list("kids")).alias("kids"))
+    # the distinct points are already spread by position, so no level shuffles them again
+    # while its tiles are broadcast
+    around = Window.partitionBy("qlat", "qlon")
+    walk = _query_spots(points, lat, lon, metric).select("*", *[F.lit(0).cast("long").alias(c) for c in ("pty", "ptx")])
+    for level in range(depth + 1):
+        near = walk.join(_tiles(spots, level, dims), ["pty", "ptx"]).select(
+            *keys, "ty", "tx", _gap2(dims).alias("gap2"), _rep2(dims).alias("rep2")
         )
-        walk = prune(walk)
+        if cap is not None:
+            near = near.where(F.col("gap2") <= cap)
+        near = near.withColumn("limit", F.min("rep2").over(around) * (1 + SLACK) + SLACK * SLACK)
+        walk = near.where(F.col("gap2") <= F.col("limit")).select(*keys, F.col("ty").alias("pty"), F.col("tx").alias("ptx"))
     ty, tx = _tile("slat", "slon", depth)
-    leaves = spots.select(ty.alias("ty"), tx.alias("tx"), "sid", *[f"s{i}" for i in range(dims)])
-    pairs = walk.select(*keys, F.explode("kids").alias("t")).select(*keys, "t.ty", "t.tx").join(leaves, ["ty", "tx"])
-    d2 = _sum([(F.col(f"p{i}") - F.col(f"s{i}")) * (F.col(f"p{i}") - F.col(f"s{i}")) for i in range(dims)])
-    best = pairs.groupBy("qlat", "qlon").agg(F.min(F.struct(d2.alias("d2"), "sid")).alias("b"))
+    leaves = spots.select(ty.alias("pty"), tx.alias("ptx"), "sid", *[f"s{i}" for i in range(dims)])
+    pairs = walk.join(leaves, ["pty", "ptx"])
+    best = pairs.groupBy("qlat", "qlon").agg(F.min(F.struct(_spot2(dims).alias("d2"), "sid")).alias("b"))
     found = best.select("qlat", "qlon", F.col("b.sid").alias("site_id"), _to_metric(F.col("b.d2"), metric).alias("distance"))
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
@@ -225,44 +209,36 @@ def count_within(points, sites, lat, lon, site_lat, site_lon, site_id, kms: list
     pcols = [f"p{i}" for i in range(dims)]
     keys = ["qlat", "qlon", *pcols, "km", "c2"]
     radii = F.array(*[F.struct(F.lit(float(k)).alias("km"), F.lit(km_to_chord(k) ** 2).alias("c2")) for k in kms])
-
-    def settle(frame: DataFrame) -> DataFrame:
-        def inside(t: Column) -> Column:
-            return _far2(t, dims) < F.col("c2") * (1 - SLACK)
-
-        done = F.aggregate(F.filter("kids", inside), F.lit(0).cast("long"), lambda a, t: a + t["copies"])
-        frame = frame.withColumn("seen", F.col("seen") + done)
-        border = F.filter("kids", lambda t: ~inside(t) & (_gap2(t, dims) <= F.col("c2") * (1 + SLACK)))
-        return frame.withColumn("kids", border)
-
     walk = _query_spots(points, lat, lon, "haversine")
     walk = walk.select("*", F.explode(radii).alias("r")).select("qlat", "qlon", *pcols, "r.km", "r.c2")
-    walk = walk.withColumn("kids", _children(spots, 0, dims).scalar()).withColumn("seen", F.lit(0).cast("long"))
-    walk = settle(walk)
-    for level in range(1, depth + 1):
-        open_tiles = walk.select(*keys, "seen", F.explode_outer("kids").alias("t")).select(
-            *keys, "seen", F.col("t.ty").alias("pty"), F.col("t.tx").alias("ptx")
-        )
-        walk = (
-            open_tiles.join(_children(spots, level, dims), ["pty", "ptx"], "left")
-            .groupBy(*keys)
-            .agg(F.max("seen").alias("seen"), F.flatten(F.collect_list("kids")).alias("kids"))
+    zero = F.lit(0).cast("long")
+    walk = walk.select(*keys, zero.alias("pty"), zero.alias("ptx"), F.lit(None).cast("long").alias("n"))
+    # settled counts travel along under keys that match no tile, spread to avoid a hot key
+    away = -1 - F.pmod(F.xxhash64("qlat", "qlon"), F.lit(1 << 20))
+    for level in range(depth + 1):
+        met = walk.join(_tiles(spots, level, dims), ["pty", "ptx"], "left")
+        met = met.select(*keys, "n", "pty", "ptx", "ty", "tx", "copies", _gap2(dims).alias("gap2"), _far2(dims).alias("far2"))
+        inside = F.col("far2") < F.col("c2") * (1 - SLACK)
+        border = ~inside & (F.col("gap2") <= F.col("c2") * (1 + SLACK))
+        met = met.where(F.col("n").isNotNull() | inside | border)
+        settled = F.col("n").isNotNull() | inside
+        walk = met.select(
+            *keys,
+            F.when(settled, away).otherwise(F.col("ty")).alias("pty"),
+            F.when(settled, away).otherwise(F.col("tx")).alias("ptx"),
+            F.when(F.col("n").isNotNull(), F.col("n")).when(inside, F.col("copies")).alias("n"),
         )
-        walk = settle(walk)
     ty, tx = _tile("slat", "slon", depth)
-    leaves = spots.select(ty.alias("ty"), tx.alias("tx"), "copies", *[f"s{i}" for i in range(dims)])
-    pairs = (
-        walk.select(*keys, "seen", F.explode_outer("kids").alias("t"))
-        .select(*keys, "seen", "t.ty", "t.tx")
-        .join(leaves, ["ty", "tx"], "left")
-    )
-    d2 = _sum([(F.col(f"p{i}") - F.col(f"s{i}")) * (F.col(f"p{i}") - F.col(f"s{i}")) for i in range(dims)])
-    hit = F.when(d2 <= F.col("c2"), F.col("copies")).otherwise(0)
-    counts = pairs.groupBy("qlat", "qlon", "km").agg((F.max("seen") + F.sum(hit)).alias("n"))
+    leaves = spots.select(ty.alias("pty"), tx.alias("ptx"), "copies", *[f"s{i}" for i in range(dims)])
+    pairs = walk.join(leaves, ["pty", "ptx"], "left")
+    hit = F.when(F.col("n").isNotNull(), F.col("n")).when(_spot2(dims) <= F.col("c2"), F.col("copies")).otherwise(0)
+    counts = pairs.groupBy("qlat", "qlon", "km").agg(F.sum(hit).alias("n"))
     wide = counts.groupBy("qlat", "qlon").agg(
         *[F.max(F.when(F.col("km") == float(k), F.col("n"))).alias(f"within_{k:g}") for k in kms]
     )
-    return _attach(points, wide, lat, lon, [f"within_{k:g}" for k in kms])
+    names = [f"within_{k:g}" for k in kms]
+    out = _attach(points, wide, lat, lon, names)
+    return out.select(*points.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
 def curvilinear_map(cells, grid_points, lat, lon, p_lat, p_lon, p_id, margin_deg: float = 0.5) -> DataFrame:

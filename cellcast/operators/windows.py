@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,7 +165,9 @@ def focal_3x3(pixels: DataFrame, value: str, res: float, by=()) -> DataFrame:
 
     dy = gradient(F.col("n.o"), F.col("b.o"))
     dx = gradient(F.col("s.w"), F.col("s.e"))
-    aspect = F.atan2(F.col("dy"), -F.col("dx"))
+    # flat ground has the direction of (0, -0.0), which is a half turn
+    flat = (F.col("dx") == 0) & (F.col("dy") == 0)
+    aspect = F.when(flat, F.lit(math.pi)).otherwise(F.atan2(F.col("dy"), -F.col("dx")))
     terms = three.select(
         *by, "row", "col", o.alias(value), dy.alias("dy"), dx.alias("dx"),
         F.sqrt(squares / F.greatest(known, F.lit(1))).alias("tri"),

@@ -140,7 +140,8 @@ def _(t):
 def _dataset(t):
     static = grid(t).select("cell", F.col("region").alias("whp"), F.col("c_acctbal").alias("cfl"), F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon"))
     w = weather(t).select("px", F.col("d").alias("date_utc"), "erc", "vs", "tmmx")
-    labels = _labels(t).withColumn("px", cell_px(t))
+    # written once: the label table feeds the joins and the trailing window
+    labels = cut_lineage(_labels(t).withColumn("px", cell_px(t)))
     out = D.join_static(labels, static)
     out = D.join_weather(out, w, ("px", "date_utc"))
     trail = D_trailing(t, labels)
@@ -349,11 +350,11 @@ def _(t):
 def _cells_scored(t):
     """Every grid point as a res-8 cell with a risk score and an event label."""
     return grid(t).select(
-        C.cell_id("lat", "lon", 8).alias("cell"), "idx", "region", F.round((F.col("c_acctbal") + 1000) / 11000.0, 6).alias("risk_score"), F.pmod("region", F.lit(2)).cast("int").alias("label")
+        C.cell_id("lat", "lon", 8).alias("cell"), "idx", "region", ((F.col("c_acctbal") + 1000) / 11007.0).alias("risk_score"), F.pmod("region", F.lit(2)).cast("int").alias("label")
     )
 
 
-_SCORED8 = f"""{GRID_SQL}, {_cell_sql(8, "idx, region, c_acctbal, cell")}, cs as (select {_pack_sql(8)} as cell, hq, hr, idx, region, {r("(c_acctbal+1000)/11000.0::double")} as risk_score, cast(region%2 as integer) as label from ax)"""
+_SCORED8 = f"""{GRID_SQL}, {_cell_sql(8, "idx, region, c_acctbal, cell")}, cs as (select {_pack_sql(8)} as cell, hq, hr, idx, region, (c_acctbal+1000)/11007.0::double as risk_score, cast(region%2 as integer) as label from ax)"""
 
 
 @query("w8_risk_rank", f"with {_SCORED8} select region, idx, risk_score, row_number() over (partition by region order by risk_score desc, idx) as rank from cs")
@@ -402,9 +403,9 @@ def _axes(res: int, src: str, out: str) -> str:
 
 @query("a37_rollup_cells", f"""with {_SCORED8}, ctr as (select cell, hr*1.5*0.4614::double/{C.KM_PER_DEG!r}::double as lat, (hq+hr/2.0)*sqrt(3.0::double)*0.4614::double/{C._scale(31.0)!r}::double as lon, risk_score, label from cs),
  {_axes(5, "ctr", "p5")}, {_axes(4, "ctr", "p4")}, u as (select 5 as resolution, {_pack_sql(5)} as cell, risk_score, label from p5 union all select 4, {_pack_sql(4)}, risk_score, label from p4 union all select 8, cell, risk_score, label from cs)
- select resolution, cell, round(avg(risk_score),9) as mean_score, cast(sum(label) as bigint) as events, count(*) as rows from u group by 1,2""")
+ select resolution, cell, round(avg(risk_score),6) as mean_score, cast(sum(label) as bigint) as events, count(*) as rows from u group by 1,2""")
 def _(t):
-    return rounded(R.rollup_cells(_cells_scored(t), (4, 5)), 9)
+    return rounded(R.rollup_cells(_cells_scored(t), (4, 5)))
 
 
 @query("s8_export_scores", f"with {_SCORED8} select cell, {r('risk_score', 3)} as risk_score, label, case when {r('risk_score', 3)}>=0.8 then 'CRITICAL' when {r('risk_score', 3)}>=0.65 then 'HIGH' when {r('risk_score', 3)}>=0.5 then 'MEDIUM-HIGH' when {r('risk_score', 3)}>=0.35 then 'MEDIUM' when {r('risk_score', 3)}>=0.2 then 'LOW-MEDIUM' else 'LOW' end as band from cs")

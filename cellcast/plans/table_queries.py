@@ -564,14 +564,14 @@ def _(t):
     return J.with_slot(grid(t).select("cell"), "2020-07-04", 18)
 
 
-@query("j20_count_within", f"with {GRID_SQL}, {SITES_SQL} select cell, " + ", ".join(f"count(*) filter (where {_HAV}<={k}) as within_{k}" for k in (20, 60, 150, 400)) + " from grid, sites group by 1")
+@query("j20_count_within", f"with {GRID_SQL}, {SITES_SQL} select cell, " + ", ".join(f"count(*) filter (where {_HAV}<={k}) as within_{k}" for k in (5, 20, 60, 150)) + " from grid, sites group by 1")
 def _(t):
-    return SP.count_within(grid(t), sites(t), "lat", "lon", "slat", "slon", "sid", [20, 60, 150, 400], leaf_sites=4).select("cell", "within_20", "within_60", "within_150", "within_400")
+    return SP.count_within(grid(t), sites(t), "lat", "lon", "slat", "slon", "sid", [5, 20, 60, 150], leaf_sites=16).select("cell", "within_5", "within_20", "within_60", "within_150")
 
 
-@query("j21_polygon_join", f"""with {GRID_SQL}, {SITES_SQL} select cell, sid from grid, sites where abs(lat-slat)+abs(lon-slon)<0.7""")
+@query("j21_polygon_join", f"""with {GRID_SQL}, {SITES_SQL} select cell, sid from grid, sites where abs(lat-slat)+abs(lon-slon)<0.7003""")
 def _(t):
-    corners = [(0.0, 0.7), (0.7, 0.0), (0.0, -0.7), (-0.7, 0.0)]
+    corners = [(0.0, 0.7003), (0.7003, 0.0), (0.0, -0.7003), (-0.7003, 0.0)]
     ring = F.array(*[F.struct((F.col("slon") + dx).alias("lon"), (F.col("slat") + dy).alias("lat")) for dx, dy in corners])
     return SP.polygon_join(grid(t).select("cell", "lat", "lon"), sites(t).select("sid", ring.alias("ring")), "lat", "lon", "ring").select("cell", "sid")
 
