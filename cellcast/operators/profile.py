@@ -199,7 +199,9 @@ def _pair_aggregate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         for i, (a, b) in enumerate(chunk):
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
             both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-            aggs.append(F.corr(F.when(both, x), F.when(both, y)).alias(f"c{i}"))
+            x, y = F.when(both, x), F.when(both, y)
+            # corr() fails on a constant column, the quotient gives null
+            aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{i}"))
         rows = F.array(
             *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(chunk)]
         )
@@ -516,11 +518,11 @@ def column_quality(df: DataFrame, cols: list[str] | None = None, non_negative=NO
 def duplicate_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pairs of columns that agree on every row.
 
-    Order-free fingerprints (sum and xor of hashes of the whole row position are not
-    needed, the value multiset is) shortlist pairs; each pair is then verified row by row.
+    Order-free fingerprints of the value multisets shortlist pairs; each pair is then
+    verified row by row.
     """
     cols = cols or df.columns
-    # hashed apart from the type, so 1 and 1.0 stay different columns
+    # hashed as text, so 1 and 1.0 stay different columns
     prints = df.agg(
         *[F.sum(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << 31))).alias(c) for c in cols]
     ).first()

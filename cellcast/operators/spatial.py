@@ -19,6 +19,8 @@ from ..session import shuffle_width
 
 ROOT_DEG = 64.0
 FACTOR = 4
+# more first-level tiles than the globe has, so that one parent covers them
+ROOT_SPAN = 1 << 20
 MAX_LEVEL = 13
 LEAF_SITES = 64
 # at most 360 * 180 tiles of one degree, a fixed bound whatever the data
@@ -80,7 +82,7 @@ def _tiles(spots: DataFrame, level: int, dims: int) -> DataFrame:
         F.min(F.struct(*[f"s{i}" for i in range(dims)])).alias("rep"),
         F.sum("copies").alias("copies"),
     )
-    up = FACTOR if level else 1 << 20
+    up = FACTOR if level else ROOT_SPAN
     tiles = tiles.withColumn("pty", F.floor(F.col("ty") / up)).withColumn("ptx", F.floor(F.col("tx") / up))
     return F.broadcast(tiles) if level <= BROADCAST_LEVEL else tiles
 
@@ -125,6 +127,12 @@ def _query_spots(points: DataFrame, lat: str, lon: str, metric: str) -> DataFram
     return spots.select("*", *[c.alias(f"p{i}") for i, c in enumerate(_coords(metric, "qlat", "qlon"))])
 
 
+def _at_root(spots: DataFrame) -> DataFrame:
+    """Starts every point at the one parent of all first-level tiles."""
+    ty, tx = _tile("qlat", "qlon", 0)
+    return spots.withColumn("pty", F.floor(ty / ROOT_SPAN)).withColumn("ptx", F.floor(tx / ROOT_SPAN))
+
+
 def _to_metric(d2: Column, metric: str) -> Column:
     return chord_to_km(F.sqrt(d2)) if metric == "haversine" else F.sqrt(d2)
 
@@ -156,7 +164,7 @@ def nearest_join(
     # the distinct points are already spread by position, so no level shuffles them again
     # while its tiles are broadcast
     around = Window.partitionBy("qlat", "qlon")
-    walk = _query_spots(points, lat, lon, metric).select("*", *[F.lit(0).cast("long").alias(c) for c in ("pty", "ptx")])
+    walk = _at_root(_query_spots(points, lat, lon, metric))
     for level in range(depth + 1):
         near = walk.join(_tiles(spots, level, dims), ["pty", "ptx"]).select(
             *keys, "ty", "tx", _gap2(dims).alias("gap2"), _rep2(dims).alias("rep2")
@@ -211,8 +219,7 @@ def count_within(points, sites, lat, lon, site_lat, site_lon, site_id, kms: list
     radii = F.array(*[F.struct(F.lit(float(k)).alias("km"), F.lit(km_to_chord(k) ** 2).alias("c2")) for k in kms])
     walk = _query_spots(points, lat, lon, "haversine")
     walk = walk.select("*", F.explode(radii).alias("r")).select("qlat", "qlon", *pcols, "r.km", "r.c2")
-    zero = F.lit(0).cast("long")
-    walk = walk.select(*keys, zero.alias("pty"), zero.alias("ptx"), F.lit(None).cast("long").alias("n"))
+    walk = _at_root(walk).withColumn("n", F.lit(None).cast("long"))
     # settled counts travel along under keys that match no tile, spread to avoid a hot key
     away = -1 - F.pmod(F.xxhash64("qlat", "qlon"), F.lit(1 << 20))
     for level in range(depth + 1):
@@ -228,6 +235,8 @@ def count_within(points, sites, lat, lon, site_lat, site_lon, site_id, kms: list
             F.when(settled, away).otherwise(F.col("tx")).alias("ptx"),
             F.when(F.col("n").isNotNull(), F.col("n")).when(inside, F.col("copies")).alias("n"),
         )
+        # settled rows of a point become one; the rows are already spread by position
+        walk = walk.groupBy(*keys, "pty", "ptx").agg(F.sum("n").alias("n"))
     ty, tx = _tile("slat", "slon", depth)
     leaves = spots.select(ty.alias("pty"), tx.alias("ptx"), "copies", *[f"s{i}" for i in range(dims)])
     pairs = walk.join(leaves, ["pty", "ptx"], "left")
