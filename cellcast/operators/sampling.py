@@ -218,10 +218,11 @@ def smote(df: DataFrame, key: str, features: list[str], n: int, k: int = 5, seed
     Candidate neighbours are the rows next to each other along a few random directions,
     at most 2 * reach per direction, then the ``k`` closest are kept.
     """
-    base = df.select(F.col(key).alias("_id"), F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
+    # written once: every direction orders it anew
+    base = cut_lineage(df.select(F.col(key).alias("_id"), F.array(*[F.col(f).cast("double") for f in features]).alias("_v")))
     pairs = None
     for line in range(lines):
-        weights = [((hash_part * 2654435761 + line * 40503 + seed * 97) % 2000) / 1000.0 - 1.0 for hash_part in range(1, len(features) + 1)]
+        weights = [((i * 2654435761 + line * 40503 + seed * 97) % 2000) / 1000.0 - 1.0 for i in range(1, len(features) + 1)]
         proj = sum((F.col("_v")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
         ranked = global_index(base.withColumn("_p", proj), ["_p", "_id"], "_n")
         offsets = F.explode(F.array(*[F.lit(o) for o in range(-reach, reach + 1) if o]))

@@ -90,7 +90,7 @@ def _(t):
     return N.valid_pixels(px, ["A", "N", "R"])
 
 
-@query("n3_spatial_negatives", f"""with {GRID_SQL}, {SITES_SQL}, far as (select *, row_number() over (order by (idx*7919)%104729, cell)-1 as draw from grid where not exists (select 1 from sites where {_HAV}<=30)) select cell, cast(draw as bigint) as draw from far where draw<200""")
+@query("n3_spatial_negatives", f"""with {GRID_SQL}, {SITES_SQL}, far as (select *, row_number() over (order by (idx*7919)%104729, cell)-1 as k, count(*) over () as left_over from grid where not exists (select 1 from sites where {_HAV}<=30)) select cell, cast(d.draw as bigint) as draw from range(200) d(draw) join far on k=d.draw%left_over""")
 def _(t):
     order = F.pmod(F.col("idx") * 7919, F.lit(104729))
     out = N.spatial_negatives(grid(t), sites(t), 200, 30.0, order, "lat", "lon", "cell", "slat", "slon", "sid")

@@ -406,7 +406,7 @@ def _(t):
 
 @query("p29_useless_columns", """select 'c_custkey' as "column", 'all unique' as reason union all select 'c_name', 'all unique' union all select 'one','constant' union all select 'rare','mostly missing'""")
 def _(t):
-    df = t.customer.select("c_custkey", "c_name", "c_mktsegment", F.lit(1).alias("one"), F.when(F.col("c_custkey") < 10, F.col("c_custkey")).alias("rare"))
+    df = t.customer.select("c_custkey", "c_name", "c_mktsegment", F.lit(1).alias("one"), F.when(F.pmod("c_custkey", F.lit(50)) == 0, F.col("c_custkey")).alias("rare"))
     return P.useless_columns(df)
 
 
