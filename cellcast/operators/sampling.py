@@ -114,7 +114,7 @@ def hyper_negatives(grid: DataFrame, events: DataFrame, n: int, dates: DataFrame
     )
     named = walk.join(grid, "idx").join(dates, "date_idx").drop("date_idx")
     free = named.join(events.select(cell, date, window).distinct(), [cell, date, window], "left_anti")
-    numbered = global_index(free.drop("idx"), ["i"], "_n")
+    numbered = global_index(cut_lineage(free.drop("idx")), ["i"], "_n")
     return numbered.where(F.col("_n") < n).drop("_n", "i").withColumn("label", F.lit(0))
 
 

@@ -23,7 +23,7 @@ FACTOR = 4
 ROOT_SPAN = 1 << 20
 MAX_LEVEL = 13
 LEAF_SITES = 64
-# at most 360 * 180 tiles of one degree, a fixed bound whatever the data
+# at most 720 * 180 tiles of one degree, a fixed bound because places off the globe are left out
 BROADCAST_LEVEL = 3
 SLACK = 1e-9
 
@@ -35,7 +35,7 @@ def _tile_deg(level: int) -> float:
 def _tile(lat, lon, level: int) -> tuple[Column, Column]:
     size = _tile_deg(level)
     ty = F.floor((F.col(lat) + 90.0) / size) if isinstance(lat, str) else F.floor((lat + 90.0) / size)
-    tx = F.floor((F.col(lon) + 180.0) / size) if isinstance(lon, str) else F.floor((lon + 180.0) / size)
+    tx = F.floor((F.col(lon) + 360.0) / size) if isinstance(lon, str) else F.floor((lon + 360.0) / size)
     return ty, tx
 
 
@@ -48,8 +48,12 @@ def _coords(metric: str, lat: str, lon: str) -> list[Column]:
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def _on_globe(lat: str, lon: str) -> Column:
+    return F.col(lat).between(-90, 90) & F.col(lon).between(-360, 360)
+
+
 def _distinct_sites(sites: DataFrame, lat: str, lon: str, site_id: str, metric: str) -> tuple[DataFrame, int]:
-    clean = sites.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    clean = sites.where(_on_globe(lat, lon))
     spots = clean.groupBy(F.col(lat).cast("double").alias("slat"), F.col(lon).cast("double").alias("slon")).agg(
         F.min(site_id).alias("sid"), F.count(F.lit(1)).alias("copies")
     )
@@ -120,7 +124,7 @@ def _spot2(dims: int) -> Column:
 
 
 def _query_spots(points: DataFrame, lat: str, lon: str, metric: str) -> DataFrame:
-    clean = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    clean = points.where(_on_globe(lat, lon))
     spots = clean.select(F.col(lat).cast("double").alias("qlat"), F.col(lon).cast("double").alias("qlon")).distinct()
     # a fixed number of parts: adaptive execution would merge rows that are about to grow
     spots = spots.repartition(shuffle_width(points.sparkSession), "qlat", "qlon")
@@ -152,7 +156,7 @@ def nearest_join(
     """Adds (site_id, distance) of the nearest site to every point, smallest id on ties.
 
     ``metric`` is plain degrees or great-circle km.  Points without a site (within
-    ``max_distance`` when given) keep nulls.
+    ``max_distance`` when given) or off the globe keep nulls.
     """
     spots, dims = _distinct_sites(sites, site_lat, site_lon, site_id, metric)
     depth = leaf_level(spots, leaf_sites)

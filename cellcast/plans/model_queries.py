@@ -13,7 +13,7 @@ from ..operators import sampling as N
 from ..operators.ordered import global_index
 from ..session import cut_lineage
 from ..streaming import live
-from .proxies import GRID_SQL, POS_SQL, SCORED_SQL, SITES_SQL, WEATHER_SQL, cell_px, grid, pixels, pos, scored, sites, weather
+from .proxies import GRID_SQL, POS_SQL, SCORED_SQL, SITES_SQL, WEATHER_SQL, cell_px, grid, pos, scored, sites, weather
 from .registry import query, r, rounded
 from .table_queries import _HAV, _S_SQL, _cell_sql, _pack_sql
 

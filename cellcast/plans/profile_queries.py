@@ -260,7 +260,7 @@ def _(t):
 
 @query("a23_counts_by_region", f"""select n_name, count(*) as count, {r("count(*)*100.0/(select count(*) from customer)")} as pct from customer join nation on c_nationkey=n_nationkey group by 1""")
 def _(t):
-    df = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return P.value_counts(df, "n_name", digits=6)
 
 

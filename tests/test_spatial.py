@@ -74,3 +74,10 @@ def test_polygon_join(spark):
     got = {(r["id"], r["name"]) for r in SP.polygon_join(points, polys, "lat", "lon", "ring", tile_deg=0.4).collect()}
     want = {(r["id"], n) for r in points.collect() for n, x, y in (("a", 0.2, 0.3), ("b", 1.1, 1.0)) if x < r["lon"] < x + 1.5 and y < r["lat"] < y + 1.5}
     assert got == want
+
+
+def test_places_off_the_globe_are_left_out(spark):
+    points = spark.createDataFrame([(1, 30.0, -97.0), (2, 1e6, 5.0)], "id int, lat double, lon double")
+    sites = spark.createDataFrame([(1, -1e7, 1e9), (2, 31.0, 263.0), (3, 40.0, -90.0)], "sid int, slat double, slon double")
+    got = {r["id"]: r["site_id"] for r in SP.nearest_join(points, sites, "lat", "lon", "slat", "slon", "sid", "haversine").collect()}
+    assert got == {1: 2, 2: None}
