@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,13 +40,13 @@ def shuffle_width(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the setting is absent and the session
-    runs in local mode, as in tests.
+    A machine-local folder is used only when the setting is absent and all tasks run in
+    the driver's own process, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -56,9 +57,17 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` once as parquet in the shared folder and reads it back.
 
     The result survives lost executors, and a column-pruned re-read is cheaper than a
-    row checkpoint for the several passes that follow.
+    row checkpoint for the several passes that follow. The folder goes when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
