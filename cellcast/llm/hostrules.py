@@ -130,6 +130,6 @@ def judge_by_host(
     )
     hosts = cut_lineage(host_rates(measured, host), "host-rates")
     hosts = hosts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    joined = measured.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col("_host"))).drop("_host")
+    joined = measured.join(hosts.hint("merge"), F.col(f"`{host}`").eqNullSafe(F.col("_host"))).drop("_host")
     passes = F.col("host_rate") <= max_host_rate
     return joined.withColumn("kept", ~F.col("base_failed") & passes)

@@ -127,7 +127,7 @@ def mix_sources(
     )
     plan = cut_lineage(plan, "mix-plan")
     same = (F.col("_at") == F.col("_bucket")) & F.col("_source").eqNullSafe(F.col("source"))
-    joined = rows.join(plan, same)
+    joined = rows.join(plan.hint("merge"), same)
     if cut:
         part = F.floor(F.col("size") * F.col("_share") + F.col("_draw"))
     else:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import hostrules, mixing, urlfilter
+from . import hostrules, langid, mixing, toxicity, urlfilter, warczip
+from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,6 +83,44 @@ def op1(spark, table):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_language_id")
+def op3(spark, table):
+    docs = table("documents")
+    net = langid.fit_language_model(docs, ~held_out("doc_id", 4, 2))
+    found = langid.predict_languages(docs, net)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op4_warc_zip",
+    r"""
+with digests as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as bytes, sha1(encode(coalesce(html, ''))) as hex
+  from pages),
+firsts as (
+  select page_id, bytes, hex, min(page_id) over (partition by hex, bytes) as first from digests)
+select page_id, bytes::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((cast('0x' || substr(hex, 1 + 5 * (i // 4)::int, 5) as bigint) >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '')
+         as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from firsts
+""",
+)
+def op4(spark, table):
+    read = warczip.archive_pages(table("pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_toxicity")
+def op5(spark, table):
+    docs = table("documents").select("doc_id", "text")
+    lexicon = toxicity.fit_toxicity(docs, table("labels"), ~held_out("doc_id", 3, 1))
+    scored = toxicity.score_toxicity(docs, lexicon)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 @query(
     "op8_host_rules",
 )

@@ -107,7 +107,8 @@ def judge_urls(
         .select("host", "path", "best.rule", "best.verdict")
     )
     best = cut_lineage(best, "url-verdicts")
-    judged = rows.join(best, ["host", "path"], "left")
+    # there are as many verdicts as distinct URLs that a rule fits: never broadcast
+    judged = rows.join(best.hint("merge"), ["host", "path"], "left")
     return judged.select(
         *[F.col(f"`{c}`") for c in kept.columns],
         "host",
