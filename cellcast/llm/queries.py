@@ -8,9 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import hostrules, langid, mixing, toxicity, urlfilter, warczip
+from . import hostrules, langid, mixing, packing, tokencount, toxicity, urlfilter, warczip
 from .common import held_out
 
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file, the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -83,6 +92,13 @@ def op1(spark, table):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op2_token_counts")
+def op2(spark, table):
+    docs = table("documents").select("doc_id", "text")
+    counted = tokencount.count_tokens(docs, tokenizer_file("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_tokens")
+
+
 @query("op3_language_id")
 def op3(spark, table):
     docs = table("documents")
@@ -164,3 +180,8 @@ def op9(spark, table):
     )
     judged = urlfilter.judge_urls(table("pages"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_vector_packing")
+def op10(spark, table):
+    return packing.pack_documents(table("documents"), tokenizer_file("word_bpe_49k.json"))

@@ -84,8 +84,9 @@ class Lexicon:
         return found
 
     def features(self, machine, folded: str) -> tuple[float, float]:
-        """Matched weight, damped, and the same for 100 words of text."""
-        total = sum(self.weights[t] for _, t in self.hits(machine, folded))
+        """Matched weight, damped, and the same for 100 words; repeats of a term count less."""
+        seen = Counter(t for _, t in self.hits(machine, folded))
+        total = sum(self.weights[t] * (1 + math.log(n)) for t, n in seen.items())
         words = folded.count(" ") - 1
         return math.log1p(total), math.log1p(100.0 * total / max(20, words))
 
@@ -126,37 +127,42 @@ def _terms(folded: str) -> Iterator[tuple[str, str, str]]:
 
 
 def learn_lexicon(
-    sample: list[tuple[str, int]], sizes: tuple[int, int], min_contexts: int = 3, min_z: float = 2.4, max_terms: int = 5000
+    sample: list[tuple[str, int]], sizes: tuple[int, int], min_contexts: int = 3, max_terms: int = 5000
 ) -> Lexicon:
     """Terms far commoner in toxic texts, weighed by log-odds, and a fitted line.
 
     A term counts once for each pair of neighbours it stands between, not for each text: the
-    words of a text that was copied often weigh no more than those of one copy. A stem
+    words of a text that was copied often weigh no more than those of one copy. A term must
+    pass a likelihood-ratio test at a level that allows for the number of terms tried. A stem
     replaces words only where it covers clearly more than the commonest of them. Phrases
     around a term that clean texts hold more often than toxic ones become exceptions.
     """
     folded = [(fold_text(t), y) for t, y in sample]
-    toxic_seen: dict[str, set[int]] = defaultdict(set)
+    n_toxic = 1 + sum(y for _, y in folded)
+    n_clean = 1 + len(folded) - sum(y for _, y in folded)
+    # first by texts, then, for the terms that lean to toxic texts, by neighbours
+    texts: tuple[Counter, Counter] = (Counter(), Counter())
     for text, y in folded:
         if y:
-            for term, left, right in _terms(text):
-                toxic_seen[term].add(hash((left, right)))
-    frequent = {t for t, c in toxic_seen.items() if len(c) >= min_contexts}
-    clean_seen: dict[str, set[int]] = defaultdict(set)
+            texts[1].update({term for term, _, _ in _terms(text)})
+    frequent = {t for t, n in texts[1].items() if n >= min_contexts}
     for text, y in folded:
         if not y:
-            for term, left, right in _terms(text):
-                if term in frequent:
-                    clean_seen[term].add(hash((left, right)))
-    n_toxic = 1 + sum(y for _, y in folded)
-    n_clean = 1 + len(folded) - sum(y for _, y in folded)
-    rated = []
-    for term in frequent:
-        t, c = len(toxic_seen[term]) + 0.5, len(clean_seen.get(term, ())) + 0.5
-        weight = math.log(t / n_toxic) - math.log(c / n_clean)
-        z = weight / math.sqrt(1 / t + 1 / c)
-        if weight > 1.5 and z >= min_z:
-            rated.append((z, t, term, weight))
+            texts[0].update({term for term, _, _ in _terms(text)} & frequent)
+    leaning = {t for t in frequent if texts[1][t] * n_clean > 2 * texts[0][t] * n_toxic}
+    toxic_seen: dict[str, set[int]] = defaultdict(set)
+    clean_seen: dict[str, set[int]] = defaultdict(set)
+    for text, y in folded:
+        for term, left, right in _terms(text):
+            if term in leaning:
+                (toxic_seen if y else clean_seen)[term].add(hash((left, right)))
+    rated, level = [], 2 * math.log(max(2, len(frequent)))
+    for term in leaning:
+        t, c = len(toxic_seen[term]), len(clean_seen.get(term, ()))
+        weight = math.log((t + 0.5) / n_toxic) - math.log((c + 0.5) / n_clean)
+        ratio = _likelihood_ratio(t, c, n_toxic / (n_toxic + n_clean))
+        if weight > 1.5 and ratio >= level:
+            rated.append((ratio, t, term, weight))
     # the best first; of equal ones the whole word before its stems, longer stems first
     rated.sort(key=lambda r: (-r[0], -len(r[2]), r[2]))
     chosen: dict[str, float] = {}
@@ -182,6 +188,13 @@ def learn_lexicon(
     return lexicon
 
 
+def _likelihood_ratio(t: int, c: int, share: float) -> float:
+    """Twice the log-likelihood gained by letting a term's toxic share differ from all terms'."""
+    n = t + c
+    parts = ((t, n * share), (c, n * (1 - share)))
+    return 2 * sum(k * math.log(k / expected) for k, expected in parts if k)
+
+
 def _exceptions(lexicon: Lexicon, folded: list[tuple[str, int]], min_clean: int = 5) -> set[str]:
     """Two-word phrases with a term that stand in at least five clean texts and mostly there."""
     machine, counts = lexicon.automaton(), (Counter(), Counter())
@@ -221,7 +234,7 @@ def _fit_line(points: np.ndarray, y: np.ndarray, sizes: tuple[int, int], steps:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 3000, max_chars: int = 40_000
+    docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2500, max_chars: int = 20_000
 ) -> Lexicon:
     """A lexicon learned from a bounded, hash-drawn sample of the usable labelled rows."""
     sample, sizes = labelled_sample(docs, labels, usable, per_class, max_chars)
