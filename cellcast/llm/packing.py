@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, ASCII_UPPER
 
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Characters of a text that are split into words at a time.
 CHUNK = 1 << 20
 _SPACE = re.compile(r"[ \n\t\r]+")
@@ -24,47 +25,62 @@ _TAIL = ".,;:!?*#%&$)"
 _FOLD = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: itself if printable."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer whose words never reach across white space.
 
     Ids are remembered by word as little-endian 32-bit bytes. A word with signs at its end
     is the ids of the word and of the signs, as the tokenizer always parts letters and
-    digits from signs; A-Z of plain words are folded before, as the tokenizer folds them.
+    digits from signs. Words of Latin letters go to the tokenizer's merges directly, in the
+    form its normaliser and byte mapping give them; all others go through the whole of it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+    def _ids(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            if word.isalpha() and max(word) < "\u0100":
+                plain = word.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [token.id for token in self.model.tokenize(plain)]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
+    def _learn(self, word: str) -> bytes:
         core = word.rstrip(_TAIL)
-        if not core or not core[-1].isalnum():
-            return word, ""
-        return core.translate(_FOLD) if core.isalnum() else core, word[len(core) :]
+        if core and core[-1].isalnum() and (core is not word or not core.islower()):
+            plain = core.translate(_FOLD) if core.isalnum() else core
+            found = self._ids(plain) + self._ids(word[len(core) :])
+            self.known[word] = found
+            return found
+        return self._ids(word)
 
     def encode(self, text: str) -> bytes:
         out = []
         for at, end in _chunks(text):
             words = _SPACE.split(text[at:end])
-            known = self.known
-            missing = {w for w in words if w not in known}
-            if missing:
-                if len(known) + 2 * len(missing) > REMEMBERED:
-                    known = self.known = {"": b""}
-                    missing = set(words) - {""}
-                parts = {w: self._parts(w) for w in missing}
-                self._learn(sorted({p for pair in parts.values() for p in pair if p not in known}))
-                known.update({w: known[a] + known[b] for w, (a, b) in parts.items()})
-            out.append(b"".join([known[w] for w in words]))
+            found = list(map(self.known.get, words))
+            if None in found:
+                if len(self.known) > REMEMBERED:
+                    self.known = {"": b""}
+                found = [self._learn(w) if ids is None else ids for w, ids in zip(words, found)]
+            out.append(b"".join(found))
         return b"".join(out)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import hostrules, langid, mixing, packing, tokencount, toxicity, urlfilter, warczip
+from . import capfilters, chosenpath, hostrules, langid, mixing, packing, tokencount, toxicity, urlfilter, warczip
 from .common import held_out
 
 
@@ -137,6 +137,16 @@ def op5(spark, table):
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+@query("op6_chosen_path")
+def op6(spark, table):
+    return chosenpath.near_duplicates(table("documents"))
+
+
+@query("op7_cap_filters")
+def op7(spark, table):
+    return capfilters.link_vectors(table("embeddings"), threshold=0.93)
+
+
 @query(
     "op8_host_rules",
 )
