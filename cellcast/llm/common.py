@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def rows_where(df: DataFrame, column: str, judge: Callable[[], Callable[[object], bool]], kind: str) -> DataFrame:
+    """The rows of ``df`` whose ``column``, cast to ``kind``, a Python test accepts, unchanged.
+
+    ``judge`` makes the test, once in each task.
+    """
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{column}`").cast(kind).alias("_judged"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = judge()
+        for batch in batches:
+            mask = pa.array([accepts(v.as_py()) for v in batch.column(batch.num_columns - 1)], pa.bool_())
+            kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            yield kept.filter(mask)
+
+    return rows.mapInArrow(run, schema)
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Adds the 1-based position in the given total order, without one task for all rows.
 

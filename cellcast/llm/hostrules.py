@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import without
+from .common import rows_where, without
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SPACE = b" \t\n\r\x0b\x0c"
@@ -133,3 +133,32 @@ def judge_by_host(
     joined = measured.join(hosts.hint("merge"), F.col(f"`{host}`").eqNullSafe(F.col("_host"))).drop("_host")
     passes = F.col("host_rate") <= max_host_rate
     return joined.withColumn("kept", ~F.col("base_failed") & passes)
+
+
+def drop_by_host(
+    docs: DataFrame,
+    host: str = "source",
+    max_host_rate: float = 0.5,
+    min_words: int = 20,
+    max_repeat: int = 30,
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge_by_host`` keeps, with all their columns.
+
+    Texts are measured once for the hosts' rates and once more as they pass, so that they
+    aren't shuffled; only the rejected hosts are joined.
+    """
+    measured = with_base_rule(measure_documents(docs, [host]), min_words, max_repeat)
+    rates = host_rates(measured.select(host, "base_failed"), host)
+    rejected = cut_lineage(
+        rates.where(F.col("rate") > max_host_rate).select(F.col("host").alias("_host")), "hosts-rejected"
+    )
+
+    def judge():
+        def passes(text: bytes | None) -> bool:
+            n_words, _, _, _, n_repeat = measure(text)
+            return n_words >= min_words and 100 * n_repeat <= max_repeat * n_words
+
+        return passes
+
+    passing = rows_where(docs, "text", judge, "binary")
+    return passing.join(rejected, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left_anti")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_where
+
 # Look-alike letters, digits and signs, and the Latin letters they stand for.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ї": "i",
@@ -262,3 +264,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) ->
             )
 
     return rows.mapInArrow(score, ", ".join([*fields, "score double", "predicted int"]))
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+
+    def judge():
+        machine = lexicon.automaton()
+        return lambda text: lexicon.score(machine, text) < threshold
+
+    return rows_where(docs, "text", judge, "string")
