@@ -64,7 +64,8 @@ class WordTokenizer:
 
     def _learn(self, word: str) -> bytes:
         core = word.rstrip(_TAIL)
-        if core and core[-1].isalnum() and (core is not word or not core.islower()):
+        # only after a plain Latin letter or a digit: others may fold to a sign
+        if core and core[-1].isalnum() and core[-1] < "\u0100" and (core is not word or not core.islower()):
             plain = core.translate(_FOLD) if core.isalnum() else core
             found = self._ids(plain) + self._ids(word[len(core) :])
             self.known[word] = found

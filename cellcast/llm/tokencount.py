@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +15,6 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 500_000
-_SPLIT = re.compile(" ")
 
 
 class UnigramCounter:
@@ -29,8 +27,8 @@ class UnigramCounter:
     is as many pieces as it has bytes if the vocabulary holds all byte pieces, else unknown
     characters side by side are one piece.
 
-    Texts are split before each space, which becomes the mark; a mark is put before the first
-    word. So counts of words add up and are remembered.
+    Spaces become marks, a mark is put before a text that doesn't begin with one, and texts
+    are split before each mark. So counts of words add up and are remembered.
     """
 
     def __init__(self, vocabulary: list[tuple[str, float]]):
@@ -79,7 +77,8 @@ class UnigramCounter:
         if not text:
             return 0
         known, total = self.known, 0
-        for word in _SPLIT.split(text):
+        words = text.replace(" ", MARK).split(MARK)
+        for word in words if words[0] else words[1:]:
             pieces = known.get(word)
             if pieces is None:
                 pieces = self.best(MARK + word)[1]
