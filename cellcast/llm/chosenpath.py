@@ -32,8 +32,8 @@ class PathJoin:
     percent: int = 85
     width: int = 5
     tokens: int = 128
-    trees: int = 12
-    leaf: int = 512
+    trees: int = 8
+    leaf: int = 1024
     depth: int = 24
     seed: int = 97
 
