@@ -35,11 +35,15 @@ def to_number(c: Column | str) -> Column:
 
 
 def to_date(c: Column | str, formats=DATE_FORMATS, prefix: int | None = 10) -> Column:
-    """First format that parses wins; anything else is null."""
+    """First format that parses wins; anything else is null.
+
+    ``prefix`` characters are enough for the ISO date, which a time may follow; all other
+    formats must fit the whole text.
+    """
     c = as_col(c).cast("string")
-    if prefix:
-        c = F.substring(c, 1, prefix)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
+    head = F.substring(c, 1, prefix) if prefix else c
+    texts = [head if f == "yyyy-MM-dd" else c for f in formats]
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for t, f in zip(texts, formats)]).cast("date")
 
 
 def contains_ci(c: Column | str, text: str) -> Column:

@@ -46,15 +46,24 @@ def resolve_column(df: DataFrame, candidates: list[str]) -> str | None:
 
 
 def schema_report(spark, frames: dict[str, DataFrame]) -> DataFrame:
-    """Per column: sources that have it, sources that miss it, dtypes, and mismatch flags.
-
-    Only schemas are compared, no data is read.
+    """Per column: sources that have it and that miss it, dtypes, mismatch flags, the rows of
+    the sources that have it and its values that aren't null. One aggregate per source.
     """
-    rows = [(str(s), f.name, f.dataType.simpleString()) for s, df in frames.items() for f in df.schema]
-    long = spark.createDataFrame(rows, "source string, column string, dtype string")
+    long = None
+    for source, df in frames.items():
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        cells = [
+            F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"c{i}").alias("present"))
+            for i, f in enumerate(df.schema)
+        ]
+        part = counts.select(F.lit(str(source)).alias("source"), "rows", F.explode(F.array(*cells)).alias("m")).select("source", "rows", "m.*")
+        long = part if long is None else long.unionAll(part)
     every = F.array_sort(F.array(*[F.lit(str(s)) for s in frames]))
     out = long.groupBy("column").agg(
-        F.array_sort(F.collect_set("source")).alias("present_in"), F.array_sort(F.collect_set("dtype")).alias("dtypes")
+        F.array_sort(F.collect_set("source")).alias("present_in"),
+        F.array_sort(F.collect_set("dtype")).alias("dtypes"),
+        F.sum("rows").alias("rows"),
+        F.sum("present").alias("present"),
     )
     return out.select(
         "column",
@@ -63,6 +72,8 @@ def schema_report(spark, frames: dict[str, DataFrame]) -> DataFrame:
         F.array_join("dtypes", ",").alias("dtypes"),
         (F.size("dtypes") > 1).alias("dtype_mismatch"),
         (F.size("present_in") == len(frames)).alias("in_all"),
+        "rows",
+        "present",
     )
 
 

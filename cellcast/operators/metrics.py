@@ -45,7 +45,7 @@ def score_table(df: DataFrame, score: str, label: str, by=()) -> DataFrame:
 def auroc(table: DataFrame, by=()) -> DataFrame:
     """Tie-aware area: every negative meets the positives above it and half its ties."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
-    return table.groupBy(*_names(by)).agg(F.try_divide(area, F.max("P") * F.max("N")).alias("auroc"))
+    return table.groupBy(*_names(by)).agg(F.try_divide(area, F.max("P").cast("double") * F.max("N").cast("double")).alias("auroc"))
 
 
 def average_precision(table: DataFrame, by=()) -> DataFrame:
@@ -105,7 +105,10 @@ def best_f1_threshold(table: DataFrame, by=()) -> DataFrame:
 
 
 def recall_threshold(df: DataFrame, score: str, label: str, target: float = 0.85, high: float = 0.90, low: float = 0.05, step: float = 0.01, default: float = 0.50) -> DataFrame:
-    """Highest threshold of a falling sweep whose recall reaches ``target``."""
+    """Highest threshold of a falling sweep whose recall reaches ``target``.
+
+    ``default`` with recall 0 when none does, as without any positive row.
+    """
     n = int(round((high - low) / step))
     sweep = [round(high - i * step, 10) for i in range(n)]
     # index of the first sweep value a score passes; at most n + 1 groups
@@ -115,11 +118,11 @@ def recall_threshold(df: DataFrame, score: str, label: str, target: float = 0.85
     groups = df.select(place.alias("at"), F.col(label).alias("_y")).groupBy("at").agg(F.sum("_y").alias("pos"))
     upto = Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     total = df.agg(F.sum(label)).scalar()
-    recall = groups.withColumn("recall", F.sum("pos").over(upto) / total).where((F.col("recall") >= target) & (F.col("at") < n))
+    recall = groups.withColumn("recall", F.try_divide(F.sum("pos").over(upto), total)).where((F.col("recall") >= target) & (F.col("at") < n))
     thresholds = F.array(*[F.lit(s) for s in sweep])
     first = recall.agg(F.min(F.struct("at", "recall")).alias("b"))
     return first.select(
-        F.coalesce(F.get(thresholds, F.col("b.at")), F.lit(default)).alias("threshold"), F.col("b.recall").alias("recall")
+        F.coalesce(F.get(thresholds, F.col("b.at")), F.lit(default)).alias("threshold"), F.coalesce("b.recall", F.lit(0.0)).alias("recall")
     )
 
 

@@ -1,9 +1,10 @@
 """Exact ranks, running totals and quantiles without one large sorted task.
 
-Every ordered operator here works in two levels.  Keys are cut into value bins, bin
-totals are summed in order (a few hundred rows per group), and only rows of one bin are
-sorted together.  The cut points come from a fixed-size sample of distinct keys that is
-chosen by hash, so the plan stays lazy and a re-run stage cuts at the same points.
+Every ordered operator here works in two levels.  Rows are dealt by range of (group, key)
+into as many bins as the session shuffles into, bin totals are summed in order, and only
+rows of one bin are sorted together.  A bin holds its share of all rows, whatever the
+groups: a hot group spans many bins and many small groups share one.  The dealt rows are
+written to the shared folder, so every later stage and every re-run sees the same bins.
 """
 
 from __future__ import annotations
@@ -11,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 256
-SAMPLE_PER_BIN = 16
-NATIVE_TOP_N = 1000
+from ..session import cut_lineage, shuffle_width
 
 
 def _names(cols) -> list[str]:
@@ -21,28 +20,9 @@ def _names(cols) -> list[str]:
 
 
 def with_bin(df: DataFrame, keys: list[str], name: str = "_bin") -> DataFrame:
-    """Adds the ordinal of the value bin that holds the row's key tuple."""
-    key = F.col(keys[0]) if len(keys) == 1 else F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    sample = (
-        df.select(key.alias("key"), F.xxhash64(*keys).alias("h"))
-        .orderBy("h", "key")
-        .limit(BINS * SAMPLE_PER_BIN)
-        .agg(F.sort_array(F.collect_set("key")).alias("s"))
-    )
-    cuts = sample.select(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(BINS - 1)),
-            lambda i: F.get("s", F.floor(i * F.size("s") / BINS).cast("int")),
-        ).alias("cuts")
-    )
-    out = df.withColumn("_cuts", cuts.scalar()).withColumn("_at", F.lit(0))
-    # binary search, one projection per halving so that every step is compiled
-    step = BINS // 2
-    while step:
-        passed = F.coalesce(F.get("_cuts", F.col("_at") + (step - 1)) <= key, F.lit(False))
-        out = out.withColumn("_at", F.col("_at") + F.when(passed, step).otherwise(0))
-        step //= 2
-    return out.drop("_cuts").withColumnRenamed("_at", name)
+    """Adds the ordinal of the range of key tuples that holds the row; writes the rows once."""
+    dealt = df.repartitionByRange(shuffle_width(df.sparkSession), *keys)
+    return cut_lineage(dealt.withColumn(name, F.spark_partition_id()), "ordered")
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -120,22 +100,17 @@ def average_rank(df: DataFrame, value: str, by=(), name: str = "rank") -> DataFr
     return ranked.withColumn(name, F.col("_lo") + (F.col("n") + 1) / 2.0).drop("_lo")
 
 
-def top_n(df: DataFrame, by, order: list[Column], n: int, salt: int = 64) -> DataFrame:
-    """First ``n`` rows of every group.
-
-    Spark trims groups before the shuffle while ``n`` is small; past that limit groups
-    are first trimmed in hash-salted parts.
-    """
+def top_n(df: DataFrame, by, order: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows of every group, trimmed in hash-salted parts and then whole."""
     by = _names(by)
 
     def trim(frame: DataFrame, keys: list) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(*order)
         return frame.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
-    if n >= NATIVE_TOP_N:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-        df = trim(salted, by + ["_salt"]).drop("_salt")
-    return trim(df, by)
+    width = shuffle_width(df.sparkSession)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(width)))
+    return trim(trim(salted, by + ["_salt"]).drop("_salt"), by)
 
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:

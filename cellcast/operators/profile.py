@@ -237,16 +237,27 @@ def corr_with(df: DataFrame, cols: list[str], target: str, n: int = 40) -> DataF
 def spearman_pairs(df: DataFrame, cols: list[str], keep: Column | None = None) -> DataFrame:
     """Rank correlation of every pair with tie-averaged ranks.
 
-    Ranks are found per distinct value and joined back by value.  ``keep`` optionally
-    restricts the rows (the sampled form of the report).
+    Each pair uses the rows where both are present.  Ranks are found per distinct value and
+    joined back by value; the columns without a missing value share one set of ranks.
+    ``keep`` optionally restricts the rows (the sampled form of the report).
     """
     rows = df if keep is None else df.where(keep)
-    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    for c in cols:
-        ranks = average_rank(rows.select(c), c, name=f"_rank_{c}").drop("n")
-        rows = rows.join(ranks, c)
-    ranked = rows.select(*[F.col(f"_rank_{c}").alias(c) for c in cols])
-    return _pair_aggregate(ranked, list(combinations(cols, 2)))
+    rows = rows.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
+    gaps = rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
+    full = [c for c in cols if not gaps[c]]
+    pairs = list(combinations(cols, 2))
+    together = [p for p in pairs if p[0] in full and p[1] in full]
+    parts = [(full, together)] if together else []
+    parts += [(list(p), [p]) for p in pairs if p not in set(together)]
+    out = None
+    for some, wanted in parts:
+        ranked = rows.select(*some).dropna()
+        for c in some:
+            ranks = average_rank(ranked.select(c), c, name=f"_rank_{c}").drop("n")
+            ranked = ranked.join(ranks, c)
+        found = _pair_aggregate(ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in some]), wanted)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 # ---------------------------------------------------------------- group contrasts
@@ -409,7 +420,10 @@ def auto_histogram(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     size = df.agg(F.count(col).alias("n"))
     spec = edges.withColumn("n", size.scalar()).first()
     bins = int(min(60, max(20, spec["n"] ** 0.4)))
-    return histogram(df, col, bins, spec["low"], spec["high"], by)
+    low, high = (0.0, 0.0) if spec["low"] is None else (spec["low"], spec["high"])
+    if low == high:  # one value in the middle of a unit range
+        low, high = low - 0.5, high + 0.5
+    return histogram(df, col, bins, low, high, by)
 
 
 def box_stats(df: DataFrame, col: str, by: str, factor: float = 1.5) -> DataFrame:
@@ -438,6 +452,8 @@ def density_curve(df: DataFrame, col: str, points: int = 300, fine: int = 4096)
     v = F.col(col).cast("double")
     spec = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")).first()
     lo, hi, n = spec["lo"], spec["hi"], spec["n"]
+    if not spec["sd"]:  # no value, one value, or all alike: there is no density
+        return df.sparkSession.createDataFrame([], "x double, density double")
     bandwidth = spec["sd"] * n ** (-0.2)
     width = (hi - lo) / fine
     counts = (
@@ -524,17 +540,21 @@ def duplicate_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     cols = cols or df.columns
     # hashed as text, so 1 and 1.0 stay different columns
     prints = df.agg(
-        *[F.sum(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << 31))).alias(c) for c in cols]
+        *[F.sum(F.xxhash64(F.col(c).cast("string")).cast("decimal(20,0)")).alias(c) for c in cols]
     ).first()
-    groups: dict[int, list[str]] = {}
+    groups: dict[object, list[str]] = {}
     for c in cols:
         groups.setdefault(prints[c], []).append(c)
-    pairs = [p for g in groups.values() for p in combinations(g, 2)]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string")
-    checks = [F.count(F.when(~F.col(a).cast("string").eqNullSafe(F.col(b).cast("string")), 1)).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"d{i}").alias("d")) for i, (a, b) in enumerate(pairs)])
-    return df.agg(*checks).select(F.explode(rows).alias("m")).where("m.d = 0").select("m.a", "m.b")
+    # each column of a shortlist is compared with its first; those that differ are left for
+    # another round, so a shortlist of equal columns takes one pass and no pairs
+    waiting, pairs = [g for g in groups.values() if len(g) > 1], []
+    while waiting:
+        tests = [(g[0], c) for g in waiting for c in g[1:]]
+        differ = [F.count(F.when(~F.col(a).cast("string").eqNullSafe(F.col(b).cast("string")), 1)) for a, b in tests]
+        unequal = {c for (_, c), n in zip(tests, df.agg(*differ).first()) if n}
+        pairs += [p for g in waiting for p in combinations([c for c in g if c not in unequal], 2)]
+        waiting = [r for g in waiting if len(r := [c for c in g if c in unequal]) > 1]
+    return df.sparkSession.createDataFrame(sorted(pairs, key=lambda p: (cols.index(p[0]), cols.index(p[1]))), "a string, b string")
 
 
 def semantic_type(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -194,8 +194,14 @@ def _attach(points: DataFrame, found: DataFrame, lat: str, lon: str, cols: list[
 
 
 def exclude_within(points, events, lat, lon, event_lat, event_lon, event_id, km: float) -> DataFrame:
-    """Points with no event inside ``km`` (anti distance join)."""
-    near = nearest_join(points, events, lat, lon, event_lat, event_lon, event_id, "haversine", max_distance=km)
+    """Points with no event inside ``km`` (anti distance join).
+
+    An event counts whatever its id, null too. Points without a usable place can't be shown
+    to lie outside and are left out.
+    """
+    marked = events.select(event_lat, event_lon, F.lit(1).alias("_hit"))
+    placed = points.where(_on_globe(lat, lon))
+    near = nearest_join(placed, marked, lat, lon, event_lat, event_lon, "_hit", "haversine", max_distance=km)
     return near.where(F.col("site_id").isNull()).drop("site_id", "distance")
 
 

@@ -315,7 +315,7 @@ def _(t):
 def _(t):
     train, _val, test = _parts(t)
     model = ML.train_gbt(train, FEATURES, **SMALL)
-    return rounded(ML.permutation_importance(lambda df: ML.score(model, df), test, FEATURES[:5], "row_id"))
+    return rounded(ML.permutation_importance(lambda df: ML.score(model, df), test, FEATURES, "row_id"))
 
 
 @query("e12_permuted_score", f"with {SCORED_SQL}, x as (select *, row_number() over (order by doc_id)-1 as idx, count(*) over () as n from scored), d as (select ({N.MULTIPLIERS[2]}*idx + (2*7919)%n)%n as idx, score as donor from x) select doc_id, label, donor as score from x join d using (idx)")
@@ -328,7 +328,7 @@ def _(t):
 @query("e13_ablation")
 def _(t):
     train, _val, test = _parts(t)
-    groups = {"static": FEATURES[:2], "weather": FEATURES[2:7], "time": FEATURES[7:11]}
+    groups = {"static": FEATURES[:2], "weather": FEATURES[2:7], "time": FEATURES[7:]}
     return rounded(ML.ablation(train, test, groups, maxIter=2, maxDepth=3, stepSize=0.3))
 
 

@@ -352,12 +352,12 @@ def _(t):
 
 
 @query("a41_density_curve", """with s as (select min(o_totalprice) as lo, max(o_totalprice) as hi, stddev_samp(o_totalprice) as sd, count(*) as n from orders),
- k as (select *, sd*power(n,-0.2) as h, (hi-lo)/512 as w from s),
- b as (select cast(least(floor((o_totalprice-lo)/w),511) as integer) as bin, count(*) as c from orders, k group by 1),
- g as (select i, i*((hi-lo)/19)+lo as x from k, range(20) t(i))
+ k as (select *, sd*power(n,-0.2) as h, (hi-lo)/4096 as w from s),
+ b as (select cast(least(floor((o_totalprice-lo)/w),4095) as integer) as bin, count(*) as c from orders, k group by 1),
+ g as (select i, i*((hi-lo)/299)+lo as x from k, range(300) t(i))
  select round(x,4) as x, round(1e9*sum(c*exp(power((x-((bin+0.5)*w+lo))/h,2)*-0.5))/(max(n)*max(h)*sqrt(2*pi())),2) as density_e9 from g, b, k group by x""")
 def _(t):
-    out = P.density_curve(t.orders, "o_totalprice", points=20, fine=512)
+    out = P.density_curve(t.orders, "o_totalprice")
     return out.select(F.round("x", 4).alias("x"), F.round(F.col("density") * 1e9, 2).alias("density_e9"))
 
 

@@ -116,14 +116,17 @@ def _(t):
     return CL.canonical_columns(df)
 
 
-@query("p2_schema_report", """select * from (values ('key','1995,1996,1997','','bigint',false,true),('price','1995,1996,1997','','double,string',true,true),
- ('prio','1996','1995,1997','string',false,false)) v("column",present_in,missing_in,dtypes,dtype_mismatch,in_all)""")
+@query("p2_schema_report", """with y as (select year(o_orderdate) as source, count(*) as rows, count(nullif(o_orderstatus,'P')) as status from orders where year(o_orderdate) in (1995,1996,1997) group by 1),
+ m as (select source::varchar as source, 'key' as "column", 'bigint' as dtype, rows, rows as present from y union all select source::varchar, 'price', case when source=1997 then 'string' else 'double' end, rows, rows from y union all select source::varchar, 'status', 'string', rows, status from y where source=1996)
+ select "column", string_agg(source, ',' order by source) as present_in, coalesce((select string_agg(z.source::varchar, ',' order by z.source) from y z where z.source::varchar not in (select k.source from m k where k."column"=m."column")),'') as missing_in,
+ array_to_string(list_sort(list(distinct dtype)), ',') as dtypes, count(distinct dtype)>1 as dtype_mismatch, count(*)=3 as in_all, cast(sum(rows) as bigint) as rows, cast(sum(present) as bigint) as present from m group by 1""")
 def _(t):
-    key = F.col("o_orderkey").alias("key")
+    key, price = F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price")
+    year = lambda y: t.orders.where(F.year("o_orderdate") == y)
     frames = {
-        "1995": t.orders.select(key, F.col("o_totalprice").alias("price")),
-        "1996": t.orders.select(key, F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("prio")),
-        "1997": t.orders.select(key, F.col("o_totalprice").cast("string").alias("price")),
+        "1995": year(1995).select(key, price),
+        "1996": year(1996).select(key, price, F.nullif("o_orderstatus", F.lit("P")).alias("status")),
+        "1997": year(1997).select(key, price.cast("string").alias("price")),
     }
     return CL.schema_report(t.spark, frames)
 
@@ -423,13 +426,16 @@ def _(t):
     return K.gate_feasibility(df, lists={"CORRUPTED": ("erc",)}).select("id", "gate1_reason", "gate1")
 
 
-@query("p22_gate_redundancy", """select * from (values ('l_tax',null),('l_quantity',null),('l_extendedprice','EXACT_DUPLICATE of l_quantity'),('double_qty','HIGH_CORR with minus_qt'),('minus_qt','HIGH_CORR with l_quantity')) v("column", reason) where "column"<>'minus_qt' and "column"<>'double_qty'
- union all select 'double_qty', 'HIGH_CORR with minus_qt' union all select 'minus_qt', null""")
+@query("p22_gate_redundancy", """with c as (select abs(corr(l_quantity*2, -l_quantity)) as dm, abs(corr(l_quantity*2, l_tax)) as dt, abs(corr(-l_quantity, l_tax)) as mt from lineitem)
+ select 'l_quantity' as "column", cast(null as varchar) as reason union all select 'l_extendedprice', 'same as l_quantity'
+ union all select 'double_qty', case when dm>=0.99 then 'correlated with minus_qt' when dt>=0.99 then 'correlated with l_tax' end from c
+ union all select 'minus_qt', case when dm<0.99 and mt>=0.99 then 'correlated with l_tax' end from c union all select 'l_tax', null""")
 def _(t):
     df = t.lineitem.select("l_quantity", "l_tax", "l_extendedprice", (F.col("l_quantity") * 2).alias("double_qty"), (-F.col("l_quantity")).alias("minus_qt"))
     pairs = pearson_pairs(df, ["double_qty", "minus_qt", "l_tax"])
-    gone = K.gate_redundancy(df.columns, pairs, exact=[("l_quantity", "l_extendedprice")])
-    return t.spark.createDataFrame([(c, gone.get(c)) for c in df.columns], "column string, reason string")
+    names = t.spark.createDataFrame([(c,) for c in df.columns], "column string")
+    listed = t.spark.createDataFrame([("l_extendedprice", "same as l_quantity")], "column string, reason string")
+    return K.gate_redundancy(names, pairs, listed=listed)
 
 
 @query("p27_schema_fix", """select c_custkey as id, 'customer' as origin from customer where c_custkey<>3 and c_custkey<>7 union all select s_suppkey+1400, 'supplier' from supplier where s_suppkey+1400 not in (select c_custkey from customer where c_custkey not in (3,7))""")
@@ -512,6 +518,13 @@ def _(t):
     return SP.exclude_within(grid(t), sites(t), "lat", "lon", "slat", "slon", "sid", 60.0).select("cell")
 
 
+@query("j9_exclude_unplaced", f"with {GRID_SQL}, {SITES_SQL} select cell from grid where cell%7<>0 and not exists (select 1 from sites where {_HAV}<=60)")
+def _(t):
+    points = grid(t).withColumn("lat", F.when(F.col("cell") % 7 != 0, F.col("lat")))
+    events = sites(t).withColumn("sid", F.when(F.col("sid") % 2 == 0, F.col("sid")))
+    return SP.exclude_within(points, events, "lat", "lon", "slat", "slon", "sid", 60.0).select("cell")
+
+
 @query("j10_distance_to_nearest", f"with {GRID_SQL}, {SITES_SQL}, m as (select cell, min({_HAV}) as dist from grid, sites group by 1) select round(min(dist),5) as min_km, round(avg(dist),5) as mean_km from m")
 def _(t):
     return rounded(SP.distance_to_nearest(grid(t), sites(t), "lat", "lon", "slat", "slon", "sid"), 5)

@@ -65,8 +65,12 @@ def test_first_per_key(spark, skewed):
     assert got.select("g", "v", "id").exceptAll(want).count() == 0 and got.count() == want.count()
 
 
-def test_bins_share_the_rows(spark):
-    df = spark.range(0, 50000).select(F.pow(F.col("id"), F.lit(3.0)).alias("v"))
-    sizes = O.with_bin(df, ["v"]).groupBy("_bin").count().toPandas()
-    assert len(sizes) > 200 and sizes["count"].max() < 50000 * 0.02
+@pytest.mark.parametrize("groups", [1, 300])
+def test_bins_share_the_rows(spark, groups):
+    df = spark.range(0, 50000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % groups).alias("g"), F.pow(F.col("id"), F.lit(3.0)).alias("v")
+    )
+    sizes = O.with_bin(df, ["g", "v"]).groupBy("_bin").count().toPandas()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == width and sizes["count"].max() < 2 * 50000 / width
     assert np.isclose(sizes["count"].sum(), 50000)

@@ -84,8 +84,26 @@ def test_gates(spark):
     got = {r["column"]: r["gate1_reason"] for r in K.gate_feasibility(cat).collect()}
     assert got == {"a": "POST_FIRE", "b": "CONSTANT", "c": None, "d": "SAME_DAY"}
     pairs = spark.createDataFrame([("erc", "erc_long", 0.995), ("erc_long", "bi", 0.999), ("x", "y", 0.5)], "a string, b string, r double")
-    gone = K.gate_redundancy(["erc", "erc_long", "bi", "x", "y"], pairs)
-    assert gone == {"erc_long": "HIGH_CORR with bi"}
+    names = spark.createDataFrame([(c,) for c in ["erc", "erc_long", "bi", "x", "y", "z"]], "column string")
+    listed = spark.createDataFrame([("z", "unused")], "column string, reason string")
+    gone = {r["column"]: r["reason"] for r in K.gate_redundancy(names, pairs, listed=listed).collect()}
+    assert gone == {"erc": None, "erc_long": "correlated with bi", "bi": None, "x": None, "y": None, "z": "unused"}
+
+
+def test_redundancy_rounds_equal_one_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    names = [f"c{'x' * rng.randrange(4)}{i}" for i in range(25)]
+    rows = [(a, b, rng.choice([0.5, 0.99, 0.995, -0.999, 1.0])) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.2]
+    want = {}
+    for a, b, r in sorted(rows, key=lambda p: (-abs(p[2]), p[0], p[1])):
+        if abs(r) >= 0.99 and a not in want and b not in want:
+            keep, drop = (a, b) if len(a) <= len(b) else (b, a)
+            want[drop] = f"correlated with {keep}"
+    frame = spark.createDataFrame([(c,) for c in names], "column string")
+    got = K.gate_redundancy(frame, spark.createDataFrame(rows, "a string, b string, r double")).collect()
+    assert {r["column"]: r["reason"] for r in got if r["reason"]} == want and len(got) == len(names)
 
 
 def test_out_of_grid_events_are_flagged(spark):
