@@ -149,6 +149,47 @@ def op7(spark, table):
 
 @query(
     "op8_host_rules",
+    r"""
+with texts as (
+  select row_number() over () as n, doc_id, source, coalesce(text, '') as text from documents),
+words as (
+  select n, unnest(ws) as w, generate_subscripts(ws, 1) as i
+  from (select n, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from texts)),
+windows as (
+  select n, i, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o || ' ' || lead(w, 3) over o || ' '
+         || lead(w, 4) over o || ' ' || lead(w, 5) over o || ' ' || lead(w, 6) over o || ' ' || lead(w, 7) over o as k
+  from words window o as (partition by n order by i)),
+marked as (
+  select n, i, k is not null and count(*) over (partition by n, k) > 1 as twice from windows),
+covered as (
+  select n, bool_or(twice) over (partition by n order by i rows between 7 preceding and current row) as again
+  from marked),
+counted as (
+  select n, count(*) as n_words, count(*) filter (where again) as n_repeat_words from covered group by n),
+lined as (
+  select n, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from texts),
+measured as (
+  select doc_id, source, coalesce(n_words, 0)::bigint as n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from texts join lined using (n) left join counted using (n)),
+judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from measured),
+hosts as (
+  select source, count(*) as n, (count(*) filter (where base_failed)) * 1.0::double as failed from judged group by source),
+moments as (
+  select avg(failed / n) as mean, var_pop(failed / n) - avg(failed / n * (1 - failed / n) / n) as spread from hosts),
+prior as (
+  select mean, case when spread > 0 then least(greatest(mean * (1 - mean) / spread - 1, 1.0::double), 1000.0::double)
+                    else 1000.0::double end as strength
+  from moments)
+select j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
+       not j.base_failed and (h.failed + p.mean * p.strength) / (h.n + p.strength) <= 0.5 as kept
+from judged j join hosts h on j.source is not distinct from h.source, prior p
+""",
 )
 def op8(spark, table):
     judged = hostrules.judge_by_host(table("documents"))
