@@ -12,7 +12,7 @@ from ..session import cut_lineage, shuffle_width
 from .ordered import global_index
 from .spatial import exclude_within
 
-# Primes above 2^30: coprime to any smaller pool size.  Products stay below 2^61.
+# Primes for the affine permutation of dense row numbers.
 MULTIPLIERS = (1073741827, 1073741831, 1073741833, 1073741839, 1073741843, 1073741857, 1073741891, 1073741909)
 BLOCK = 4096
 SLOTS_PER_DAY = 4
@@ -23,9 +23,52 @@ def mix(seed: int, *cols) -> Column:
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed))
 
 
-def uniform(seed: int, *cols) -> Column:
+def hashed(*parts: Column, digits: int = 15) -> Column:
+    """The first hex digits of the MD5 of ``parts`` joined by colons, as a number."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def uniform(seed: int, key: str) -> Column:
     """Deterministic uniform number in [0, 1) of a key."""
-    return F.pmod(mix(seed, *cols), F.lit(1 << 53)) / float(1 << 53)
+    return hashed(F.lit(seed), F.col(key), digits=13) / float(1 << 52)
+
+
+class Permutation:
+    """A keyed pseudo-random order of 0 .. size - 1, for sizes up to 2^62, as column arithmetic.
+
+    A number is split into (left, right) of a rows x cols rectangle that holds ``size`` with
+    few places to spare; hashes of one half are added to the other in turn, which can be
+    undone.  ``at`` maps a step to a place, ``step_of`` a place to its step.  Places from
+    ``size`` to ``places`` - 1 are spare and must be passed over.
+    """
+
+    ROUNDS = 2
+
+    def __init__(self, size: int):
+        self.size = max(size, 1)
+        root = math.isqrt(self.size - 1) + 1
+        self.rows = min(range(root, root + 1000), key=lambda a: (-self.size % a, a))
+        self.cols = -(-self.size // self.rows)
+        self.places = self.rows * self.cols
+
+    def at(self, step: Column, key: Column) -> Column:
+        left, right = self._quotient(step), F.pmod(step, F.lit(self.cols))
+        for r in range(self.ROUNDS):
+            left = F.pmod(left + hashed(key, F.lit(2 * r), right), F.lit(self.rows))
+            right = F.pmod(right + hashed(key, F.lit(2 * r + 1), left), F.lit(self.cols))
+        return left * self.cols + right
+
+    def step_of(self, place: Column, key: Column) -> Column:
+        left, right = self._quotient(place), F.pmod(place, F.lit(self.cols))
+        for r in reversed(range(self.ROUNDS)):
+            right = F.pmod(right - hashed(key, F.lit(2 * r + 1), left), F.lit(self.cols))
+            left = F.pmod(left - hashed(key, F.lit(2 * r), right), F.lit(self.rows))
+        return left * self.cols + right
+
+    def _quotient(self, number: Column) -> Column:
+        # not by a double, which is inexact above 2^53
+        return F.call_function("div", number, F.lit(self.cols))
 
 
 def index_grid(grid: DataFrame, cell: str = "cell") -> DataFrame:
@@ -47,74 +90,81 @@ def day_matched_negatives(
 ) -> DataFrame:
     """``ratio`` event-free cells per positive row, drawn inside the same (date, window).
 
-    ``grid`` carries a dense 0-based ``idx``.  Each slot walks the cells in the order
-    (a*i + b) mod N, an affine permutation, and keeps the first wanted cells that had no
-    event.  A slot with fewer than ``ratio`` free cells gives nothing.  The walk is cut
-    into blocks of 4096 steps that are spread over tasks, so a crowded slot is shared
-    out and no window ever sorts more than one block.
+    ``grid`` carries a dense 0-based ``idx``.  Each slot has its own pseudo-random order of
+    the cells and keeps the first wanted ones without an event.  A slot with fewer than
+    ``ratio`` free cells gives nothing.  The steps that meet an event are found from the
+    events, not by walking: the order is cut into blocks of 4096 steps, each block knows its
+    steps to pass over, and only steps that are kept become rows.  Blocks are spread over
+    tasks, so a crowded slot is shared out.  Positives outside the grid count as wanted rows.
     """
-    spark = positives.sparkSession
-    size = grid.agg(F.count(F.lit(1))).scalar()
+    width = shuffle_width(positives.sparkSession)
+    size = grid.count()
+    order = Permutation(size)
+    key = F.concat_ws(":", F.lit(seed), "slot")
     slots = positives.withColumn("slot", slot_number(date, window))
     wanted = slots.groupBy("slot", date, window).agg(F.count(F.lit(1)).alias("rows"))
-    taken = slots.select("slot", cell).distinct().join(grid.select(cell, "idx"), cell).select("slot", "idx")
+    taken = slots.select("slot", cell).distinct().join(grid.select(cell, "idx"), cell)
+    taken = taken.select("slot", F.col("idx").cast("long").alias("place"))
     hits = taken.groupBy("slot").agg(F.count(F.lit(1)).alias("e"))
+    free = F.lit(size) - F.col("e")
     plan = (
         wanted.join(hits, "slot", "left")
         .withColumn("e", F.coalesce("e", F.lit(0)))
-        .withColumn("N", size)
-        .where(F.col("N") - F.col("e") >= ratio)
-        .withColumn("k", F.least(F.col("rows") * ratio, F.col("N") - F.col("e")))
-        .withColumn("steps", F.least(F.col("k") + F.col("e"), F.col("N")))
+        .where(free >= ratio)
+        .withColumn("k", F.least(F.col("rows") * ratio, free))
+        .withColumn("steps", F.col("k") + F.col("e") + (order.places - order.size))
+        .select("slot", date, window, "k", "steps")
     )
-    primes = F.array(*[F.lit(p) for p in MULTIPLIERS])
-    plan = plan.withColumn("a", F.element_at(primes, (F.pmod("slot", F.lit(len(MULTIPLIERS))) + 1).cast("int")))
-    too_big = F.raise_error(F.lit("grid has 2^30 cells or more; split it by region"))
-    plan = plan.withColumn("a", F.when(F.col("N") < (1 << 30), F.col("a")).otherwise(too_big))
-    plan = plan.withColumn("b", F.pmod(F.col("slot") * 9973 + seed * 7919, F.col("N")))
-    blocks = plan.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / BLOCK))))
-    # an explicit number keeps adaptive execution from merging rows that are about to grow
-    blocks = blocks.repartition(shuffle_width(spark), "slot", "block")
+    if order.places > order.size:
+        spare = F.sequence(F.lit(order.size).cast("long"), F.lit(order.places - 1).cast("long"))
+        taken = taken.unionByName(plan.select("slot", F.explode(spare).alias("place")))
+    passed = taken.withColumn("i", order.step_of(F.col("place"), key)).withColumn("block", F.call_function("div", "i", F.lit(BLOCK)))
+    # at most 4096 steps a block
+    passed = passed.groupBy("slot", "block").agg(F.collect_list("i").alias("passed"))
+    last = F.call_function("div", F.col("steps") - 1, F.lit(BLOCK))
+    blocks = plan.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     first = F.col("block") * BLOCK
-    walk = blocks.withColumn("i", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("steps")) - 1)))
-    walk = walk.withColumn("idx", F.pmod(F.col("a") * F.pmod("i", F.col("N")) + F.col("b"), F.col("N")))
-    free = walk.select("slot", "block", "i", "idx", "k", date, window).join(taken, ["slot", "idx"], "left_anti")
-    per_block = free.groupBy("slot", "block").agg(F.count(F.lit(1)).alias("free"))
+    length = F.least(first + BLOCK, F.lit(order.places)) - first
     before = Window.partitionBy("slot").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    quota = per_block.withColumn("before", F.coalesce(F.sum("free").over(before), F.lit(0))).drop("free")
-    inside = Window.partitionBy("slot", "block").orderBy("i")
-    kept = free.join(quota, ["slot", "block"]).withColumn("rn", F.row_number().over(inside))
-    kept = kept.where(F.col("before") + F.col("rn") <= F.col("k")).select("idx", date, window)
-    return kept.join(grid, "idx").drop("idx").withColumn("label", F.lit(0))
+    blocks = (
+        blocks.join(passed, ["slot", "block"], "left")
+        .withColumn("free", length - F.coalesce(F.size("passed"), F.lit(0)))
+        .withColumn("left", F.col("k") - F.coalesce(F.sum("free").over(before), F.lit(0)))
+        .where((F.col("left") > 0) & (F.col("free") > 0))
+    )
+    # an explicit number keeps adaptive execution from merging rows that are about to grow
+    blocks = blocks.repartition(width, "slot", "block")
+    steps = F.array_except(F.sequence(first, first + length - 1), F.coalesce("passed", F.array().cast("array<bigint>")))
+    kept = F.slice(steps, 1, F.least(F.col("left"), F.lit(BLOCK)).cast("int"))
+    walk = blocks.select("slot", date, window, F.explode(kept).alias("i"))
+    walk = walk.select(order.at(F.col("i"), key).alias("idx"), date, window)
+    return walk.join(grid, "idx").drop("idx").withColumn("label", F.lit(0))
 
 
 def hyper_negatives(grid: DataFrame, events: DataFrame, n: int, dates: DataFrame, cell="cell", date="date_utc", window="window_hour", seed: int = 42) -> DataFrame:
     """``n`` random (cell, date, window) triples without an event, dates not matched.
 
-    ``dates`` carries a dense ``date_idx``.  One affine permutation runs over the whole
-    cells x dates x windows index space.
+    ``dates`` carries a dense ``date_idx``.  One pseudo-random order runs over the whole
+    windows x dates x cells space; the first ``n`` free places of it are taken, or all.
     """
     spark = grid.sparkSession
     n_cells, n_dates = grid.count(), dates.count()
     space = n_cells * n_dates * SLOTS_PER_DAY
-    taken_n = events.select(cell, date, window).distinct().count()
-    steps = min(space, n + taken_n)
-    # the largest odd step that keeps a * i inside 64 bits and shares no factor with the space
-    a = min(MULTIPLIERS[seed % len(MULTIPLIERS)], ((1 << 62) // space) | 1)
-    while math.gcd(a, space) != 1:
-        a += 2
-    b = (seed * 7919) % space
+    order = Permutation(space)
+    taken = events.select(cell, date, window).distinct()
+    steps = min(order.places, n + taken.count() + order.places - space) if space else 0
     walk = spark.range(0, steps, numPartitions=shuffle_width(spark))
-    at = F.pmod(F.col("id") * a + b, F.lit(space))
+    walk = walk.select(F.col("id").alias("i"), order.at(F.col("id"), F.lit(seed)).alias("place")).where(F.col("place") < space)
+    day = F.call_function("div", "place", F.lit(n_cells))
     walk = walk.select(
-        F.col("id").alias("i"),
-        F.pmod(at, F.lit(n_cells)).alias("idx"),
-        F.pmod(F.floor(at / n_cells), F.lit(n_dates)).alias("date_idx"),
-        (F.floor(at / (n_cells * n_dates)) * 6).cast("int").alias(window),
+        "i",
+        F.pmod("place", F.lit(n_cells)).alias("idx"),
+        F.pmod(day, F.lit(n_dates)).alias("date_idx"),
+        (F.call_function("div", day, F.lit(n_dates)) * 6).cast("int").alias(window),
     )
     named = walk.join(grid, "idx").join(dates, "date_idx").drop("date_idx")
-    free = named.join(events.select(cell, date, window).distinct(), [cell, date, window], "left_anti")
-    numbered = global_index(cut_lineage(free.drop("idx")), ["i"], "_n")
+    free = named.join(taken, [cell, date, window], "left_anti")
+    numbered = global_index(free.drop("idx"), ["i"], "_n")
     return numbered.where(F.col("_n") < n).drop("_n", "i").withColumn("label", F.lit(0))
 
 
@@ -162,20 +212,28 @@ def draw_dates(points: DataFrame, events: DataFrame, date: str, event_id: str, d
 
 
 def random_negatives(spark, events, bbox: tuple[float, float, float, float], n: int, km: float, event_lat, event_lon, event_id, seed: int = 42, over: int = 2) -> DataFrame:
-    """``n`` uniform points of a box outside ``km`` of events; the draw grows until it is enough."""
+    """The first ``n`` points of a uniform sequence over a box that lie outside ``km`` of events.
+
+    Points are drawn in runs; each run is tested once, and the next is as long as the share
+    of free points so far asks for.  A run without any free point ends it with an error.
+    """
     south, north, west, east = bbox
-    while True:
-        drawn = spark.range(0, n * over, numPartitions=shuffle_width(spark)).select(
+    done, found, parts = 0, 0, None
+    while found < n:
+        share = found / done if done else 1 / over
+        run = max(math.ceil((n - found) / share * 1.1), 1000)
+        drawn = spark.range(done, done + run, numPartitions=shuffle_width(spark)).select(
             "id",
             (uniform(seed, "id") * (north - south) + south).alias("lat"),
             (uniform(seed + 1, "id") * (east - west) + west).alias("lon"),
         )
         far = cut_lineage(exclude_within(drawn, events, "lat", "lon", event_lat, event_lon, event_id, km))
-        if far.count() >= n:
-            return global_index(far, ["id"], "_n").where(F.col("_n") < n).drop("_n")
-        if over > 1024:
-            raise ValueError("the box is nearly covered by events")
-        over *= 4
+        fresh = far.count()
+        if not fresh:
+            raise ValueError(f"events cover the box: none of {run} points lies outside")
+        done, found = done + run, found + fresh
+        parts = far if parts is None else parts.unionByName(far)
+    return global_index(parts, ["id"], "_n").where(F.col("_n") < n).drop("_n")
 
 
 def undersample(df: DataFrame, label: str, ratio: float, order: Column, key: str) -> DataFrame:

@@ -20,13 +20,32 @@ from .table_queries import _HAV, _S_SQL, _cell_sql, _pack_sql
 # ---------------------------------------------------------------- labels and negatives
 
 
+def _hash_sql(*parts: str, digits: int = 15) -> str:
+    text = "||':'||".join(f"cast({p} as varchar)" for p in parts)
+    return f"cast('0x'||substr(md5({text}),1,{digits}) as bigint)"
+
+
+def _order_sql(step: str, key: str) -> str:
+    """Place of a step in the keyed order over an a x b rectangle."""
+    left, right = f"({step}//b)", f"({step}%b)"
+    for i in range(N.Permutation.ROUNDS):
+        left = f"(({left}+{_hash_sql(key, str(2 * i), right)})%a)"
+        right = f"(({right}+{_hash_sql(key, str(2 * i + 1), left)})%b)"
+    return f"{left}*b+{right}"
+
+
+def _sides_sql(size: str) -> str:
+    """One row (N, a, b): the rectangle that holds N places with the fewest to spare."""
+    return f"select N, a, (N+a-1)//a as b from (select N, cast(ceil(sqrt(N)) as bigint)+j as a from (select {size} as N), range(1000) t(j)) order by (a-N%a)%a, a limit 1"
+
+
 def _neg_sql(ratio: int, seed: int, where: str = "true") -> str:
-    primes = list(N.MULTIPLIERS)
     return f"""{POS_SQL}, {GRID_SQL}, psel as (select * from pos where {where}), sl as (select *, date_diff('day', date '1970-01-01', date_utc)*4 + window_hour//6 as slot from psel),
  wanted as (select slot, date_utc, window_hour, count(*) as "rows" from sl group by 1,2,3), taken as (select distinct slot, cell as idx from sl), hits as (select slot, count(*) as e from taken group by 1),
- pl as (select *, least("rows"*{ratio}, N-e) as k, list_extract({primes}, cast(slot%{len(primes)}+1 as integer)) as a, (slot*9973+{seed}*7919)%N as b from wanted join hits using (slot), (select count(*) as N from grid) where N-e>={ratio}),
- walk as (select slot, date_utc, window_hour, k, i, (a*i+b)%N as idx from (select *, unnest(range(least(k+e,N))) as i from pl)),
- free as (select *, row_number() over (partition by slot order by i) as rn from walk where not exists (select 1 from taken t where t.slot=walk.slot and t.idx=walk.idx)),
+ sides as ({_sides_sql("(select count(*) from grid)")}),
+ pl as (select *, least("rows"*{ratio}, N-e) as k from wanted join hits using (slot), sides where N-e>={ratio}),
+ steps as (select *, unnest(range(k+e+a*b-N)) as i from pl), walk as (select slot, date_utc, window_hour, k, N, i, {_order_sql("i", f"'{seed}:'||slot")} as idx from steps),
+ free as (select *, row_number() over (partition by slot order by i) as rn from walk where idx<N and not exists (select 1 from taken t where t.slot=walk.slot and t.idx=walk.idx)),
  neg as (select idx as cell, date_utc, window_hour, 0 as label from free where rn<=k)"""
 
 
@@ -71,9 +90,9 @@ def _(t):
 
 
 @query("n2_hyper_negatives", f"""with {POS_SQL}, {GRID_SQL}, dts as (select date_utc, row_number() over (order by date_utc)-1 as di from (select distinct date_utc from pos)), tk as (select distinct cell, date_utc, window_hour from pos),
- sp as (select *, nc*nd*4 as space from (select (select count(*) from grid) as nc, (select count(*) from dts) as nd, (select count(*) from tk) as nt, (select 5*count(*) from pos) as want)),
- st as (select *, least({N.MULTIPLIERS[42 % 8]}, (4611686018427387904//space) | 1) as a0, least(space, want+nt) as steps, (42*7919)%space as b from sp), mul as (select min(a0+2*j) as a from st, range(1000) t(j) where gcd(a0+2*j, space)=1),
- wk as (select i, (i*a+b)%space as place, nc, nd, want from (select *, unnest(range(steps)) as i from st), mul), nm as (select i, place%nc as cell, date_utc, cast(place//(nc*nd)*6 as integer) as window_hour, want from wk join dts on di=(place//nc)%nd),
+ sp as (select (select count(*) from grid) as nc, (select count(*) from dts) as nd, (select count(*) from tk) as nt, (select 5*count(*) from pos) as want), sides as ({_sides_sql("(select nc*nd*4 from sp)")}),
+ st as (select *, unnest(range(least(a*b, want+nt+a*b-N))) as i from sp, sides), wk as (select i, nc, nd, want, N, {_order_sql("i", "42")} as place from st),
+ nm as (select i, place%nc as cell, date_utc, cast(place//nc//nd*6 as integer) as window_hour, want from wk join dts on di=(place//nc)%nd where place<N),
  fr as (select *, row_number() over (order by i) as rn from nm where not exists (select 1 from tk where tk.cell=nm.cell and tk.date_utc=nm.date_utc and tk.window_hour=nm.window_hour)) select cell, date_utc, window_hour, 0 as label from fr where rn<=want""")
 def _(t):
     dates = global_index(pos(t).select("date_utc").distinct(), ["date_utc"], "date_idx")
@@ -103,7 +122,8 @@ def _(t):
     return N.draw_dates(points, pos(t), "date_utc", "o_orderkey", key=F.col("draw") * 7919)
 
 
-@query("n4_random_negatives")
+@query("n4_random_negatives", f"""with {SITES_SQL}, pts as (select id, {_hash_sql("42", "id", digits=13)}/4503599627370496.0::double*10.66::double+25.84::double as lat, {_hash_sql("43", "id", digits=13)}/4503599627370496.0::double*13.14::double-106.65::double as lon from range(50000) t(id)),
+ far as (select * from pts where not exists (select 1 from sites where {_HAV}<=20) order by id limit 2000) select id, round(lat,6) as lat, round(lon,6) as lon from far""")
 def _(t):
     return rounded(N.random_negatives(t.spark, sites(t), (25.84, 36.5, -106.65, -93.51), 2000, 20.0, "slat", "slon", "sid"))
 
@@ -116,8 +136,9 @@ def _(t):
 
 @query("n6_smote")
 def _(t):
-    minority = t.embeddings.where(F.col("label") == 0).select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    return rounded(N.smote(minority, "vec_id", ["e0", "e1", "e2", "e3"], 200))
+    names = [f"e{i}" for i in range(64)]
+    minority = t.embeddings.where(F.col("label") == 0).select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return rounded(N.smote(minority, "vec_id", names, 200))
 
 
 @query("n7_chronological_split", f"with {POS_SQL} select case when year(date_utc)<=1998 then 'train' when year(date_utc)=1999 then 'val' else 'test' end as split, count(*) as n from pos group by 1")
@@ -401,11 +422,15 @@ def _axes(res: int, src: str, out: str) -> str:
     return body.replace(" ax as", f" {out} as").replace("from grid)", f"from {src})")
 
 
-@query("a37_rollup_cells", f"""with {_SCORED8}, ctr as (select cell, hr*1.5*0.4614::double/{C.KM_PER_DEG!r}::double as lat, (hq+hr/2.0)*sqrt(3.0::double)*0.4614::double/{C._scale(31.0)!r}::double as lon, risk_score, label from cs),
- {_axes(5, "ctr", "p5")}, {_axes(4, "ctr", "p4")}, u as (select 5 as resolution, {_pack_sql(5)} as cell, risk_score, label from p5 union all select 4, {_pack_sql(4)}, risk_score, label from p4 union all select 8, cell, risk_score, label from cs)
- select resolution, cell, round(avg(risk_score),6) as mean_score, cast(sum(label) as bigint) as events, count(*) as rows from u group by 1,2""")
+_LEVELS = (4, 5, 6, 7)
+_ROLLED = f"""{_SCORED8}, ctr as (select cell, hr*1.5*0.4614::double/{C.KM_PER_DEG!r}::double as lat, (hq+hr/2.0)*sqrt(3.0::double)*0.4614::double/{C._scale(31.0)!r}::double as lon, risk_score, label from cs),
+ {", ".join(_axes(v, "ctr", f"p{v}") for v in _LEVELS)}, u as ({" union all ".join(f"select {v} as resolution, {_pack_sql(v)} as cell, risk_score, label from p{v}" for v in _LEVELS)} union all select 8, cell, risk_score, label from cs),
+ rolled as (select resolution, cell, avg(risk_score) as mean_score, cast(sum(label) as bigint) as events, count(*) as rows from u group by 1,2)"""
+
+
+@query("a37_rollup_cells", f"with {_ROLLED} select resolution, cell, round(mean_score,6) as mean_score, events, rows from rolled")
 def _(t):
-    return rounded(R.rollup_cells(_cells_scored(t), (4, 5)))
+    return rounded(R.rollup_cells(_cells_scored(t), _LEVELS))
 
 
 @query("s8_export_scores", f"with {_SCORED8} select cell, {r('risk_score', 3)} as risk_score, label, case when {r('risk_score', 3)}>=0.8 then 'CRITICAL' when {r('risk_score', 3)}>=0.65 then 'HIGH' when {r('risk_score', 3)}>=0.5 then 'MEDIUM-HIGH' when {r('risk_score', 3)}>=0.35 then 'MEDIUM' when {r('risk_score', 3)}>=0.2 then 'LOW-MEDIUM' else 'LOW' end as band from cs")
@@ -413,9 +438,9 @@ def _(t):
     return R.export_scores(_cells_scored(t)).select("cell", "risk_score", "label", "band")
 
 
-@query("s8_export_json")
+@query("s8_export_json", f"""with {_ROLLED} select resolution, cell, '{{"c":'||cell||',"s":'||{r("mean_score", 3)}||',"e":'||events||',"n":'||rows||'}}' as record from rolled""")
 def _(t):
-    return R.export_json(R.rollup_cells(_cells_scored(t), (4, 5)))
+    return R.export_json(R.rollup_cells(_cells_scored(t), _LEVELS))
 
 
 @query("u3_slot_rows", f"with {_DATASET_SQL} select cell, label, split from ds join (select date_utc, window_hour from pos order by date_utc, window_hour limit 1) using (date_utc, window_hour)")
