@@ -13,9 +13,10 @@ from ..functions.scalars import missing_flag
 from ..functions.timefn import cyclic, local_to_utc, peak_flag, season_code, tz_of, utc_window
 from ..session import shuffle_width
 from .clean import drop_redundant, forbid_columns
-from .joins import join_static, join_weather
+from .joins import in_grid, join_static, join_weather
 from .sampling import chronological_split
 from .spatial import nearest_join
+from .windows import trailing_stats
 
 
 def cover_cells(spark, ring: list[tuple[float, float]] | None, bbox: tuple[float, float, float, float], res: int, lat0: float = DEFAULT_LAT0) -> DataFrame:
@@ -165,12 +166,40 @@ def add_time_features(df: DataFrame, date: str, hour: str | None = None, doy: bo
     return out
 
 
-def assemble_dataset(labels: DataFrame, static: DataFrame, weather: DataFrame, probe: str, train_to: int, val_to: int, split_part: Column | None = None) -> DataFrame:
-    """Labels with static and weather features, flags, encodings and a split column.
+def drop_outside(positives: DataFrame, grid: DataFrame, key: str = "cell") -> DataFrame:
+    """Positives whose cell is in the grid: the rest would have no features and give themselves away."""
+    return positives.join(grid.select(key), key, "left_semi")
 
-    One lazy plan; the year of the UTC date decides the split for both classes.
+
+def outside_counts(positives: DataFrame, grid: DataFrame, by: list[str], key: str = "cell") -> DataFrame:
+    """Positives kept and dropped by ``drop_outside``, per group."""
+    flagged = in_grid(positives, grid.select(key).distinct(), key)
+    kept = F.sum("in_grid")
+    return flagged.groupBy(*by).agg(kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("dropped"))
+
+
+def assemble_dataset(
+    labels: DataFrame,
+    static: DataFrame,
+    weather: DataFrame,
+    probe: str,
+    train_to: int,
+    val_to: int,
+    split_part: Column | None = None,
+    keys: tuple[str, str] = ("cell", "date_utc"),
+    trailing: dict[str, tuple[str, ...]] | None = None,
+    days: int = 5,
+) -> DataFrame:
+    """Labels with static, weather and trailing features, flags, encodings and a split column.
+
+    ``keys`` name the weather place and the date in both ``labels`` and ``weather``;
+    ``trailing`` asks for statistics of weather columns over the ``days`` before.  The year
+    of the UTC date decides the split for both classes.
     """
-    out = join_weather(join_static(labels, static), weather)
+    out = join_weather(join_static(labels, static), weather, keys)
+    if trailing:
+        stats = trailing_stats(weather, labels.select(*keys), *keys, trailing, days)
+        out = join_weather(out, stats, keys)
     out = out.withColumn("weather_missing", missing_flag(probe))
     out = add_time_features(out, "date_utc", "window_hour")
     out, _ = forbid_columns(out)

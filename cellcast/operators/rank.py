@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +44,11 @@ def rollup_cells(scored: DataFrame, resolutions=(4, 5, 6, 7), cell: str = "cell"
     Rows are first combined per base cell, so a cell with many rows expands once.
     """
     per_cell = scored.groupBy(cell).agg(F.sum(score).alias("_s"), F.sum(label).alias("_l"), F.count(F.lit(1)).alias("_n"))
-    parents = [
-        F.struct(F.lit(r).alias("resolution"), cell_parent(cell, r, lat0, base_res).alias("parent")) for r in resolutions
-    ] + [F.struct(F.lit(base_res).alias("resolution"), F.col(cell).alias("parent"))]
-    up = per_cell.select("_s", "_l", "_n", F.explode(F.array(*parents)).alias("p"))
-    out = up.groupBy(F.col("p.resolution").alias("resolution"), F.col("p.parent").alias("cell")).agg(
+    # one branch a level over the same shuffle: all levels in one would outgrow generated code
+    levels = [per_cell.select("_s", "_l", "_n", F.lit(r).alias("resolution"), cell_parent(cell, r, lat0, base_res).alias("cell")) for r in resolutions]
+    levels.append(per_cell.select("_s", "_l", "_n", F.lit(base_res).alias("resolution"), F.col(cell).alias("cell")))
+    up = reduce(DataFrame.unionByName, levels)
+    out = up.groupBy("resolution", "cell").agg(
         F.sum("_s").alias("_s"), F.sum("_l").alias("events"), F.sum("_n").alias("rows")
     )
     return out.select("resolution", "cell", (F.col("_s") / F.col("rows")).alias("mean_score"), "events", "rows")
@@ -68,5 +70,5 @@ def export_json(rolled: DataFrame) -> DataFrame:
 
 
 def slot_rows(splits: DataFrame, date: str, window_hour: int) -> DataFrame:
-    """Rows of every split for one (date, window); the filter reaches the scan."""
+    """Rows of every split for one (date, window); on a written table the filter reaches the scan."""
     return splits.where((F.col("date_utc") == F.lit(date).cast("date")) & (F.col("window_hour") == window_hour))

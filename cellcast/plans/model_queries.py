@@ -61,9 +61,13 @@ def _(t):
     return out.groupBy("date_utc", "window_hour").agg(F.count(F.lit(1)).alias("n"), F.sum("cell").alias("checksum"))
 
 
-def _labels(t):
-    neg = N.day_matched_negatives(pos(t), grid(t), 10, 42).select("cell", "date_utc", "window_hour", "label")
-    return pos(t).select("cell", "date_utc", "window_hour", "label").unionByName(neg)
+def _labels(t, slot=None):
+    """Positives inside the grid and their negatives, of one (date, window) when given."""
+    inside = D.drop_outside(pos(t), grid(t))
+    if slot is not None:
+        inside = R.slot_rows(inside, *slot)
+    neg = N.day_matched_negatives(inside, grid(t), 10, 42).select("cell", "date_utc", "window_hour", "label")
+    return inside.select("cell", "date_utc", "window_hour", "label").unionByName(neg)
 
 
 _LABELS_SQL = f"{_neg_sql(10, 42)}, labels_all as (select cell, date_utc, window_hour, label from pos union all select cell, date_utc, window_hour, label from neg)"
@@ -158,23 +162,15 @@ def _(t):
     return ML.apply_medians(df.drop("l_shipdate"), medians)
 
 
-def _dataset(t):
-    static = grid(t).select("cell", F.col("region").alias("whp"), F.col("c_acctbal").alias("cfl"), F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon"))
-    w = weather(t).select("px", F.col("d").alias("date_utc"), "erc", "vs", "tmmx")
-    # written once: the label table feeds the joins and the trailing window
-    labels = cut_lineage(_labels(t).withColumn("px", cell_px(t)))
-    out = D.join_static(labels, static)
-    out = D.join_weather(out, w, ("px", "date_utc"))
-    trail = D_trailing(t, labels)
-    out = D.join_weather(out, trail, ("px", "date_utc"))
-    return D.assemble_dataset(out, static.select("cell"), w.select(F.col("px").alias("cell"), "date_utc").limit(0), "erc", 1998, 1999)
-
+_TRAILING = {"erc": ("mean", "max"), "tmmx": ("mean",)}
 
-def D_trailing(t, labels):
-    from ..operators.windows import trailing_stats
 
-    w = weather(t).withColumnRenamed("d", "date_utc")
-    return trailing_stats(w, labels.select("px", "date_utc"), "px", "date_utc", {"erc": ("mean", "max"), "tmmx": ("mean",)})
+def _dataset(t, slot=None):
+    static = grid(t).select("cell", F.col("region").alias("whp"), F.col("c_acctbal").alias("cfl"), F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon"))
+    # each written once: both feed the joins and the trailing window
+    w = cut_lineage(weather(t).withColumnRenamed("d", "date_utc"))
+    labels = cut_lineage(_labels(t, slot).withColumn("px", cell_px(t)))
+    return D.assemble_dataset(labels, static, w, "erc", 1998, 1999, keys=("px", "date_utc"), trailing=_TRAILING)
 
 
 _DATASET_SQL = f"""{_LABELS_SQL}, {WEATHER_SQL}, lp as (select *, cell%{_S_SQL} as px from labels_all), q as (select distinct px, date_utc from lp),
@@ -191,6 +187,12 @@ def _(t):
     return rounded(_dataset(t))
 
 
+@query("n9_outside_grid", f"with {POS_SQL}, {GRID_SQL}, g as (select cell from grid where region<>3) select cast(year(date_utc) as integer) as year, count(g.cell) as kept, count(*)-count(g.cell) as dropped from pos left join g using (cell) group by 1")
+def _(t):
+    dated = pos(t).withColumn("year", F.year("date_utc"))
+    return D.outside_counts(dated, grid(t).where(F.col("region") != 3), ["year"])
+
+
 # ---------------------------------------------------------------- metrics
 
 _CURVE = f"""{SCORED_SQL}, g as (select score, count(*) filter (where label=1) as pos, count(*) filter (where label=0) as neg from scored group by 1),
@@ -446,7 +448,7 @@ def _(t):
 @query("u3_slot_rows", f"with {_DATASET_SQL} select cell, label, split from ds join (select date_utc, window_hour from pos order by date_utc, window_hour limit 1) using (date_utc, window_hour)")
 def _(t):
     first = pos(t).agg(F.min(F.struct("date_utc", "window_hour")).alias("s")).first()["s"]
-    return R.slot_rows(_dataset(t), str(first["date_utc"]), first["window_hour"]).select("cell", "label", "split")
+    return _dataset(t, (str(first["date_utc"]), first["window_hour"])).select("cell", "label", "split")
 
 
 # ---------------------------------------------------------------- streams

@@ -40,6 +40,28 @@ def test_hot_slot_spans_blocks_and_ignores_partitioning(spark):
     assert one.exceptAll(two).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000, 4999])
+def test_permutation_is_one_to_one(spark, size):
+    order = N.Permutation(size)
+    assert size <= order.places < size + order.rows
+    rows = spark.range(0, order.places).select("id", order.at(F.col("id"), F.lit("k")).alias("place"))
+    rows = rows.withColumn("back", order.step_of(F.col("place"), F.lit("k"))).collect()
+    assert sorted(r["place"] for r in rows) == list(range(order.places))
+    assert all(r["id"] == r["back"] for r in rows)
+
+
+@pytest.mark.parametrize("size", [(1 << 30) - 24, 1073741800 * 5, 10**13, (1 << 62) - 3])
+def test_permutation_spreads_evenly_over_large_sizes(spark, size):
+    order = N.Permutation(size)
+    rows = spark.range(0, 40000).select("id", order.at(F.col("id"), F.lit(42)).alias("place"))
+    rows = rows.withColumn("ok", order.step_of(F.col("place"), F.lit(42)) == F.col("id"))
+    tenth = F.floor(F.col("place").cast("double") * 10 / order.places)
+    found = rows.groupBy(tenth.alias("tenth")).agg(F.count("id").alias("n"), F.countDistinct("place").alias("d"), F.every("ok").alias("ok")).collect()
+    assert len(found) == 10 and all(r["ok"] and r["n"] == r["d"] and 3700 < r["n"] < 4300 for r in found)
+    steps = [r["place"] for r in rows.orderBy("id").limit(500).collect()]
+    assert len({b - a for a, b in zip(steps, steps[1:])}) > 490  # no fixed stride
+
+
 def test_hyper_negatives(spark):
     grid = _grid(spark, 300)
     dates = spark.range(0, 20).select(F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("date_utc"), F.col("id").alias("date_idx"))
