@@ -34,12 +34,21 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for work columns that no column of ``df`` has, whatever the letter case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def rows_where(df: DataFrame, column: str, judge: Callable[[], Callable[[object], bool]], kind: str) -> DataFrame:
     """The rows of ``df`` whose ``column``, cast to ``kind``, a Python test accepts, unchanged.
 
     ``judge`` makes the test, once in each task.
     """
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{column}`").cast(kind).alias("_judged"))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{column}`").cast(kind).alias(fresh(df, "judged")[0]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import rows_where, without
+from .common import fresh, rows_where, without
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SPACE = b" \t\n\r\x0b\x0c"
@@ -67,9 +67,8 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def measure_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every document and its five counts, from the whole text."""
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in columns], F.col("text").cast("binary").alias("_text")
-    )
+    whole = F.col("text").cast("binary").alias(fresh(docs, "text")[0])
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], whole)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     schema = ", ".join([*fields, *[f"{m} bigint" for m in MEASURES]])
     return rows.mapInArrow(_measure_batches, schema)
@@ -129,8 +128,9 @@ def judge_by_host(
         with_base_rule(measure_documents(docs, columns), min_words, max_repeat), "measured"
     )
     hosts = cut_lineage(host_rates(measured, host), "host-rates")
-    hosts = hosts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    joined = measured.join(hosts.hint("merge"), F.col(f"`{host}`").eqNullSafe(F.col("_host"))).drop("_host")
+    name = fresh(measured, "host")[0]
+    hosts = hosts.select(F.col("host").alias(name), F.col("rate").alias("host_rate"))
+    joined = measured.join(hosts.hint("merge"), F.col(f"`{host}`").eqNullSafe(F.col(name))).drop(name)
     passes = F.col("host_rate") <= max_host_rate
     return joined.withColumn("kept", ~F.col("base_failed") & passes)
 
@@ -149,8 +149,9 @@ def drop_by_host(
     """
     measured = with_base_rule(measure_documents(docs, [host]), min_words, max_repeat)
     rates = host_rates(measured.select(host, "base_failed"), host)
+    name = fresh(docs, "host")[0]
     rejected = cut_lineage(
-        rates.where(F.col("rate") > max_host_rate).select(F.col("host").alias("_host")), "hosts-rejected"
+        rates.where(F.col("rate") > max_host_rate).select(F.col("host").alias(name)), "hosts-rejected"
     )
 
     def judge():
@@ -161,4 +162,4 @@ def drop_by_host(
         return passes
 
     passing = rows_where(docs, "text", judge, "binary")
-    return passing.join(rejected, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left_anti")
+    return passing.join(rejected, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left_anti")

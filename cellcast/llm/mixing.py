@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import cut_lineage
-from .common import SPACES, WORD, ranked, without
+from .common import SPACES, WORD, fresh, ranked, without
 
 ADDED = ["size", "source_size", "target", "taken", "repeats", "part"]
 #: Hash buckets of a source; the one in which a source's last repetition ends is cut.
@@ -89,49 +89,50 @@ def mix_sources(
     with the same or no doc_id are drawn alike. Columns named like the added ones are replaced.
     """
     kept = without(docs, ADDED)
+    bucket, draw, portion, at, owner = fresh(docs, "bucket", "draw", "portion", "at", "owner")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     rows = docs.select(
         *[F.col(f"`{c}`") for c in kept.columns],
         word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(digest, 1, 3), 16, 10).cast("int").alias("_bucket"),
-        (F.conv(F.substring(digest, 4, 6), 16, 10).cast("double") / float(16**6)).alias("_draw"),
+        F.conv(F.substring(digest, 1, 3), 16, 10).cast("int").alias(bucket),
+        (F.conv(F.substring(digest, 4, 6), 16, 10).cast("double") / float(16**6)).alias(draw),
     )
     # one row a source and bucket at most, summed before the shuffle
     held = cut_lineage(
-        rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")), "mix-buckets"
+        rows.groupBy("source", bucket).agg(F.sum("size").alias("_words")), "mix-buckets"
     )
     sources = held.groupBy("source").agg(F.sum("_words").alias("source_size"))
     targets = fill_targets(cyclic_weights(sources, weights), share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     before = (
-        Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     )
     left = F.col("target") - F.col("repeats") * F.col("source_size") - F.col("_before")
     plan = (
         held.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-        .withColumnRenamed("source", "_source")
-        .join(targets, F.col("_source").eqNullSafe(F.col("source")))
+        .withColumnRenamed("source", owner)
+        .join(targets, F.col(owner).eqNullSafe(F.col("source")))
         .withColumn("repeats", F.coalesce(epochs, F.lit(0)).cast("long"))
         .withColumn("_left", left)
         .select(
-            "_source",
-            F.col("_bucket").alias("_at"),
+            owner,
+            F.col(bucket).alias(at),
             "source_size",
             "target",
             "repeats",
             F.when(F.col("_left") <= 0, 0.0)
             .when(F.col("_left") >= F.col("_words"), 1.0)
             .otherwise(F.col("_left") / F.col("_words"))
-            .alias("_share"),
+            .alias(portion),
         )
     )
     plan = cut_lineage(plan, "mix-plan")
-    same = (F.col("_at") == F.col("_bucket")) & F.col("_source").eqNullSafe(F.col("source"))
+    same = (F.col(at) == F.col(bucket)) & F.col(owner).eqNullSafe(F.col("source"))
     joined = rows.join(plan.hint("merge"), same)
     if cut:
-        part = F.floor(F.col("size") * F.col("_share") + F.col("_draw"))
+        part = F.floor(F.col("size") * F.col(portion) + F.col(draw))
     else:
-        part = F.when(F.col("_draw") < F.col("_share"), F.col("size")).otherwise(0)
+        part = F.when(F.col(draw) < F.col(portion), F.col("size")).otherwise(0)
     return joined.withColumn("part", part.cast("long")).select(
         *[F.col(f"`{c}`") for c in kept.columns],
         "size",
@@ -150,6 +151,6 @@ def repeat_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """
     more = F.when((F.col("part") > 0) & (F.col("part") == F.col("size")), 1).otherwise(0)
     times = (F.col("repeats") + more).cast("int")
-    return mixed.select(
-        *[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")
-    ).drop("_copy")
+    copy = fresh(mixed, "copy")[0]
+    again = F.explode(F.array_repeat(F.lit(1), times)).alias(copy)
+    return mixed.select(*[F.col(f"`{c}`") for c in columns], again).drop(copy)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER
+from .common import ASCII_LOWER, ASCII_UPPER, fresh
 
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 800_000
@@ -405,7 +405,7 @@ def pack_examples(examples: DataFrame, limits: Limits, key: str = "doc_id") -> D
 def count_tokens_of(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Input columns and ``tokens``, the ids of the text by the tokenizer (null text: 0)."""
     kept = [c for c in docs.columns if c.lower() != "tokens"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(fresh(docs, "text")[0]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

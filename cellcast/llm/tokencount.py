@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: What stands for the space before a word, as in the vocabulary's pieces.
 MARK = "▁"
 #: By how much an unknown character scores below the vocabulary's lowest piece.
@@ -116,7 +118,7 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     tokens. An input column named n_tokens is replaced.
     """
     kept = [c for c in docs.columns if c.lower() != "n_tokens"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(fresh(docs, "text")[0]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

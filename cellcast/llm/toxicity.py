@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_where
+from .common import fresh, rows_where
 
 # Look-alike letters, digits and signs, and the Latin letters they stand for.
 HOMOGLYPHS = {
@@ -250,7 +250,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) ->
     like the added ones are replaced.
     """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(fresh(docs, "text")[0]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 from cellcast.llm import hostrules, mixing, urlfilter
-from cellcast.llm.common import components, ranked
+from cellcast.llm.common import components, ranked, rows_where
 from pyspark.sql import functions as F
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -172,6 +172,24 @@ def test_hosts_are_shrunk_and_judged(spark):
     assert hostrules.judge_by_host(docs.limit(0)).count() == 0
 
 
+def test_columns_named_like_work_columns_pass_through(spark):
+    names = ["text", "bucket", "draw", "portion", "at", "owner", "copy", "host", "judged", "words"]
+    good = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, good, "a"), (2, "short", "a"), (3, None, None)], "doc_id long, text string, source string")
+    clash = docs.select("*", *[F.lit(f"own {n}").alias(f"_{n}") for n in names], F.lit("own").alias("__Text"))
+    own = ["doc_id", *clash.columns[3:]]
+    want = sorted(map(tuple, clash.select(*own).collect()))
+    mixed = mixing.mix_sources(clash, cut=False)
+    judged = hostrules.judge_by_host(clash)
+    assert sorted(map(tuple, mixed.select(*own).collect())) == want
+    assert sorted(map(tuple, judged.select(*own).collect())) == want
+    assert mixing.repeat_documents(mixed, clash.columns).columns == clash.columns
+    kept = hostrules.drop_by_host(clash)
+    assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} <= {1}
+    short = rows_where(clash, "text", lambda: lambda t: t == "short", "string")
+    assert [r["doc_id"] for r in short.collect()] == [2] and short.columns == clash.columns
+
+
 def test_ranks_and_components_match_brute_force(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("é",), ("Z",)], "s string")
     got = {r.s: r["rank"] for r in ranked(df, F.col("s").asc_nulls_last()).collect()}
