@@ -32,6 +32,32 @@ def _place(t, name: str) -> str:
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query("s1_read_events", """select cast(year(o_orderdate) as integer) as source_year, count(*) as rows, count(case when year(o_orderdate)=1995 and o_orderkey%97=0 then 1 when year(o_orderdate)=1997 and o_orderkey%89=0 then 1 end) as corrupt,
+ cast(sum(o_orderkey) as bigint) as keys, count(case when year(o_orderdate)<>1996 then o_orderstatus end) as states, count(case when year(o_orderdate)=1996 then 1 end) as news, count(*) as dated, false as missing
+ from orders where year(o_orderdate) between 1995 and 1997 group by 1 union all select 1990, 0, 0, 0, 0, 0, 0, true""")
+def _(t):
+    base, key, price = _place(t, "yearly"), F.col("o_orderkey"), F.col("o_totalprice")
+    # the last field of a broken line holds a bare comma: one field too many
+    status = lambda n: F.when(key % n == 0, F.concat("o_orderstatus", F.lit(",x"))).otherwise(F.col("o_orderstatus"))
+    layouts = {
+        1995: [key.alias("fod_id"), price.alias("FIRE_SIZE"), status(97).alias("State")],
+        1996: [F.lit(1996).alias("FIRE_YEAR"), price.alias("fire_size"), key.alias("FOD_ID"), F.col("o_orderpriority").alias("NEW")],
+        1997: [price.alias("FIRE_SIZE"), key.alias("FOD_ID"), status(89).alias("STATE")],
+    }
+    for year, columns in layouts.items():
+        rows = t.orders.where(F.year("o_orderdate") == year).select(*columns)
+        rows.write.option("quote", "").csv(f"{base}/{year}_FPA_FOD_cons.csv", header=True)
+    events, absent = RD.read_events(t.spark, base, years=[1990, 1995, 1996, 1997])
+    found = events.groupBy("source_year").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("corrupt_line").alias("corrupt"), F.sum(F.col("FOD_ID").cast("long")).alias("keys"),
+        F.count("STATE").alias("states"), F.count("NEW").alias("news"), F.count(F.when(F.col("FIRE_YEAR") == F.col("source_year"), 1)).alias("dated"),
+        F.lit(False).alias("missing"),
+    )
+    gaps = t.spark.range(len(absent)).select(F.element_at(F.array(*map(F.lit, absent)), F.col("id").cast("int") + 1).alias("source_year"))
+    zero = F.lit(0).cast("long")
+    return found.unionByName(gaps.select("source_year", *[zero.alias(c) for c in found.columns[1:-1]], F.lit(True).alias("missing")))
+
+
 @query("s2_read_table", "select l_returnflag, count(*) as n from lineitem group by 1")
 def _(t):
     return RD.read_table(t.spark, f"{t.folder}/lineitem.parquet").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
@@ -47,13 +73,23 @@ def _(t):
 
 @query("s4_read_points", f"with {GRID_SQL} select cell, lat, lon, date '2024-03-05' + cast(idx%20 as integer) as acq_date, 1 as \"Fire\" from grid where idx%7<>0")
 def _(t):
-    raw = grid(t).select(
+    return RD.clean_points(_raw_points(t), "lat", "lon", "acq_date", 2024)
+
+
+@query("s4_read_points_file", f"with {GRID_SQL} select cast(cell as varchar) as cell, lat, lon, date '2024-03-05' + cast(idx%20 as integer) as acq_date, 1 as \"Fire\" from grid where idx%7<>0")
+def _(t):
+    path = _place(t, "points")
+    _raw_points(t).write.csv(path, header=True)
+    return RD.read_points(t.spark, path, 2024, "lat", "lon", "acq_date")
+
+
+def _raw_points(t):
+    return grid(t).select(
         "cell",
         F.when(F.pmod("idx", F.lit(7)) != 0, F.col("lat").cast("string")).otherwise("n/a").alias("lat"),
         F.col("lon").cast("string").alias("lon"),
         F.date_add(F.lit("2024-03-05").cast("date"), F.pmod("idx", F.lit(20)).cast("int")).cast("string").alias("acq_date"),
     )
-    return RD.clean_points(raw, "lat", "lon", "acq_date", 2024)
 
 
 _RAW_SQL = f"""{WEATHER_SQL}, raw as (select 'erc' as var, d as date, px, cast(case when floor(erc)=17 then 32767 else floor(erc*10) end as integer) as raw from weather
@@ -107,6 +143,14 @@ def _(t):
     return rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.max("pdsi").alias("pdsi"))
 
 
+@query("s10_read_daily_scalar", "select cast(o_orderdate as date) as date, nullif(max(o_totalprice), min(o_totalprice)) as value from orders group by 1")
+def _(t):
+    path = _place(t, "daily")
+    span = F.when(F.max("o_totalprice") != F.min("o_totalprice"), F.max("o_totalprice").cast("string")).otherwise("n/a")
+    t.orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(span.alias("value")).write.csv(path, header=True)
+    return RD.read_daily_scalar(t.spark, path)
+
+
 # ---------------------------------------------------------------- schema and cleaning
 
 
@@ -339,16 +383,13 @@ def _(t):
     return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p23_keyword_table", "with w as (select row_number() over (order by p_brand) as rule_no, p_brand as keyword from part group by p_brand), h as (select d.doc_id, min(w.rule_no) as k from documents d join w on contains(lower(d.lang||' '||d.source||' '||(d.doc_id%60)), lower(replace(w.keyword,'Brand#',''))) group by 1) select d.doc_id, coalesce((select keyword from w where rule_no=h.k),'none') as category from documents d left join h using (doc_id)")
+@query("p23_keyword_table", """with w as (select n_nationkey as rule_no, lower(substr(n_name,1,3+n_nationkey%2)) as keyword, n_name as category from nation),
+ h as (select d.doc_id, arg_min(w.category, w.rule_no) as category from documents d join w on contains(lower(d.text), w.keyword) group by 1)
+ select d.doc_id, coalesce(h.category,'none') as category from documents d left join h using (doc_id)""")
 def _(t):
-    from pyspark.sql import Window
-
-    brands = t.part.select("p_brand").distinct()
-    rules = brands.withColumn("rule_no", F.row_number().over(Window.orderBy("p_brand"))).select(
-        "rule_no", F.regexp_replace("p_brand", "Brand#", "").alias("keyword"), F.col("p_brand").alias("category")
-    )
-    text = F.concat_ws(" ", "lang", "source", F.pmod("doc_id", F.lit(60)).cast("string"))
-    return K.keyword_classify_table(t.documents.select("doc_id", text.alias("txt")), "txt", rules, default="none").select("doc_id", "category")
+    keyword = F.lower(F.substring("n_name", F.lit(1), 3 + F.pmod("n_nationkey", F.lit(2)).cast("int")))
+    rules = t.nation.select(F.col("n_nationkey").alias("rule_no"), keyword.alias("keyword"), F.col("n_name").alias("category"))
+    return K.keyword_classify_table(t.documents.select("doc_id", "text"), "text", rules, default="none").select("doc_id", "category")
 
 
 @query("p31_contains_ci", "select count(*) as n from part where contains(lower(p_type),'brass')")

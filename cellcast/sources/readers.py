@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,41 +10,59 @@ from pyspark.sql import functions as F
 from ..functions.scalars import to_date, to_number
 from ..operators.clean import canonical_columns
 from ..operators.ordered import first_per_key
+from ..session import cut_lineage
 
 FILE_GLOB = "*_FPA_FOD_cons.csv"
-YEAR_PATTERN = r"([0-9]{4})_[^/]*$"
+#: The year of a file, or of a folder of part files, of that name.
+YEAR_PATTERN = r"([0-9]{4})_[^/]*(/part-[^/]*)?$"
 
 
-def list_files(spark: SparkSession, folder: str, glob: str) -> list[str]:
-    """Paths under ``folder`` that match, file contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path")
-    # one row per file
-    return sorted(r["path"] for r in found.collect())
+def _layout(spark: SparkSession, header: str) -> list[str]:
+    """Canonical column names of a header line; a repeated name gets its position."""
+    names = [n.strip() or f"_c{i}" for i, n in enumerate(next(csv.reader([header.lstrip("\ufeff")])))]
+    empty = spark.createDataFrame([], ", ".join(f"c{i} string" for i in range(len(names)))).toDF(*names)
+    found = []
+    for i, name in enumerate(canonical_columns(empty).columns if len(set(names)) == len(names) else names):
+        found.append(f"{name}{i}" if name in found else name)
+    return found
 
 
-def read_events(spark: SparkSession, folder: str, glob: str = FILE_GLOB, years: list[int] | None = None) -> tuple[DataFrame, list[int]]:
+def read_events(spark: SparkSession, folder: str, glob: str = FILE_GLOB, years: list[int] | None = None, corrupt: str = "corrupt_line") -> tuple[DataFrame, list[int]]:
     """Union of yearly CSV files as text columns, and the expected years that are absent.
 
-    Files may differ in columns and their order, so each is read by its own header.
-    A file without a year in its name is skipped; a missing FIRE_YEAR is filled in.
+    All files are one scan of lines.  Each file's first line is its header; a line is read
+    by its own file's header, whatever the columns and their order.  Lines with too many or
+    too few fields are kept with the fields that fit, and whole in the ``corrupt`` column,
+    which is null elsewhere.  Repeated headers and blank lines are dropped, files without a
+    year in their name skipped, a missing FIRE_YEAR is filled in.  Quoted line breaks are not
+    supported.  Only distinct headers and years reach the driver.
     """
-    import re
-
-    frames, seen = [], []
-    for path in list_files(spark, folder, glob):
-        hit = re.search(YEAR_PATTERN, path)
-        if not hit:
-            continue
-        year = int(hit.group(1))
-        seen.append(year)
-        df = canonical_columns(spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=False))
-        if "FIRE_YEAR" not in df.columns:
-            df = df.withColumn("FIRE_YEAR", F.lit(str(year)))
-        frames.append(df.withColumn("source_year", F.lit(year)))
-    if not frames:
+    lines = spark.read.text(f"{folder.rstrip('/')}/{glob}").select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    lines = lines.withColumn("_year", F.regexp_extract("_file", YEAR_PATTERN, 1)).where(F.col("_year") != "")
+    first = lines.where(F.col("_block") == 0).withColumn("_line", F.monotonically_increasing_id())
+    heads = cut_lineage(first.groupBy("_file", "_year").agg(F.min_by("value", "_line").alias("_header")), "headers")
+    headers = sorted(r["_header"] for r in heads.select("_header").distinct().collect())
+    if not headers:
         raise FileNotFoundError(f"no file like {glob} with a year in {folder}")
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return merged, [y for y in (years or []) if y not in seen]
+    seen = {int(r["_year"]) for r in heads.select("_year").distinct().collect()}
+    rows = lines.join(heads.drop("_year"), "_file").where((F.col("value") != F.col("_header")) & (F.trim("value") != ""))
+    layouts = [_layout(spark, h) for h in headers]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+    parsed = []
+    for i, (header, names) in enumerate(zip(headers, layouts)):
+        fields = ", ".join([*[f"c{j} string" for j in range(len(names))], "bad string"])
+        parsed.append(F.when(F.col("_header") == header, F.from_csv("value", fields, options)).alias(f"_l{i}"))
+    rows = rows.select("_year", *parsed)
+    out = []
+    for name in dict.fromkeys([*(n for names in layouts for n in names), "FIRE_YEAR"]):
+        cells = [F.col(f"_l{i}.c{names.index(name)}") for i, names in enumerate(layouts) if name in names]
+        if name == "FIRE_YEAR":
+            cells += [F.when(F.col(f"_l{i}").isNotNull(), F.col("_year")) for i, names in enumerate(layouts) if name not in names]
+        out.append(F.coalesce(*cells).alias(name))
+    bad = F.coalesce(*[F.col(f"_l{i}.bad") for i in range(len(layouts))]).alias(corrupt)
+    return rows.select(*out, F.col("_year").cast("int").alias("source_year"), bad), [y for y in (years or []) if y not in seen]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
