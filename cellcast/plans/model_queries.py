@@ -465,6 +465,12 @@ def _(t):
     return live.drain(out, "live-counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("x1_closed_windows", "with c as (select user_id%10 as cell, time_bucket(interval '6 hours', ts) as window_start, count(*) as events from events group by 1,2) select * from c where window_start + interval '6 hours' <= (select max(ts) - interval '1 day' from events)")
+def _(t):
+    out = live.live_counts(_stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "ts", F.pmod("user_id", F.lit(10)))
+    return live.append_closed(out, "closed-counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("x2_live_violations", "select time_bucket(interval '6 hours', ts) as window_start, count(*) as rows, cast(sum(case when value<10 then 1 else 0 end) as bigint) as low, cast(sum(case when event_type='click' then 1 else 0 end) as bigint) as clicks from events group by 1")
 def _(t):
     rules = {"low": F.col("value") < 10, "clicks": F.col("event_type") == "click"}

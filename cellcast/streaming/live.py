@@ -59,3 +59,24 @@ def drain(result: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(target)
+
+
+def append_closed(result: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over everything available now and reads the closed windows back.
+
+    Append mode: a window is written once, when the watermark has passed its end, and its
+    state is dropped then; rows later than that are left out.  Windows still open at the
+    end stay in the state of the checkpoint.
+    """
+    spark = result.sparkSession
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    query = (
+        result.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{base}/table")
+        .option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{base}/table")
