@@ -200,6 +200,8 @@ def assemble_dataset(
     if trailing:
         stats = trailing_stats(weather, labels.select(*keys), *keys, trailing, days)
         out = join_weather(out, stats, keys)
+    # the joins put their keys first
+    out = out.select(*labels.columns, *[c for c in out.columns if c not in labels.columns])
     out = out.withColumn("weather_missing", missing_flag(probe))
     out = add_time_features(out, "date_utc", "window_hour")
     out, _ = forbid_columns(out)
