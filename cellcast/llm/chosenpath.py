@@ -25,8 +25,10 @@ class PathJoin:
     it down one token of every node, chosen by the node, and down a second token so often
     that a pair of the least similarity shares one child of a node on average: it stays
     together for long, dissimilar documents part fast. A node is small when its documents
-    weigh at most ``leaf``; a document weighs 1 and 1 more for each 4096 shingles. After
-    ``depth`` levels nodes that are still large are compared block by block.
+    weigh at most ``leaf``; a document weighs 1 and 1 more for each 4096 shingles. Nodes that
+    are still large after ``depth`` levels hold documents that are mostly alike: they are cut
+    into parts that share about ``leaders`` documents, and only what these don't join is
+    compared part by part.
     """
 
     percent: int = 85
@@ -35,6 +37,7 @@ class PathJoin:
     trees: int = 8
     leaf: int = 1024
     depth: int = 24
+    leaders: int = 16
     seed: int = 97
 
     @property
@@ -85,29 +88,29 @@ def _children(join: PathJoin, node: Column) -> Column:
     return F.when(twice, F.array_distinct(F.array(child(1), child(2)))).otherwise(F.array(child(1)))
 
 
-def small_nodes(classes: DataFrame, join: PathJoin) -> DataFrame:
-    """Rows (cls, leaf): the small nodes of all trees that hold two classes or more.
+def small_nodes(classes: DataFrame, join: PathJoin) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (cls, leaf, grp) of the small nodes of all trees that hold two classes or more,
+    and rows (cls, weight, node, n, heavy) of the nodes that stay large, None without any.
 
     A level takes the documents of the nodes that are still large one token further, counts
-    the children and parts them; only ids move. Nodes that are large after the last level
-    are cut into blocks, and every pair of blocks is a node of its own, so no pair is lost.
+    the children and parts them; only ids move. ``grp`` is the small node itself.
     """
     weight = (1 + F.col("n_shingles") / 4096).alias("weight")
     roots = F.transform(F.sequence(F.lit(1), F.lit(join.trees)), lambda t: F.xxhash64(F.lit(join.seed), t))
     slim = classes.select("cls", weight, "sig", F.explode(roots).alias("parent"))
     slim = slim.select("cls", "weight", F.explode(_children(join, F.col("parent"))).alias("node"))
     leaves: list[DataFrame] = []
+    crowded = None
     for level in range(join.depth + 1):
         slim = cut_lineage(slim, "path-level")
         held = cut_lineage(
             slim.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("heavy")).where("n > 1"),
             "path-nodes",
         )
-        placed = cut_lineage(
-            slim.join(held.select("node", "heavy").hint("merge"), "node"), "path-placed"
-        )
-        leaves.append(placed.where(F.col("heavy") <= join.leaf).select("cls", F.col("node").alias("leaf")))
-        large = placed.where(F.col("heavy") > join.leaf)
+        placed = cut_lineage(slim.join(held.hint("merge"), "node"), "path-placed")
+        small = F.col("heavy") <= join.leaf
+        leaves.append(placed.where(small).select("cls", F.col("node").alias("leaf"), F.col("node").alias("grp")))
+        large = placed.where(~small)
         if large.isEmpty():
             break
         if level < join.depth:
@@ -116,17 +119,57 @@ def small_nodes(classes: DataFrame, join: PathJoin) -> DataFrame:
                 "cls", "weight", F.explode(_children(join, F.col("node"))).alias("node")
             )
         else:
-            blocks = F.ceil(F.col("heavy") * 2 / join.leaf).cast("int")
-            mine = F.pmod(F.xxhash64("cls", F.lit(join.seed)), blocks).cast("int")
-            pairs = large.select(
-                "cls", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-            )
-            leaf = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))
-            leaves.append(pairs.select("cls", leaf.alias("leaf")))
+            crowded = large
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out
+    return out, crowded
+
+
+def _part(join: PathJoin, parts: Column) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(join.seed)), parts).cast("int")
+
+
+def led_parts(crowded: DataFrame, join: PathJoin) -> DataFrame:
+    """Rows (cls, leaf, grp) that cut large nodes into parts; each has the node's leaders too.
+
+    About ``leaders`` classes of a node, drawn by hash, are in all of its parts, so rows grow
+    with the node. ``grp`` is the large node: two parts of it have it in common.
+    """
+    parts = F.ceil(F.col("heavy") * 2 / join.leaf).cast("int")
+    draw = F.pmod(F.xxhash64("cls", F.lit(join.seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+    everywhere = F.sequence(F.lit(0), parts - 1)
+    at = F.when(draw < join.leaders / F.col("n"), everywhere).otherwise(F.array(_part(join, parts)))
+    rows = crowded.select("cls", "node", F.explode(at).alias("part"))
+    return rows.select("cls", F.xxhash64("node", "part").alias("leaf"), F.col("node").alias("grp"))
+
+
+def stray_parts(crowded: DataFrame, component: DataFrame, join: PathJoin) -> DataFrame:
+    """Rows (cls, leaf, grp) in which every stray class of a large node meets all of the node.
+
+    ``component`` has (cls, known). The commonest component of a node is its core; classes
+    of the core are joined already, so only the others, the strays, are still to be compared
+    with all. Each part of the strays meets each part of the node; nodes without a stray have
+    no row.
+    """
+    named = cut_lineage(crowded.join(component.hint("merge"), "cls"), "path-crowded")
+    shares = named.groupBy("node", "known").agg(F.count("*").alias("n"), F.sum("weight").alias("held"))
+    cores = cut_lineage(
+        shares.groupBy("node")
+        .agg(F.max_by("known", F.struct("n", "known")).alias("core"), F.max_by("held", F.struct("n", "known")).alias("held"), F.sum("held").alias("all"))
+        .where(F.col("all") > F.col("held"))
+        .select("node", "core", (F.col("all") - F.col("held")).alias("stray")),
+        "path-cores",
+    )
+    rows = named.join(cores.hint("merge"), "node")
+    wide = F.ceil(F.col("heavy") * 2 / join.leaf).cast("int")
+    few = F.ceil(F.col("stray") * 2 / join.leaf).cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), few - 1), lambda k: F.struct(k.alias("few"), _part(join, wide).alias("wide")))
+    as_stray = F.transform(F.sequence(F.lit(0), wide - 1), lambda k: F.struct(_part(join, few).alias("few"), k.alias("wide")))
+    spots = F.when(F.col("known") == F.col("core"), as_member).otherwise(F.array_union(as_member, as_stray))
+    rows = rows.select("cls", "node", F.explode(spots).alias("at"))
+    leaf = F.xxhash64("node", F.lit("stray"), "at.few", "at.wide")
+    return rows.select("cls", leaf.alias("leaf"), leaf.alias("grp"))
 
 
 def _match_counts(sketch: np.ndarray) -> np.ndarray:
@@ -152,8 +195,9 @@ def candidate_pairs(sketch: np.ndarray, sizes: np.ndarray, join: PathJoin) -> tu
 def promising(rows: DataFrame, join: PathJoin) -> DataFrame:
     """Rows (leaf, cls) of the classes that a small node must compare on full sets.
 
-    Small nodes are compared exhaustively by sizes and sketches. A pair that several nodes
-    hold is left to the least of them, so most documents are fetched once.
+    ``rows`` are (leaf, cls, n_shingles, sketch, grps, grp, known). Small nodes are compared
+    exhaustively by sizes and sketches, but for pairs of the same known component. A pair that
+    several nodes hold is left to the least of them, so most documents are fetched once.
     """
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "leaf").sortWithinPartitions("leaf")
 
@@ -163,16 +207,17 @@ def promising(rows: DataFrame, join: PathJoin) -> DataFrame:
             sizes = batch.column(2).to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, join.tokens)
             lists = padded_lists(batch.column(4))
-            leaf = batch.column(0).to_numpy(zero_copy_only=False)
+            leaf, grp, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 5, 6))
             out_leaf, out_cls = [], []
             for start, stop in bounds:
                 if stop - start < 2:
                     continue
                 a, b, _ = candidate_pairs(sketch[start:stop], sizes[start:stop], join)
+                apart = known[a + start] != known[b + start]
+                a, b = a[apart] + start, b[apart] + start
                 if not len(a):
                     continue
-                a, b = a + start, b + start
-                here, own = leaf[start], np.zeros(len(a), bool)
+                here, own = grp[start], np.zeros(len(a), bool)
                 for at in range(0, len(a), 1 << 14):
                     x, y = lists[a[at : at + (1 << 14)]], lists[b[at : at + (1 << 14)]]
                     shared = np.full(len(x), np.iinfo(np.int64).max)
@@ -182,7 +227,7 @@ def promising(rows: DataFrame, join: PathJoin) -> DataFrame:
                         shared = np.where(both, np.minimum(shared, mine), shared)
                     own[at : at + (1 << 14)] = shared == here
                 needed = np.unique(np.concatenate([a[own], b[own]]))
-                out_leaf.extend([here] * len(needed))
+                out_leaf.extend([leaf[start]] * len(needed))
                 out_cls.extend(cls[needed].tolist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out_leaf, pa.int64()), pa.array(out_cls, pa.int64())], names=["leaf", "cls"]
@@ -239,6 +284,25 @@ def confirmed(rows: DataFrame, join: PathJoin) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def linked(spots: DataFrame, classes: DataFrame, texts: DataFrame, join: PathJoin) -> DataFrame:
+    """Edges (a, b) between classes that meet in a leaf of ``spots`` (cls, leaf, grp).
+
+    Each pair is left to the least ``grp`` it shares. Two classes in different parts of a
+    large node share its grp without meeting there; ``stray_parts`` sees to them.
+    """
+    spots = cut_lineage(spots, "path-leaves")
+    lists = spots.groupBy("cls").agg(F.collect_set(F.struct("leaf", "grp")).alias("spots"))
+    met = lists.join(classes.select("cls", "n_shingles", "sketch", "known").hint("merge"), "cls").select(
+        F.explode("spots").alias("spot"), "cls", "n_shingles", "sketch", F.array_distinct("spots.grp").alias("grps"), "known"
+    )
+    met = met.select("spot.leaf", "cls", "n_shingles", "sketch", "grps", "spot.grp", "known")
+    needed = cut_lineage(promising(met, join), "path-needed")
+    kind = ["n_shingles", "fp1", "fp2"]
+    named = needed.join(classes.select("cls", "rep", *kind).hint("merge"), "cls")
+    fetched = named.join(texts.hint("merge"), "rep").select("leaf", "rep", *kind, "text")
+    return cut_lineage(confirmed(fetched, join), "path-edges")
+
+
 def near_duplicates(docs: DataFrame, join: PathJoin = PathJoin()) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -260,17 +324,19 @@ def near_duplicates(docs: DataFrame, join: PathJoin = PathJoin()) -> DataFrame:
         .select(F.xxhash64(*kind).alias("cls"), *kind, "copies", F.col("first.doc_id").alias("rep"), "first.sig", "first.sketch"),
         "path-classes",
     )
-    spots = cut_lineage(small_nodes(classes, join), "path-leaves")
-    lists = spots.groupBy("cls").agg(F.collect_set("leaf").alias("leaves"))
-    met = lists.join(classes.select("cls", "n_shingles", "sketch").hint("merge"), "cls").select(
-        F.explode("leaves").alias("leaf"), "cls", "n_shingles", "sketch", "leaves"
-    )
-    needed = cut_lineage(promising(met, join), "path-needed")
-    named = needed.join(classes.select("cls", "rep", *kind).hint("merge"), "cls")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    fetched = named.join(texts.hint("merge"), "rep").select("leaf", "rep", *kind, "text")
-    edges = cut_lineage(confirmed(fetched, join), "path-edges")
+    spots, crowded = small_nodes(classes, join)
+    if crowded is not None:
+        spots = spots.unionByName(led_parts(crowded, join))
+    edges = linked(spots, classes.withColumn("known", F.col("cls")), texts, join)
     joined = components(edges)
+    if crowded is not None:
+        known = classes.join(joined, F.col("rep") == F.col("id"), "left")
+        known = cut_lineage(known.select("cls", F.coalesce("component", "rep").alias("known")), "path-known")
+        strays = cut_lineage(stray_parts(crowded, known, join), "path-strays")
+        if not strays.isEmpty():
+            more = linked(strays, classes.join(known.hint("merge"), "cls"), texts, join)
+            joined = components(edges.unionByName(more))
     names = cut_lineage(
         classes.select(*kind, "rep", "copies")
         .join(joined, F.col("rep") == F.col("id"), "left")

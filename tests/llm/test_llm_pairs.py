@@ -9,6 +9,8 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
 from cellcast.llm import capfilters, chosenpath, shingles, warczip
 
 
@@ -126,7 +128,7 @@ def test_shingle_sets_match_brute_force(monkeypatch):
             assert len(np.intersect1d(mine[i], mine[j])) == len(want[i] & want[j])
 
 
-@pytest.mark.parametrize("join", [chosenpath.PathJoin(), chosenpath.PathJoin(leaf=8, depth=2, trees=16), chosenpath.PathJoin(leaf=4, depth=0)])
+@pytest.mark.parametrize("join", [chosenpath.PathJoin(), chosenpath.PathJoin(leaf=8, depth=2, trees=16), chosenpath.PathJoin(leaf=4, depth=0), chosenpath.PathJoin(leaf=16, depth=1, leaders=1)])
 def test_near_duplicates_match_brute_force(spark, join):
     texts = near_corpus()
     ids = random.Random(1).sample(range(10_000), len(texts))
@@ -152,6 +154,27 @@ def test_near_duplicates_of_repeated_and_no_rows(spark):
     assert chosenpath.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_node_is_cut_into_parts_that_grow_with_it(spark):
+    join = chosenpath.PathJoin(leaf=64, leaders=4)
+    for n in (1000, 4000):
+        crowded = spark.range(n).select(
+            F.xxhash64("id").alias("cls"), F.lit(1.0).alias("weight"), F.lit(5).alias("node"), F.lit(n).alias("n"), F.lit(float(n)).alias("heavy")
+        )
+        parts = chosenpath.led_parts(crowded, join)
+        assert parts.count() < 2 * n
+        assert parts.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 64
+        # three strays meet everything, the core doesn't meet itself again
+        known = crowded.select("cls", F.when(F.abs("cls") % n < 3, F.col("cls")).otherwise(1).alias("known"))
+        strays = known.where("known <> 1").count()
+        met = chosenpath.stray_parts(crowded, known, join)
+        assert met.count() <= n + strays * (-(-n * 2 // 64))
+        joined = met.join(known, "cls")
+        pairs = joined.where("known <> 1").select("leaf", F.col("cls").alias("stray")).join(joined.select("leaf", "cls"), "leaf")
+        assert pairs.distinct().select("stray", "cls").distinct().count() == strays * n
+    same = crowded.select("cls", F.lit(1).alias("known"))
+    assert chosenpath.stray_parts(crowded, same, join).isEmpty()
+
+
 def vector_rows(seed=21):
     rng = np.random.default_rng(seed)
     rows = []
