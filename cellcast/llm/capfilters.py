@@ -94,6 +94,14 @@ class ProductCode:
         return decode
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1. A power of two is taken out first, so that no finite row overflows
+    or vanishes and all others keep their digits."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    x = np.ldexp(x, -power)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _usable(vectors: list, dim: int | None) -> tuple[np.ndarray, list[int]]:
     """Unit vectors in double precision and their rows; others can't be compared."""
     rows, kept = [], []
@@ -101,11 +109,10 @@ def _usable(vectors: list, dim: int | None) -> tuple[np.ndarray, list[int]]:
         if v is None or not len(v) or any(x is None for x in v):
             continue
         x = np.asarray(v, np.float64)
-        size = np.linalg.norm(x)
-        if np.isfinite(size) and size > 0 and (dim is None or len(x) == dim):
-            rows.append(x / size)
+        if np.isfinite(x).all() and x.any() and (dim is None or len(x) == dim):
+            rows.append(x)
             kept.append(i)
-    return np.array(rows).reshape(len(rows), -1), kept
+    return (unit_rows(np.array(rows)) if rows else np.empty((0, dim or 0))), kept
 
 
 def links_of_group(names: np.ndarray, weights: np.ndarray, unit: np.ndarray, caps: np.ndarray, here: int, side: np.ndarray | None, threshold: float):
@@ -145,7 +152,7 @@ def link_vectors(
     group: str = "label",
     parts: int = 2,
     caps: int = 20,
-    max_words: int = 4096,
+    max_words: int = 1 << 16,
 ) -> DataFrame:
     """Rows (key, n_links, component_id, kept) for vectors linked inside their group.
 
@@ -153,7 +160,8 @@ def link_vectors(
     ``threshold``. Candidates share a cap of a ``ProductCode``: with 20 caps or more for each
     vector and a cosine of exactly 0.93, fewer than one in a thousand pairs share none
     (measured), closer pairs hardly ever. The number of directions follows the number of
-    vectors, which keeps the expected vectors of a cap the same at every size.
+    vectors, which keeps the expected vectors of a cap the same up to max_words ** parts
+    (four billion) vectors; caps of more are compared block by block.
 
     Equal vectors of a group are one node that weighs as many; a cap with more than a block
     of nodes is compared block by block, in tasks of their own. No pair is ever a row: a task
@@ -189,9 +197,10 @@ def link_vectors(
         decode = code.decoder()
         for batch in batches:
             unit, kept = _usable(batch.column(1).to_pylist(), code.dim)
-            for at in range(0, len(kept), 512):
-                lists = decode(unit[at : at + 512])
-                part = batch.take(pa.array(kept[at : at + 512]))
+            step = max(1, min(512, (1 << 21) // code.words))  # bounds the table of inner products
+            for at in range(0, len(kept), step):
+                lists = decode(unit[at : at + step])
+                part = batch.take(pa.array(kept[at : at + step]))
                 caps_of = pa.array([sorted(c) for c in lists], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, caps_of], names=["grp", "v", "node", "weight", "caps"])
 
@@ -231,7 +240,7 @@ def link_vectors(
         for batch, bounds in whole_groups(batches, 4):
             cap, i, j, side, node, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
             unit = np.asarray(batch.column(7).flatten()).reshape(batch.num_rows, -1)
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+            unit = unit_rows(unit)
             lists = padded_lists(batch.column(8), -1)
             a, b, n = [], [], []
             for start, stop in bounds:

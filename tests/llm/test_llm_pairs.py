@@ -209,6 +209,13 @@ def test_vector_links_match_brute_force(spark, monkeypatch, block):
     assert capfilters.link_vectors(vectors.limit(0)).count() == 0
 
 
+def test_unit_rows_of_very_large_and_very_small_vectors():
+    x = np.array([[3.0, 4.0], [3e300, 4e300], [3e-320, 4e-320], [1.5e-160, 2e-160]])
+    unit = capfilters.unit_rows(x)
+    assert np.allclose(unit, [[0.6, 0.8]] * 4, rtol=1e-3)
+    assert (unit[0] == x[0] / np.linalg.norm(x[0])).all()
+
+
 def test_decoder_lists_every_cap_that_is_reached():
     code = capfilters.ProductCode.sized(12, 3, 5, 6)
     rotation, words = code.tables()
