@@ -48,6 +48,10 @@ class PathJoin:
         return math.floor(self.tokens * p - 4.2 * math.sqrt(self.tokens * p * (1 - p)))
 
 
+#: The general rule for near copies, which the pipeline's stage follows.
+STAGE_JOIN = PathJoin(percent=80)
+
+
 def describe(docs: DataFrame, join: PathJoin) -> DataFrame:
     """Rows (doc_id, n_shingles, fp1, fp2, sig, sketch) of every document, from whole texts."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
@@ -303,7 +307,7 @@ def linked(spots: DataFrame, classes: DataFrame, texts: DataFrame, join: PathJoi
     return cut_lineage(confirmed(fetched, join), "path-edges")
 
 
-def near_duplicates(docs: DataFrame, join: PathJoin = PathJoin()) -> DataFrame:
+def near_duplicates(docs: DataFrame, join: PathJoin = STAGE_JOIN) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
     Documents with equal shingle sets form a class, of which one document takes part in the

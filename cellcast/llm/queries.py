@@ -139,7 +139,7 @@ def op5(spark, table):
 
 @query("op6_chosen_path")
 def op6(spark, table):
-    return chosenpath.near_duplicates(table("documents"))
+    return chosenpath.near_duplicates(table("documents"), chosenpath.PathJoin(percent=85))
 
 
 @query("op7_cap_filters")

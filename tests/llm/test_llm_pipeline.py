@@ -1,6 +1,7 @@
 """The pipeline's stages against what their operators say, on the smallest tables."""
 
 import os
+import random
 
 import corpus_pipeline
 import pytest
@@ -49,6 +50,23 @@ def test_stages_keep_columns_and_act(spark):
     assert packed.agg(F.sum("length")).first()[0] > 0
 
 
+def test_near_copies_from_four_fifths_on_are_dropped(spark):
+    rng = random.Random(8)
+    rows, similar = [], {}
+    for k, changed in enumerate([0, 4, 6, 7, 9, 12, 30]):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(64)]
+        copy = base[: len(base) - changed] + [f"v{rng.randrange(10**6)}" for _ in range(changed)]
+        first, second = ({tuple(t[i : i + 5]) for i in range(60)} for t in (base, copy))
+        similar[2 * k + 1] = 100 * len(first & second) / len(first | second)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    assert any(80 <= s < 85 for s in similar.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()}
+    assert kept == {i for i, _ in rows if similar.get(i, 0) < 80}
+    linked = {r.doc_id for r in chosenpath.near_duplicates(docs, chosenpath.PathJoin()).where("not kept").collect()}
+    assert linked == {i for i, s in similar.items() if s >= 85}
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.count() > 100
