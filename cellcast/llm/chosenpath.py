@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ class PathJoin:
     it down one token of every node, chosen by the node, and down a second token so often
     that a pair of the least similarity shares one child of a node on average: it stays
     together for long, dissimilar documents part fast. A node is small when its documents
-    weigh at most ``leaf``; a document weighs 1 and 1 more for each 4096 shingles. Nodes that
+    weigh at most ``leaf``; a document weighs 1 and 1 more for each 4096 shingles. The deeper
+    its nodes stay large, the more trees a document enters, ``trees`` at least: so many that
+    a pair of the least similarity meets in one with probability ``recall``. Nodes that
     are still large after ``depth`` levels hold documents that are mostly alike: they are cut
     into parts that share about ``leaders`` documents, and only what these don't join is
     compared part by part.
@@ -35,6 +38,7 @@ class PathJoin:
     width: int = 5
     tokens: int = 128
     trees: int = 8
+    recall: float = 0.99
     leaf: int = 1024
     depth: int = 24
     leaders: int = 16
@@ -48,6 +52,25 @@ class PathJoin:
         return math.floor(self.tokens * p - 4.2 * math.sqrt(self.tokens * p * (1 - p)))
 
 
+def trees_for(join: PathJoin, steps: int) -> int:
+    """Trees in which a pair at the limit has to be to meet with probability ``recall`` when
+    its nodes are small after ``steps`` steps.
+
+    The equal tokens of such a pair are binomial; given their share, its nodes in a tree are
+    a branching process: one child of each, at times two, and each is shared with that share.
+    """
+    p, n = join.percent / 100, join.tokens
+    weights = np.array([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+    share, more, stays = np.arange(n + 1) / n, 1 / p - 1, np.ones(n + 1)
+    for _ in range(steps):
+        parts = 1 - share * stays
+        stays = 1 - (1 - more) * parts - more * parts**2
+    trees = join.trees
+    while weights @ (1 - stays) ** trees > 1 - join.recall:
+        trees += 1
+    return trees
+
+
 #: The general rule for near copies, which the pipeline's stage follows.
 STAGE_JOIN = PathJoin(percent=80)
 
@@ -92,23 +115,31 @@ def _children(join: PathJoin, node: Column) -> Column:
     return F.when(twice, F.array_distinct(F.array(child(1), child(2)))).otherwise(F.array(child(1)))
 
 
-def small_nodes(classes: DataFrame, join: PathJoin) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (cls, leaf, grp) of the small nodes of all trees that hold two classes or more,
-    and rows (cls, weight, node, n, heavy) of the nodes that stay large, None without any.
+def small_nodes(entering: DataFrame, join: PathJoin) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows (cls, leaf, grp) of the small nodes that hold two classes or more, rows (cls,
+    weight, node, n, heavy) of the nodes that stay large, None without any, and rows (cls,
+    steps) of the classes that were in a large node: how many steps down they went.
 
-    A level takes the documents of the nodes that are still large one token further, counts
-    the children and parts them; only ids move. ``grp`` is the small node itself.
+    ``entering`` has (cls, n_shingles, sig, known, first, last): each class enters the trees
+    from first to last. A level takes the documents of the nodes that are still large one
+    token further, counts the children and parts them; only ids move. ``grp`` is the small
+    node itself. Nodes whose classes are all of one known component are finished.
     """
     weight = (1 + F.col("n_shingles") / 4096).alias("weight")
-    roots = F.transform(F.sequence(F.lit(1), F.lit(join.trees)), lambda t: F.xxhash64(F.lit(join.seed), t))
-    slim = classes.select("cls", weight, "sig", F.explode(roots).alias("parent"))
-    slim = slim.select("cls", "weight", F.explode(_children(join, F.col("parent"))).alias("node"))
+    roots = F.transform(F.sequence("first", "last"), lambda t: F.xxhash64(F.lit(join.seed), t))
+    slim = entering.select("cls", "known", weight, "sig", F.explode(roots).alias("parent"))
+    slim = slim.select("cls", "known", "weight", F.explode(_children(join, F.col("parent"))).alias("node"))
+    signed = entering.select("cls", "sig").hint("merge")
     leaves: list[DataFrame] = []
+    deep: list[DataFrame] = []
     crowded = None
     for level in range(join.depth + 1):
         slim = cut_lineage(slim, "path-level")
         held = cut_lineage(
-            slim.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("heavy")).where("n > 1"),
+            slim.groupBy("node")
+            .agg(F.count("*").alias("n"), F.sum("weight").alias("heavy"), F.min("known").alias("low"), F.max("known").alias("high"))
+            .where("low < high")
+            .select("node", "n", "heavy"),
             "path-nodes",
         )
         placed = cut_lineage(slim.join(held.hint("merge"), "node"), "path-placed")
@@ -117,17 +148,15 @@ def small_nodes(classes: DataFrame, join: PathJoin) -> tuple[DataFrame, DataFram
         large = placed.where(~small)
         if large.isEmpty():
             break
+        deep.append(large.select("cls", F.lit(min(level + 2, join.depth + 1)).alias("steps")))
         if level < join.depth:
-            signed = classes.select("cls", "sig").hint("merge")
             slim = large.join(signed, "cls").select(
-                "cls", "weight", F.explode(_children(join, F.col("node"))).alias("node")
+                "cls", "known", "weight", F.explode(_children(join, F.col("node"))).alias("node")
             )
         else:
-            crowded = large
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out, crowded
+            crowded = large.drop("known")
+    steps = reduce(DataFrame.unionByName, deep).groupBy("cls").agg(F.max("steps").alias("steps")) if deep else None
+    return reduce(DataFrame.unionByName, leaves), crowded, steps
 
 
 def _part(join: PathJoin, parts: Column) -> Column:
@@ -307,6 +336,49 @@ def linked(spots: DataFrame, classes: DataFrame, texts: DataFrame, join: PathJoi
     return cut_lineage(confirmed(fetched, join), "path-edges")
 
 
+def joined_classes(classes: DataFrame, texts: DataFrame, join: PathJoin) -> DataFrame:
+    """Rows (id, component) of the representatives that are linked with another.
+
+    All classes enter the first trees. Those that went too deep for so few enter more, in
+    which only nodes of several components are followed, until none needs another tree.
+    """
+
+    def with_known(joined: DataFrame) -> DataFrame:
+        known = classes.join(joined, F.col("rep") == F.col("id"), "left")
+        known = cut_lineage(known.select("cls", F.coalesce("component", "rep").alias("known")), "path-known")
+        return classes.join(known.hint("merge"), "cls")
+
+    wanted = F.array(*[F.lit(trees_for(join, steps)) for steps in range(1, join.depth + 2)])
+    named = classes.withColumn("known", F.col("cls"))
+    entering = named.select("*", F.lit(1).alias("first"), F.lit(trees_for(join, 1)).alias("last"))
+    edges: list[DataFrame] = []
+    while True:
+        spots, crowded, steps = small_nodes(entering, join)
+        if crowded is not None:
+            spots = spots.unionByName(led_parts(crowded, join))
+        edges.append(linked(spots, named, texts, join))
+        joined = components(reduce(DataFrame.unionByName, edges))
+        if steps is None:
+            return joined
+        named = with_known(joined)
+        if crowded is not None:
+            strays = cut_lineage(stray_parts(crowded, named.select("cls", "known"), join), "path-strays")
+            if not strays.isEmpty():
+                edges.append(linked(strays, named, texts, join))
+                joined = components(reduce(DataFrame.unionByName, edges))
+                named = with_known(joined)
+        more = (
+            entering.select("cls", "last")
+            .join(steps, "cls")
+            .select("cls", (F.col("last") + 1).alias("first"), F.element_at(wanted, F.col("steps")).alias("last"))
+            .where("first <= last")
+        )
+        more = cut_lineage(more, "path-more")
+        if more.isEmpty():
+            return joined
+        entering = cut_lineage(named.join(more.hint("merge"), "cls"), "path-entering")
+
+
 def near_duplicates(docs: DataFrame, join: PathJoin = STAGE_JOIN) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -329,18 +401,7 @@ def near_duplicates(docs: DataFrame, join: PathJoin = STAGE_JOIN) -> DataFrame:
         "path-classes",
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    spots, crowded = small_nodes(classes, join)
-    if crowded is not None:
-        spots = spots.unionByName(led_parts(crowded, join))
-    edges = linked(spots, classes.withColumn("known", F.col("cls")), texts, join)
-    joined = components(edges)
-    if crowded is not None:
-        known = classes.join(joined, F.col("rep") == F.col("id"), "left")
-        known = cut_lineage(known.select("cls", F.coalesce("component", "rep").alias("known")), "path-known")
-        strays = cut_lineage(stray_parts(crowded, known, join), "path-strays")
-        if not strays.isEmpty():
-            more = linked(strays, classes.join(known.hint("merge"), "cls"), texts, join)
-            joined = components(edges.unionByName(more))
+    joined = joined_classes(classes, texts, join)
     names = cut_lineage(
         classes.select(*kind, "rep", "copies")
         .join(joined, F.col("rep") == F.col("id"), "left")

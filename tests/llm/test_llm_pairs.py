@@ -175,6 +175,30 @@ def test_large_node_is_cut_into_parts_that_grow_with_it(spark):
     assert chosenpath.stray_parts(crowded, same, join).isEmpty()
 
 
+def crowd_of_pairs(count, seed=5):
+    """Texts of similarity 0.7 to each other, in pairs of similarity 0.85 to 0.87."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(385)]
+    texts = []
+    for k in range(count):
+        base = [f"{k}x{rng.randrange(10**6)}" for _ in range(79)]
+        texts += [" ".join(common + base), " ".join(common + base[:-35] + [f"{k}y{i}" for i in range(35)])]
+    return texts
+
+
+def test_pairs_at_the_limit_meet_however_deep_their_nodes_are(spark):
+    join = chosenpath.PathJoin(leaf=16, trees=1)
+    assert [chosenpath.trees_for(chosenpath.PathJoin(), s) for s in (1, 6, 25)] == [8, 8, 38]
+    texts = crowd_of_pairs(40)
+    one, other = brute_sets(texts[:2])
+    assert 0.85 <= len(one & other) / len(one | other) < 0.87
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = chosenpath.near_duplicates(docs, join).collect()
+    assert all(r.component_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in out)
+    missed = sum(r.kept for r in out if r.doc_id % 2)
+    assert missed <= 1, missed
+
+
 def vector_rows(seed=21):
     rng = np.random.default_rng(seed)
     rows = []
