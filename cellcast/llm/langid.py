@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Bytes of a window; a text is cut into windows that cover it whole.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
+#: Shorter spans are learned from only where a label has no longer one.
+LEAST_BYTES = 8
 #: Windows scored at once: they stay in the processor's cache.
 BLOCK = 32
 
@@ -138,49 +142,58 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def training_rows(
-    docs: DataFrame, label: str, usable: Column, per_label: int, max_labels: int, seed: int = 3
-) -> list:
-    """About ``per_label`` windows' texts of each of the ``max_labels`` commonest labels.
-
-    Labels are counted over all rows; then rows are drawn by a hash at each label's rate, and
-    of each three spans are collected: the bound is 3 * per_label * max_labels short texts.
+    docs: DataFrame, label: str, usable: Column, per_label: int, in_all: int, seed: int = 3
+) -> list[tuple[str, str]]:
+    """(label, span) of about ``per_label`` texts of every label, three spans of each text.
+
+    Labels are counted over all rows; then rows are drawn by a hash at each label's rate.
+    With more labels than ``in_all`` texts allow, each has fewer texts, but 20 if it has as
+    many; a label of which none is drawn has its first text by the hash. So the driver holds
+    about 3 * in_all short texts, or 60 a label.
     """
     known = docs.where(usable & F.col(label).isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    if not counts:
-        return []
-    rates = F.create_map(
-        *[F.lit(v) for row in counts for v in (row[label], min(1.0, per_label / row["count"]))]
-    )
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     length = F.length("text")
     spans = [
         F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit(seed + k)), F.greatest(length - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
         for k in (1, 2, 3)
     ]
-    return (
-        known.where(draw < rates[F.col(label)])
-        .select(F.col(label).alias("label"), F.explode(F.array(*spans)).alias("span"))
-        .limit(3 * per_label * len(counts) + 3000)
-        .collect()
+    known = known.select(F.col(label).alias("label"), draw.alias("draw"), F.array(*spans).alias("spans"))
+    short = F.octet_length(F.col("spans")[0]) < LEAST_BYTES
+    counts = cut_lineage(
+        known.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct(short.alias("short"), "draw", "spans")).alias("first")),
+        "label-counts",
     )
+    firsts = {row["label"]: row["spans"] for row in counts.select("label", "first.spans").collect()}
+    if not firsts:
+        return []
+    share = min(per_label, max(20, in_all // len(firsts)))
+    rates = counts.select(F.col("label").alias("named"), (F.lit(share) / F.col("n")).alias("rate"))
+    drawn = known.join(rates, (F.col("label") == F.col("named")) & (F.col("draw") < F.col("rate")))
+    rows = drawn.select("label", F.explode("spans").alias("span")).limit(3 * share * len(firsts) + 3000).collect()
+    found = [(row["label"], row["span"]) for row in rows]
+    long = {name for name, span in found if len(span.encode()) >= LEAST_BYTES}
+    return found + [(name, span) for name, spans in firsts.items() if name not in long for span in spans]
 
 
-def fit_language_model(docs: DataFrame, usable: Column, label: str = "lang", per_label: int = 600, max_labels: int = 64) -> ByteNet | None:
+def fit_language_model(docs: DataFrame, usable: Column, label: str = "lang", per_label: int = 600, in_all: int = 38_400) -> ByteNet | None:
     """A network trained on a bounded, hash-drawn sample of the usable labelled texts."""
     lettered = usable & F.col("text").rlike(r"\p{L}")
-    rows = [(r["label"], r["span"].encode()) for r in training_rows(docs, label, lettered, per_label, max_labels)]
-    rows = sorted((lab, span) for lab, span in rows if len(span) >= 8)
+    rows = [(lab, span.encode()) for lab, span in training_rows(docs, label, lettered, per_label, in_all)]
+    long = {lab for lab, span in rows if len(span) >= LEAST_BYTES}
+    # short spans teach little, but are all that some labels have
+    rows = sorted((lab, span) for lab, span in rows if span and (len(span) >= LEAST_BYTES or lab not in long))
     if not rows:
         return None
     labels = sorted({lab for lab, _ in rows})
+    place = {lab: i for i, lab in enumerate(labels)}
     net = ByteNet(labels)
     if len(labels) > 1:
         x = np.zeros((len(rows), WINDOW), np.uint8)
         for i, (_, span) in enumerate(rows):
             span = span[:WINDOW]
             x[i, : len(span)] = np.frombuffer(span, np.uint8)
-        net.train(x, np.array([labels.index(lab) for lab, _ in rows]))
+        net.train(x, np.array([place[lab] for lab, _ in rows]))
     return net
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from cellcast.llm import langid, packing, tokencount, toxicity
 from cellcast.llm.common import held_out
 
@@ -40,6 +41,20 @@ def test_language_net_learns_and_marks_texts_without_letters(spark):
     assert {r.lang_pred for r in langid.predict_languages(docs, None).collect()} == {"und"}
 
 
+def test_language_net_learns_every_label(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {f"l{i:02d}": [letters[i % 26] + letters[(i * 7 + i // 26) % 26], letters[(i * 5 + 3 + i // 26) % 26] * 2] for i in range(80)}
+    rng = random.Random(6)
+    rows = [(lang, " ".join(rng.choices(words, k=40))) for lang, words in kinds.items() for _ in range(12 if lang > "l70" else 25)]
+    rows += [("rare", "øß ßø"), ("rare", "øß")]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    for in_all in (38_400, 400):
+        net = langid.fit_language_model(docs, F.lit(True), in_all=in_all)
+        assert net.labels == [*sorted(kinds), "rare"]
+    found = {r.doc_id: r.lang_pred for r in langid.predict_languages(docs, net).collect()}
+    assert np.mean([found[i] == lang for i, (lang, _) in enumerate(rows) if lang > "l70"]) > 0.5
+
+
 def test_tables_give_the_networks_own_responses():
     net = langid.ByteNet(["a", "b"])
     x, sizes = langid.windows(bytes(range(1, 256)) * 3)
