@@ -15,6 +15,8 @@ from ..session import cut_lineage, shuffle_width
 from .common import components
 from .grouped import padded_lists, whole_groups
 
+#: A dimension of so few vectors needs no filter: all are compared.
+FEW = 64
 #: Vectors of one filter that are compared at once; larger filters are cut into blocks.
 BLOCK = 1024
 
@@ -167,8 +169,12 @@ def link_vectors(
     of nodes is compared block by block, in tasks of their own. No pair is ever a row: a task
     returns counts and tree edges.
 
-    Null, empty, zero, non-finite vectors, vectors with a null inside, those of another
-    dimension than the commonest, and those with a null group link with nothing. component_id
+    Vectors of different dimensions aren't compared; each dimension has a code of its own.
+    Where there are few vectors, or a code's parts would have less than two coordinates, all
+    vectors of a group and dimension share one cap.
+
+    Null, empty, zero, non-finite vectors, vectors with a null inside, and those with a null
+    group link with nothing. component_id
     is the smallest key reachable. Rows with the same key are one vector per group and value;
     a null key links with nothing and is kept.
     """
@@ -176,46 +182,56 @@ def link_vectors(
     rows = vectors.select(
         F.col(key).cast("long").alias("id"), F.col(group).alias("grp"), F.col("embedding").cast("array<double>").alias("v")
     )
-    found = F.size("v") > 0
-    sizes = rows.where(F.col("v").isNotNull() & found).groupBy(F.size("v").alias("d")).count()
-    top = sizes.orderBy(F.desc("count"), "d").first()
     # equal vectors meet as one node; summed before the shuffle
     nodes = cut_lineage(
         rows.where(F.col("id").isNotNull() & F.col("grp").isNotNull() & F.col("v").isNotNull())
         .where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-        .where(F.exists("v", lambda x: x != 0) & (F.size("v") == (top["d"] if top else 0)))
+        .where(F.exists("v", lambda x: x != 0))
         .groupBy("grp", "v")
-        .agg(F.min("id").alias("node"), F.count_distinct("id").alias("weight")),
+        .agg(F.min("id").alias("node"), F.count_distinct("id").alias("weight"))
+        .withColumn("d", F.size("v")),
         "cap-nodes",
     )
-    count = nodes.count()
-    words = max(8, min(max_words, round(max(count, 64) ** (1 / parts))))
-    code = ProductCode.sized(top["d"] if top else 1, parts, words, caps)
+    codes: dict[int, ProductCode | None] = {}
+    for row in nodes.groupBy("d").agg(F.count("*").alias("n")).collect():
+        words = max(8, min(max_words, round(max(row["n"], 64) ** (1 / parts))))
+        filtered = row["n"] > FEW and row["d"] >= 2 * parts
+        codes[row["d"]] = ProductCode.sized(row["d"], parts, words, caps) if filtered else None
     group_type = nodes.schema["grp"].dataType.simpleString()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = code.decoder()
-        for batch in batches:
-            unit, kept = _usable(batch.column(1).to_pylist(), code.dim)
-            step = max(1, min(512, (1 << 21) // code.words))  # bounds the table of inner products
-            for at in range(0, len(kept), step):
-                lists = decode(unit[at : at + step])
-                part = batch.take(pa.array(kept[at : at + step]))
-                caps_of = pa.array([sorted(c) for c in lists], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, caps_of], names=["grp", "v", "node", "weight", "caps"])
+        decoders = {}
+        for whole in batches:
+            dims = whole.column(4).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                batch, code = whole.filter(pa.array(dims == dim)), codes[dim]
+                if code is None:
+                    yield with_caps(batch, [[0]] * batch.num_rows)
+                    continue
+                if dim not in decoders:
+                    decoders[dim] = code.decoder()
+                unit, kept = _usable(batch.column(1).to_pylist(), dim)
+                step = max(1, min(512, (1 << 21) // code.words))  # bounds the table of inner products
+                for at in range(0, len(kept), step):
+                    lists = decoders[dim](unit[at : at + step])
+                    yield with_caps(batch.take(pa.array(kept[at : at + step])), [sorted(c) for c in lists])
+
+    def with_caps(part: pa.RecordBatch, lists: list[list[int]]) -> pa.RecordBatch:
+        caps_of = pa.array(lists, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*part.columns, caps_of], names=["grp", "v", "node", "weight", "d", "caps"])
 
     listing = cut_lineage(
-        nodes.mapInArrow(listed, f"grp {group_type}, v array<double>, node bigint, weight bigint, caps array<bigint>"), "caps"
+        nodes.mapInArrow(listed, f"grp {group_type}, v array<double>, node bigint, weight bigint, d int, caps array<bigint>"), "caps"
     )
-    placed = listing.select("grp", "node", F.explode("caps").alias("cap"))
+    placed = listing.select("grp", "d", "node", F.explode("caps").alias("cap"))
     # blocks of each cap that holds two nodes or more
     held = cut_lineage(
-        placed.groupBy("grp", "cap").agg(F.count("*").alias("n")).where("n > 1").select(
-            "grp", "cap", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+        placed.groupBy("grp", "d", "cap").agg(F.count("*").alias("n")).where("n > 1").select(
+            "grp", "d", "cap", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
         ),
         "cap-sizes",
     )
-    spots = cut_lineage(placed.join(held.hint("merge"), ["grp", "cap"]), "cap-spots")
+    spots = cut_lineage(placed.join(held.hint("merge"), ["grp", "d", "cap"]), "cap-spots")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spots = (
@@ -223,6 +239,7 @@ def link_vectors(
         .withColumn("other", other)
         .select(
             "grp",
+            "d",
             "node",
             "cap",
             F.least("block", "other").alias("i"),
@@ -231,25 +248,26 @@ def link_vectors(
         )
     )
     width = shuffle_width(spark)
-    filled = spots.join(listing.drop("grp").hint("merge"), "node")
-    keys = ["cap", "i", "j"]
+    filled = spots.join(listing.drop("grp").hint("merge"), ["node", "d"])
+    keys = ["d", "cap", "i", "j"]
     dealt = filled.select("grp", *keys, "side", "node", "weight", "v", "caps").repartition(width, "grp", *keys)
     dealt = dealt.sortWithinPartitions("grp", *keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in whole_groups(batches, 4):
-            cap, i, j, side, node, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
-            unit = np.asarray(batch.column(7).flatten()).reshape(batch.num_rows, -1)
-            unit = unit_rows(unit)
-            lists = padded_lists(batch.column(8), -1)
+        for batch, bounds in whole_groups(batches, 5):
+            cap, i, j, side, node, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 8))
+            lists = padded_lists(batch.column(9), -1)
             a, b, n = [], [], []
             for start, stop in bounds:
                 if stop - start < 2:
                     continue
-                order = start + np.argsort(node[start:stop], kind="stable")
+                rank = np.argsort(node[start:stop], kind="stable")
+                order = start + rank
+                flat = np.asarray(batch.column(8).slice(start, stop - start).flatten())
+                unit = unit_rows(flat.reshape(stop - start, -1))[rank]
                 sides = side[order] if i[start] != j[start] else None
                 counts, edges = links_of_group(
-                    node[order], weight[order], unit[order], lists[order], cap[start], sides, threshold
+                    node[order], weight[order], unit, lists[order], cap[start], sides, threshold
                 )
                 some = np.flatnonzero(counts)
                 a += [*node[order][some].tolist(), *[e[0] for e in edges]]

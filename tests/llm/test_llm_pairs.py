@@ -233,6 +233,24 @@ def test_vector_links_match_brute_force(spark, monkeypatch, block):
     assert capfilters.link_vectors(vectors.limit(0)).count() == 0
 
 
+def test_vectors_of_every_dimension_are_linked(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for dim, count in ((16, 60), (24, 50), (1, 3), (2, 4), (7, 2)):
+        for _ in range(count):
+            v, label = rng.standard_normal(dim), int(rng.integers(2))
+            v /= np.linalg.norm(v)
+            at = len(rows)
+            rows += [(at, v.tolist(), label), (at + 1, (v + 0.01 * rng.standard_normal(dim)).tolist(), label), (at + 2, (v * 2).tolist(), label)]
+    rows += [(5000 + k, [0.0] * 24, 1) for k in range(400)]
+    unit = {i: (np.array(v) / np.linalg.norm(v), label) for i, v, label in rows if any(v)}
+    for i, (x, label) in unit.items():
+        want[i] = sum(j != i and len(x) == len(y) and label == other and x @ y >= 0.93 for j, (y, other) in unit.items())
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    out = {r.vec_id: r.n_links for r in capfilters.link_vectors(vectors).collect()}
+    assert out == {i: want.get(i, 0) for i, _, _ in rows} and min(want.values()) >= 2
+
+
 def test_unit_rows_of_very_large_and_very_small_vectors():
     x = np.array([[3.0, 4.0], [3e300, 4e300], [3e-320, 4e-320], [1.5e-160, 2e-160]])
     unit = capfilters.unit_rows(x)
