@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import capfilters, chosenpath, hostrules, langid, mixing, packing, tokencount, toxicity, urlfilter, warczip
+from . import capfilters, chosenpath, hostrules, langid, merkle, mixing, packing, tokencount, toxicity, urlfilter, warczip
 from .common import held_out
 
 
@@ -236,3 +236,74 @@ def op9(spark, table):
 @query("op10_vector_packing")
 def op10(spark, table):
     return packing.pack_documents(table("documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query(
+    "op11_merkle_manifest",
+    r"""
+with recursive
+leaves as materialized (
+  select row_number() over () as r, doc_id, source, leaf,
+         case when crc % 2 = 0 and text is not null then sha256(head || strlen(cut) || ':' || cut) else leaf end as given
+  from (
+    select doc_id, source, text, replace(text, chr(10), '') as cut, head,
+           sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+           xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ord(x)::bigint),
+               lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+               4294967295::bigint), 4294967295::bigint) as crc
+    from (select doc_id, source, text,
+                 coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                 || coalesce(strlen(lang) || ':' || lang, '-')
+                 || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head
+          from documents))),
+placed as materialized (
+  select r, doc_id, leaf, given, dense_rank() over (order by source nulls first) - 1 as sid,
+         row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+         count(*) over (partition by source) as n
+  from leaves),
+nodes(sid, level, pos, digest, n) as (
+  select sid, 0, pos, leaf, n from placed
+  union all
+  select sid, level + 1, pos // 3, sha256(string_agg(digest, '' order by pos)), (n + 2) // 3
+  from nodes where n > 1 group by sid, level, pos // 3, n),
+subroots as materialized (select sid, digest, count(*) over () as n from nodes where n = 1),
+upper_nodes(level, pos, digest, n) as (
+  select 0, sid, digest, n from subroots
+  union all
+  select level + 1, pos // 3, sha256(string_agg(digest, '' order by pos)), (n + 2) // 3
+  from upper_nodes where n > 1 group by level, pos // 3, n),
+steps as materialized (
+  select sid, level, pos, coalesce(string_agg(digest, '') over before, '') as lft,
+         coalesce(string_agg(digest, '') over after, '') as rgt
+  from nodes where n > 1
+  window before as (partition by sid, level, pos // 3 order by pos rows between unbounded preceding and 1 preceding),
+         after as (partition by sid, level, pos // 3 order by pos rows between 1 following and unbounded following)),
+upper_steps as materialized (
+  select level, pos, coalesce(string_agg(digest, '') over before, '') as lft,
+         coalesce(string_agg(digest, '') over after, '') as rgt
+  from upper_nodes where n > 1
+  window before as (partition by level, pos // 3 order by pos rows between unbounded preceding and 1 preceding),
+         after as (partition by level, pos // 3 order by pos rows between 1 following and unbounded following)),
+walk(r, sid, level, pos, proof, digest) as (
+  select r, sid, 0, pos, '', given from placed
+  union all
+  select w.r, w.sid, w.level + 1, w.pos // 3, w.proof || s.lft || s.rgt, sha256(s.lft || w.digest || s.rgt)
+  from walk w join steps s on w.sid = s.sid and w.level = s.level and w.pos = s.pos),
+upper_walk(r, sid, level, pos, proof, digest) as (
+  select r, sid, 0, sid, arg_max(proof, level), arg_max(digest, level) from walk group by r, sid
+  union all
+  select w.r, w.sid, w.level + 1, w.pos // 3, w.proof || s.lft || s.rgt, sha256(s.lft || w.digest || s.rgt)
+  from upper_walk w join upper_steps s on w.level = s.level and w.pos = s.pos),
+ended as (
+  select r, sha256(arg_max(proof, level)) as proof_sha256, arg_max(digest, level) as folded_root
+  from upper_walk group by r)
+select p.doc_id, p.leaf, s.digest as subroot, u.digest as root, e.proof_sha256, e.folded_root,
+       e.folded_root = u.digest as verified
+from placed p join subroots s using (sid) join ended e using (r), (select digest from upper_nodes where n = 1) u
+""",
+)
+def op11(spark, table):
+    text = F.col("text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    given = F.when(tampered, F.translate(text, "\n", "")).otherwise(text)
+    return merkle.prove(table("documents"), given)
