@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import capfilters, chosenpath, hostrules, langid, merkle, mixing, packing, tokencount, toxicity, urlfilter, warczip
+from . import capfilters, chosenpath, hostrules, langid, merkle, mixing, packing, runs, tokencount, toxicity, urlfilter, warczip
 from .common import held_out
 
 
@@ -307,3 +308,19 @@ def op11(spark, table):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     given = F.when(tampered, F.translate(text, "\n", "")).otherwise(text)
     return merkle.prove(table("documents"), given)
+
+
+def plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by crc32 of the id, repeat some of their words to the end."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+@query("op13_periodic_runs")
+def op13(spark, table):
+    return runs.run_digests(runs.periodic_runs(table("documents"), change=plant_period))
