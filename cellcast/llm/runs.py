@@ -182,11 +182,13 @@ def periodic_runs(
 
 def run_digests(found: DataFrame) -> DataFrame:
     """``periodic_runs`` as counts, the longest run and digests of all runs and the collapsed text."""
-    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
     found = found.withColumn("longest", longest)
-    length, start, period = F.col("longest.col1"), -F.col("longest.col2"), -F.col("longest.col3")
+    length, start, period = F.col("longest.l"), -F.col("longest.s"), -F.col("longest.p")
     return found.select(
         "doc_id",
         F.size("runs").cast("long").alias("n_runs"),
