@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import capfilters, chosenpath, hostrules, langid, merkle, mixing, packing, runs, tokencount, toxicity, urlfilter, warczip
+from . import capfilters, chosenpath, hostrules, langid, merkle, mixing, packing, runs, substrings, tokencount, toxicity, urlfilter, warczip
 from .common import held_out
 
 
@@ -310,6 +310,11 @@ def op11(spark, table):
     return merkle.prove(table("documents"), given)
 
 
+@query("op12_suffix_shards")
+def op12(spark, table):
+    return substrings.repeat_digests(table("documents"), substrings.Repeats(length=400))
+
+
 def plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """A tenth of the documents, by crc32 of the id, repeat some of their words to the end."""
     h = zlib.crc32(str(doc_id).encode())
