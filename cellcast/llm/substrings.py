@@ -19,7 +19,7 @@ from .suffix import induced_suffix_array, permuted_prefixes
 _BYTE = np.random.default_rng(53).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes hashed together; longer texts are cut into overlapping pieces. Places fit in 24 bits.
-_TOGETHER = 4 << 20
+_TOGETHER = 1 << 18
 _PLACES = np.uint64((1 << 24) - 1)
 
 
