@@ -80,29 +80,31 @@ def _induce_by_bucket(text: np.ndarray, small: np.ndarray, starts: np.ndarray, o
 def _induce_by_suffix(text: np.ndarray, small: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The same, a suffix at a time, for alphabets so large that buckets hold a few suffixes."""
     n = len(text)
-    t, is_small = text.tolist(), small.tolist()
+    t = text.tolist()
     sa = [-1] * n
     tails = starts[1:].tolist()
     for i in reversed(order.tolist()):
         tails[t[i]] -= 1
         sa[tails[t[i]]] = i
+    # the symbol before each suffix, or -1 where that one isn't to be induced; last, for empty places
+    is_small = small[: n - 1]
+    larger = [-1, *np.where(is_small, -1, text[:-1]).tolist(), -1]
+    smaller = [-1, *np.where(is_small, text[:-1], -1).tolist()]
     heads = starts[:-1].tolist()
-    if not is_small[n - 1]:
+    if not small[n - 1]:
         sa[heads[t[n - 1]]] = n - 1
         heads[t[n - 1]] += 1
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not is_small[j]:
-            c = t[j]
-            sa[heads[c]] = j
+    for i in sa:  # which grows ahead of this loop
+        c = larger[i]
+        if c >= 0:
+            sa[heads[c]] = i - 1
             heads[c] += 1
     tails = starts[1:].tolist()
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and is_small[j]:
-            c = t[j]
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
             tails[c] -= 1
-            sa[tails[c]] = j
+            sa[tails[c]] = i - 1
     return np.array(sa, np.int64)
 
 
