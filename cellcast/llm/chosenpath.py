@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shuffle_width
-from .common import components
+from .common import components, fresh
 from .grouped import padded_lists, whole_groups
 from .shingles import fingerprint, min_hashes, shingle_sets
 
@@ -29,9 +29,11 @@ class PathJoin:
     weigh at most ``leaf``; a document weighs 1 and 1 more for each 4096 shingles. The deeper
     its nodes stay large, the more trees a document enters, ``trees`` at least: so many that
     a pair of the least similarity meets in one with probability ``recall``. Nodes that
-    are still large after ``depth`` levels hold documents that are mostly alike: they are cut
-    into parts that share about ``leaders`` documents, and only what these don't join is
-    compared part by part.
+    are still large after ``stride`` levels may hold documents that are mostly alike: before
+    these go on, they are cut into parts that share about ``leaders`` documents. If what is not
+    joined then weighs no more than ``leaf``, it is compared with all of the node, part by part,
+    and the node is done; else its documents go down ``stride`` levels more, and so on; at
+    ``depth`` every node is compared.
     """
 
     percent: int = 85
@@ -40,6 +42,7 @@ class PathJoin:
     trees: int = 8
     recall: float = 0.99
     leaf: int = 1024
+    stride: int = 3
     depth: int = 24
     leaders: int = 16
     seed: int = 97
@@ -115,25 +118,41 @@ def _children(join: PathJoin, node: Column) -> Column:
     return F.when(twice, F.array_distinct(F.array(child(1), child(2)))).otherwise(F.array(child(1)))
 
 
-def small_nodes(entering: DataFrame, join: PathJoin) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Rows (cls, leaf, grp) of the small nodes that hold two classes or more, rows (cls,
-    weight, node, n, heavy) of the nodes that stay large, None without any, and rows (cls,
-    steps) of the classes that were in a large node: how many steps down they went.
+def at_roots(entering: DataFrame, join: PathJoin) -> DataFrame:
+    """Rows (cls, known, weight, node) of the uppermost nodes.
 
     ``entering`` has (cls, n_shingles, sig, known, first, last): each class enters the trees
-    from first to last. A level takes the documents of the nodes that are still large one
-    token further, counts the children and parts them; only ids move. ``grp`` is the small
-    node itself. Nodes whose classes are all of one known component are finished.
+    from first to last.
     """
     weight = (1 + F.col("n_shingles") / 4096).alias("weight")
     roots = F.transform(F.sequence("first", "last"), lambda t: F.xxhash64(F.lit(join.seed), t))
     slim = entering.select("cls", "known", weight, "sig", F.explode(roots).alias("parent"))
-    slim = slim.select("cls", "known", "weight", F.explode(_children(join, F.col("parent"))).alias("node"))
-    signed = entering.select("cls", "sig").hint("merge")
+    return slim.select("cls", "known", "weight", F.explode(_children(join, F.col("parent"))).alias("node"))
+
+
+def one_down(large: DataFrame, signed: DataFrame, join: PathJoin) -> DataFrame:
+    """The rows of large nodes as rows of their children."""
+    return large.join(signed.hint("merge"), "cls").select(
+        "cls", "known", "weight", F.explode(_children(join, F.col("node"))).alias("node")
+    )
+
+
+def small_nodes(
+    slim: DataFrame, signed: DataFrame, level: int, join: PathJoin
+) -> tuple[DataFrame, DataFrame | None, list[DataFrame], int]:
+    """Goes down from the rows of one ``level``, ``stride`` levels at most.
+
+    Gives rows (cls, leaf, grp) of the small nodes that hold two classes or more, rows (cls,
+    known, weight, node, n, heavy) of the nodes that are large on the last level, None without
+    any, rows (cls, steps) of the classes that went on from a large node, and the last level.
+    A level counts the documents of its nodes and takes those of the large ones one token
+    further; only ids move. ``grp`` is the small node itself. Nodes whose classes are all of one
+    known component are finished.
+    """
     leaves: list[DataFrame] = []
     deep: list[DataFrame] = []
-    crowded = None
-    for level in range(join.depth + 1):
+    last = min(level + join.stride, join.depth)
+    while True:
         slim = cut_lineage(slim, "path-level")
         held = cut_lineage(
             slim.groupBy("node")
@@ -147,16 +166,17 @@ def small_nodes(entering: DataFrame, join: PathJoin) -> tuple[DataFrame, DataFra
         leaves.append(placed.where(small).select("cls", F.col("node").alias("leaf"), F.col("node").alias("grp")))
         large = placed.where(~small)
         if large.isEmpty():
-            break
-        deep.append(large.select("cls", F.lit(min(level + 2, join.depth + 1)).alias("steps")))
-        if level < join.depth:
-            slim = large.join(signed, "cls").select(
-                "cls", "known", "weight", F.explode(_children(join, F.col("node"))).alias("node")
-            )
-        else:
-            crowded = large.drop("known")
-    steps = reduce(DataFrame.unionByName, deep).groupBy("cls").agg(F.max("steps").alias("steps")) if deep else None
-    return reduce(DataFrame.unionByName, leaves), crowded, steps
+            return reduce(DataFrame.unionByName, leaves), None, deep, level
+        if level == last:
+            return reduce(DataFrame.unionByName, leaves), large, deep, level
+        deep.append(went_on(large, level))
+        slim = one_down(large, signed, join)
+        level += 1
+
+
+def went_on(large: DataFrame, level: int) -> DataFrame:
+    """Rows (cls, steps) of the classes that leave large nodes of a level for the next."""
+    return large.select("cls", F.lit(level + 2).alias("steps"))
 
 
 def _part(join: PathJoin, parts: Column) -> Column:
@@ -177,26 +197,33 @@ def led_parts(crowded: DataFrame, join: PathJoin) -> DataFrame:
     return rows.select("cls", F.xxhash64("node", "part").alias("leaf"), F.col("node").alias("grp"))
 
 
-def stray_parts(crowded: DataFrame, component: DataFrame, join: PathJoin) -> DataFrame:
-    """Rows (cls, leaf, grp) in which every stray class of a large node meets all of the node.
+def with_core(large: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows (cls, known, weight, node, n, heavy, core, stray) of large nodes that aren't joined yet.
 
-    ``component`` has (cls, known). The commonest component of a node is its core; classes
-    of the core are joined already, so only the others, the strays, are still to be compared
-    with all. Each part of the strays meets each part of the node; nodes without a stray have
-    no row.
+    ``component`` has (cls, known). The commonest component of a node is its core; its classes
+    are joined already, the others, the strays, weigh ``stray``.
     """
-    named = cut_lineage(crowded.join(component.hint("merge"), "cls"), "path-crowded")
+    named = cut_lineage(large.drop("known").join(component.hint("merge"), "cls"), "path-crowded")
     shares = named.groupBy("node", "known").agg(F.count("*").alias("n"), F.sum("weight").alias("held"))
+    most = F.struct("n", "known")
     cores = cut_lineage(
         shares.groupBy("node")
-        .agg(F.max_by("known", F.struct("n", "known")).alias("core"), F.max_by("held", F.struct("n", "known")).alias("held"), F.sum("held").alias("all"))
-        .where(F.col("all") > F.col("held"))
+        .agg(F.max_by("known", most).alias("core"), F.max_by("held", most).alias("held"), F.sum("held").alias("all"), F.count("*").alias("kinds"))
+        .where("kinds > 1")
         .select("node", "core", (F.col("all") - F.col("held")).alias("stray")),
         "path-cores",
     )
-    rows = named.join(cores.hint("merge"), "node")
+    return cut_lineage(named.join(cores.hint("merge"), "node"), "path-strays")
+
+
+def stray_parts(rows: DataFrame, join: PathJoin) -> DataFrame:
+    """Rows (cls, leaf, grp) in which every stray class of a large node meets all of the node.
+
+    ``rows`` are those of ``with_core``. Each part of the strays meets each part of the node, so
+    strays of at most ``leaf`` cost rows in proportion to the node.
+    """
     wide = F.ceil(F.col("heavy") * 2 / join.leaf).cast("int")
-    few = F.ceil(F.col("stray") * 2 / join.leaf).cast("int")
+    few = F.greatest(F.ceil(F.col("stray") * 2 / join.leaf).cast("int"), F.lit(1))
     as_member = F.transform(F.sequence(F.lit(0), few - 1), lambda k: F.struct(k.alias("few"), _part(join, wide).alias("wide")))
     as_stray = F.transform(F.sequence(F.lit(0), wide - 1), lambda k: F.struct(_part(join, few).alias("few"), k.alias("wide")))
     spots = F.when(F.col("known") == F.col("core"), as_member).otherwise(F.array_union(as_member, as_stray))
@@ -331,42 +358,58 @@ def linked(spots: DataFrame, classes: DataFrame, texts: DataFrame, join: PathJoi
     met = met.select("spot.leaf", "cls", "n_shingles", "sketch", "grps", "spot.grp", "known")
     needed = cut_lineage(promising(met, join), "path-needed")
     kind = ["n_shingles", "fp1", "fp2"]
-    named = needed.join(classes.select("cls", "rep", *kind).hint("merge"), "cls")
-    fetched = named.join(texts.hint("merge"), "rep").select("leaf", "rep", *kind, "text")
+    # written, so that Spark knows its size: few texts are looked up without moving all
+    named = cut_lineage(needed.join(classes.select("cls", "rep", *kind).hint("merge"), "cls"), "path-fetched")
+    fetched = named.join(texts, "rep").select("leaf", "rep", *kind, "text")
     return cut_lineage(confirmed(fetched, join), "path-edges")
 
 
 def joined_classes(classes: DataFrame, texts: DataFrame, join: PathJoin) -> DataFrame:
     """Rows (id, component) of the representatives that are linked with another.
 
-    All classes enter the first trees. Those that went too deep for so few enter more, in
-    which only nodes of several components are followed, until none needs another tree.
+    All classes enter the first trees. Nodes that stay large are linked before their documents
+    go further down, so what is alike is one component by then and its nodes are finished. Classes
+    that went too deep for so few trees enter more, until none needs another.
     """
-
-    def with_known(joined: DataFrame) -> DataFrame:
+    nothing = classes.sparkSession.createDataFrame([], "id bigint, component bigint")
+    joined, named = nothing, classes.withColumn("known", F.col("cls"))
+
+    def link(spots: DataFrame) -> None:
+        nonlocal joined, named
+        edges = linked(spots, named, texts, join)
+        if edges.isEmpty():
+            return
+        before = joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        joined = cut_lineage(components(edges.unionByName(before)), "path-joined")
         known = classes.join(joined, F.col("rep") == F.col("id"), "left")
         known = cut_lineage(known.select("cls", F.coalesce("component", "rep").alias("known")), "path-known")
-        return classes.join(known.hint("merge"), "cls")
+        named = classes.join(known.hint("merge"), "cls")
 
     wanted = F.array(*[F.lit(trees_for(join, steps)) for steps in range(1, join.depth + 2)])
-    named = classes.withColumn("known", F.col("cls"))
+    signed = classes.select("cls", "sig")
     entering = named.select("*", F.lit(1).alias("first"), F.lit(trees_for(join, 1)).alias("last"))
-    edges: list[DataFrame] = []
     while True:
-        spots, crowded, steps = small_nodes(entering, join)
-        if crowded is not None:
-            spots = spots.unionByName(led_parts(crowded, join))
-        edges.append(linked(spots, named, texts, join))
-        joined = components(reduce(DataFrame.unionByName, edges))
-        if steps is None:
-            return joined
-        named = with_known(joined)
-        if crowded is not None:
-            strays = cut_lineage(stray_parts(crowded, named.select("cls", "known"), join), "path-strays")
+        slim, level, deep = at_roots(entering, join), 0, []
+        while slim is not None:
+            spots, large, went, level = small_nodes(slim, signed, level, join)
+            deep += went
+            slim = None
+            if large is None:
+                link(spots)
+                continue
+            link(spots.unionByName(led_parts(large, join)))
+            rows = with_core(large, named.select("cls", "known"))
+            done = F.lit(level == join.depth) | (F.col("stray") <= join.leaf)
+            strays = rows.where(done)
             if not strays.isEmpty():
-                edges.append(linked(strays, named, texts, join))
-                joined = components(reduce(DataFrame.unionByName, edges))
-                named = with_known(joined)
+                link(stray_parts(strays, join))
+            on = rows.where(~done)
+            if not on.isEmpty():
+                deep.append(went_on(on, level))
+                slim, level = one_down(on, signed, join), level + 1
+        if not deep:
+            return joined
+        steps = reduce(DataFrame.unionByName, deep).groupBy("cls").agg(F.max("steps").alias("steps"))
         more = (
             entering.select("cls", "last")
             .join(steps, "cls")
@@ -417,3 +460,25 @@ def near_duplicates(docs: DataFrame, join: PathJoin = STAGE_JOIN) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_copies(docs: DataFrame, join: PathJoin = STAGE_JOIN) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group of near copies.
+
+    Rows are told apart by a number of their own, so neither a shared nor a null doc_id keeps a
+    copy or drops a text that has none. Of a group the smallest doc_id stays, null after all
+    others. Texts without a word are no copies; all of them stay.
+    """
+    row, = fresh(docs, "row")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "path-rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), join)
+    # the first row of a component is kept there; the others tell which components have copies
+    found = cut_lineage(found.select("doc_id", F.col("component_id").alias("of"), "kept"), "path-found")
+    several = found.where("not kept").select(F.col("of").alias("name")).distinct()
+    groups = found.join(several.hint("merge"), F.col("of") == F.col("name")).select("of", F.col("doc_id").alias("at"))
+    ids = rows.select(F.col(row).alias("number"), F.col("doc_id").cast("long").alias("own"))
+    groups = cut_lineage(groups.join(ids, F.col("at") == F.col("number")).select("of", "own", "at"), "path-groups")
+    first = groups.groupBy(F.col("of").alias("name")).agg(F.min(F.struct(F.col("own").isNull(), "own", "at"))["at"].alias("stays"))
+    copies = groups.join(first, F.col("of") == F.col("name")).where("at <> stays").select(F.col("at").alias(row))
+    copies = cut_lineage(copies, "path-copies")
+    return rows.join(copies.hint("merge"), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -83,7 +83,7 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, component), the smallest id reachable.
 
     Large-star and small-star steps in turn, each written to the shared folder, until no
@@ -96,7 +96,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     stars = cut_lineage(pairs.distinct(), "stars")
     print_before = None
-    for _ in range(rounds):
+    while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -129,7 +129,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if print_now == print_before:
             break
         print_before = print_now
-    else:
-        raise RuntimeError("components did not settle")
     roots = stars.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     return stars.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(roots)

@@ -166,13 +166,13 @@ def test_large_node_is_cut_into_parts_that_grow_with_it(spark):
         # three strays meet everything, the core doesn't meet itself again
         known = crowded.select("cls", F.when(F.abs("cls") % n < 3, F.col("cls")).otherwise(1).alias("known"))
         strays = known.where("known <> 1").count()
-        met = chosenpath.stray_parts(crowded, known, join)
+        met = chosenpath.stray_parts(chosenpath.with_core(crowded, known), join)
         assert met.count() <= n + strays * (-(-n * 2 // 64))
         joined = met.join(known, "cls")
         pairs = joined.where("known <> 1").select("leaf", F.col("cls").alias("stray")).join(joined.select("leaf", "cls"), "leaf")
         assert pairs.distinct().select("stray", "cls").distinct().count() == strays * n
     same = crowded.select("cls", F.lit(1).alias("known"))
-    assert chosenpath.stray_parts(crowded, same, join).isEmpty()
+    assert chosenpath.with_core(crowded, same).isEmpty()
 
 
 def crowd_of_pairs(count, seed=5):
@@ -284,3 +284,43 @@ def test_groups_across_batches():
             assert name not in found
             found[name] = batch.column(1).slice(start, stop - start).to_pylist()
     assert found == {k: [i for i, x in enumerate(keys) if x == k] for k in set(keys)}
+
+
+def family(rng, count, core, own):
+    """Texts of ``core`` common words and ``own`` words of their own, in one block at the end."""
+    common = [f"c{i}" for i in range(core)]
+    return [" ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(count)]
+
+
+def test_alike_documents_are_linked_before_they_descend(spark, monkeypatch):
+    rng = random.Random(12)
+    join = chosenpath.PathJoin(trees=1, leaf=256)
+    monkeypatch.setattr(chosenpath, "trees_for", lambda join, steps: 1)
+    rows = []
+    cut = chosenpath.cut_lineage
+
+    def counted(df, name="cut"):
+        out = cut(df, name)
+        if name == "path-level":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosenpath, "cut_lineage", counted)
+    texts = family(rng, 3000, 100, 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = chosenpath.near_duplicates(docs, join)
+    assert found.where("component_id <> 0").count() < 300
+    assert sum(rows) < 10 * len(texts)
+
+
+def test_rows_with_shared_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(40)] for x in "ab")
+    rows = [
+        (1, " ".join(a), "x"), (2, " ".join([*a, "more"]), "x"), (2, " ".join(b), "x"), (None, " ".join(a), "x"),
+        (1, " ".join(a), "x"), (None, None, "y"), (5, "", "y"), (5, "", "y"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = [tuple(r) for r in chosenpath.drop_copies(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], *rows[5:]], key=str)
+    assert chosenpath.drop_copies(docs.limit(0)).count() == 0
