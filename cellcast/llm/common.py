@@ -83,20 +83,50 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (hi, lo) as one edge from each vertex to the least it is connected to."""
+    root: dict[int, int] = {}
+
+    def least(v: int) -> int:
+        while (up := root.setdefault(v, v)) != v:
+            root[v] = root[up]
+            v = up
+        return v
+
+    for batch in batches:
+        for hi, lo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = least(hi), least(lo)
+            root[max(a, b)] = min(a, b)
+    rows = [(v, least(v)) for v in list(root)]
+    rows = [r for r in rows if r[0] != r[1]]
+    for at in range(0, len(rows), 1 << 16):
+        part = rows[at : at + (1 << 16)]
+        columns = [pa.array([r[k] for r in part], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo"])
+
+
+def components(edges: DataFrame, held: int = 1 << 18) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, component), the smallest id reachable.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until no
-    edge changes. The smallest neighbours are written before they are joined, so that a
-    vertex with very many edges can be split by the join. Null ends and loops are ignored;
-    vertices without an edge are not returned.
+    Edges are dealt evenly to tasks of at most about ``held``, each of which leaves a forest of
+    stars. If that takes one task, all is done; else large-star and small-star steps follow, and
+    so on until no edge changes; each is written to the shared folder. The smallest neighbours
+    are written before they are joined, so that a vertex with very many edges can be split by
+    the join. Null ends and loops are ignored; vertices without an edge are not returned.
     """
     pairs = edges.select(
-        F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
+        F.greatest("a", "b").cast("long").alias("hi"), F.least("a", "b").cast("long").alias("lo")
     ).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     stars = cut_lineage(pairs.distinct(), "stars")
     print_before = None
     while True:
+        tasks = -(-stars.count() // held)
+        if not tasks:
+            break
+        dealt = stars.repartition(tasks, "hi", "lo") if tasks > 1 else stars.repartition(1)
+        stars = cut_lineage(dealt.mapInArrow(_forest, "hi bigint, lo bigint"), "stars")
+        if tasks == 1:
+            break
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )

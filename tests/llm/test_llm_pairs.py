@@ -324,3 +324,25 @@ def test_rows_with_shared_null_and_repeated_ids(spark):
     kept = [tuple(r) for r in chosenpath.drop_copies(docs).collect()]
     assert sorted(kept, key=str) == sorted([rows[0], rows[2], *rows[5:]], key=str)
     assert chosenpath.drop_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("held", [1 << 18, 40])
+def test_components_of_chains_stars_and_loops(spark, held):
+    from cellcast.llm.common import components
+
+    rng = random.Random(held)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(100, 300)] + [(5, 5), (None, 3), (7, None)]
+    edges += [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(120)]
+    root = {}
+
+    def least(v):
+        root.setdefault(v, v)
+        return v if root[v] == v else least(root[v])
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = least(a), least(b)
+            root[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(3), held)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((v, least(v)) for v in root)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
