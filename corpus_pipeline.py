@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellcast.llm import chosenpath, hostrules, mixing, packing, toxicity
 from cellcast.llm.common import held_out
@@ -30,10 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps, of each group of near copies, the document with the smallest id.
 
     Copies share 0.8 or more of their shingles of five words; ``op6`` alone links from 0.85.
+    Rows are judged one by one, whatever ids they share; null ids come last.
     """
-    found = chosenpath.near_duplicates(docs, chosenpath.STAGE_JOIN)
-    copies = cut_lineage(found.where(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return chosenpath.drop_copies(docs, chosenpath.STAGE_JOIN)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
