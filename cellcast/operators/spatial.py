@@ -1,44 +1,34 @@
 """Nearest, radius and polygon joins without cross joins or crowded tiles.
 
-Sites are summarised into nested lat/lon tiles that shrink by four per level.  Every
-summary row keeps the tight box of its sites, one real site and their number.  A query
-point walks down the levels and keeps only tiles that can still matter, so the rows it
-produces depend on its surroundings and never on how many sites share a tile.  The
-deepest level is chosen so that a tile holds at most ``LEAF_SITES`` distinct positions.
+Sites are summarised once into a tree of nested tiles over their bounding box, each a
+sixteenth of the one above.  Every tile keeps the tight box of its sites, one real site and
+their number; a tile of at most ``LEAF_SITES`` distinct positions is a leaf, so leaves lie
+deep only where sites crowd.  A query point walks down the levels and keeps only tiles that
+can still matter; a leaf it meets waits until the walk ends.  So the rows a point makes
+depend on its surroundings and never on how many sites share a tile.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import chord_to_km, in_ring, km_to_chord, unit_xyz
-from ..session import shuffle_width
+from ..session import cut_lineage, shuffle_width
 
-ROOT_DEG = 64.0
-FACTOR = 4
-# more first-level tiles than the globe has, so that one parent covers them
-ROOT_SPAN = 1 << 20
-MAX_LEVEL = 13
+# tiles of the finest level are as narrow as doubles of the box's size tell apart
+FINEST = 26
+# levels of the tree that are made of one pass over the sites
+STEP = 6
 LEAF_SITES = 64
-# at most 720 * 180 tiles of one degree, a fixed bound because places off the globe are left out
+# at most 16 ** 3 tiles
 BROADCAST_LEVEL = 3
 SLACK = 1e-9
 
 
-def _tile_deg(level: int) -> float:
-    return ROOT_DEG / FACTOR**level
-
-
-def _tile(lat, lon, level: int) -> tuple[Column, Column]:
-    size = _tile_deg(level)
-    ty = F.floor((F.col(lat) + 90.0) / size) if isinstance(lat, str) else F.floor((lat + 90.0) / size)
-    tx = F.floor((F.col(lon) + 360.0) / size) if isinstance(lon, str) else F.floor((lon + 360.0) / size)
-    return ty, tx
-
-
 def _coords(metric: str, lat: str, lon: str) -> list[Column]:
     """Coordinates whose straight-line distance orders like the metric."""
     if metric == "degree":
@@ -52,43 +42,110 @@ def _on_globe(lat: str, lon: str) -> Column:
     return F.col(lat).between(-90, 90) & F.col(lon).between(-360, 360)
 
 
-def _distinct_sites(sites: DataFrame, lat: str, lon: str, site_id: str, metric: str) -> tuple[DataFrame, int]:
-    clean = sites.where(_on_globe(lat, lon))
+def _usable(metric: str, lat: str, lon: str) -> Column:
+    """Whether the metric has a distance from the place: on the globe, or any finite coordinates."""
+    if metric == "haversine":
+        return _on_globe(lat, lon)
+    y, x = F.abs(F.col(lat).cast("double")), F.abs(F.col(lon).cast("double"))
+    return (y < float("inf")) & (x < float("inf"))
+
+
+@dataclass(frozen=True)
+class SiteTree:
+    """``nodes`` (level, ty, tx, lo*, hi*, rep, copies, n) and ``spots`` with their leaf (lvl, lty, ltx).
+
+    ``levels`` are those of a walk; the root needs a step only if it is a leaf.
+    """
+
+    nodes: DataFrame
+    spots: DataFrame
+    depth: int
+    dims: int
+    leaf_sites: int
+
+    @property
+    def levels(self) -> range:
+        return range(min(self.depth, 1), self.depth + 1)
+
+    def level(self, level: int) -> DataFrame:
+        """A level's tiles with their parent (at most 16 per parent)."""
+        tiles = self.nodes.where(F.col("level") == level).drop("level")
+        tiles = tiles.withColumns({
+            "pty": F.shiftright("ty", 2),
+            "ptx": F.shiftright("tx", 2),
+            "is_leaf": F.lit(level == FINEST) | (F.col("n") <= self.leaf_sites),
+        }).drop("n")
+        return F.broadcast(tiles) if level <= BROADCAST_LEVEL else tiles
+
+
+def _up(column: str, levels) -> Column:
+    return F.call_function("shiftright", F.col(column), (2 * levels).cast("int") if isinstance(levels, Column) else F.lit(2 * levels))
+
+
+def site_tree(sites: DataFrame, lat: str, lon: str, site_id: str, metric: str, leaf_sites: int = LEAF_SITES) -> SiteTree:
+    """The tree of the distinct positions of ``sites``; each keeps its smallest id and its copies.
+
+    Six levels are made in one pass, counted before anything moves. Only positions in tiles of
+    the sixth that are still crowded enter the next pass; so a crowded spot deepens the tree
+    there and nowhere else.
+    """
+    clean = sites.where(_usable(metric, lat, lon))
     spots = clean.groupBy(F.col(lat).cast("double").alias("slat"), F.col(lon).cast("double").alias("slon")).agg(
         F.min(site_id).alias("sid"), F.count(F.lit(1)).alias("copies")
     )
+    spots = cut_lineage(spots, "site-spots")
+    box = spots.agg(F.min("slat").alias("s"), F.max("slat").alias("n"), F.min("slon").alias("w"), F.max("slon").alias("e")).first()
+    south, west = box["s"] or 0.0, box["w"] or 0.0
+    size = max((box["n"] or 0.0) - south, (box["e"] or 0.0) - west) or 1.0
     coords = _coords(metric, "slat", "slon")
-    return spots.select("*", *[c.alias(f"s{i}") for i, c in enumerate(coords)]), len(coords)
-
-
-def leaf_level(spots: DataFrame, leaf_sites: int = LEAF_SITES) -> int:
-    """Shallowest level whose fullest tile holds at most ``leaf_sites`` positions."""
-    levels = range(1, MAX_LEVEL)
-    tiles = []
-    for lv in levels:
-        ty, tx = _tile("slat", "slon", lv)
-        tiles.append(F.struct(F.lit(lv).alias("lv"), ty.alias("ty"), tx.alias("tx")))
-    per_tile = spots.select(F.explode(F.array(*tiles)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    # one row per level
-    fullest = {r["lv"]: r["n"] for r in per_tile.groupBy("t.lv").agg(F.max("n").alias("n")).collect()}
-    for lv in levels:
-        if fullest.get(lv, 0) <= leaf_sites:
-            return lv
-    return MAX_LEVEL
-
-
-def _tiles(spots: DataFrame, level: int, dims: int) -> DataFrame:
-    """Occupied tiles of ``level`` with their parent (at most 16 per parent)."""
-    ty, tx = _tile("slat", "slon", level)
-    tiles = spots.groupBy(ty.alias("ty"), tx.alias("tx")).agg(
-        *[F.min(f"s{i}").alias(f"lo{i}") for i in range(dims)],
-        *[F.max(f"s{i}").alias(f"hi{i}") for i in range(dims)],
-        F.min(F.struct(*[f"s{i}" for i in range(dims)])).alias("rep"),
+    dims = len(coords)
+
+    def place(c: Column, low: float) -> Column:
+        return F.least(F.floor((c - low) / size * 4.0**FINEST), F.lit(4**FINEST - 1)).cast("long")
+
+    spots = spots.select(
+        "sid", "copies", *[c.alias(f"s{i}") for i, c in enumerate(coords)],
+        place(F.col("slat"), south).alias("iy"), place(F.col("slon"), west).alias("ix"),
+    )
+    spot = [f"s{i}" for i in range(dims)]
+
+    summary = [
+        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(spot)],
+        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(spot)],
+        F.min(F.struct(*spot)).alias("rep"),
         F.sum("copies").alias("copies"),
+        F.count(F.lit(1)).alias("n"),
+    ]
+    nodes, leaves, pending, low = [], [], spots, -1
+    while True:
+        high = min(max(low, 0) + STEP, FINEST)
+        each = F.explode(F.sequence(F.lit(low + 1), F.lit(high)))
+        below = F.lit(FINEST) - F.col("level")
+        spread = pending.withColumn("level", each).withColumns({"ty": _up("iy", below), "tx": _up("ix", below)})
+        part = cut_lineage(spread.groupBy("level", "ty", "tx").agg(*summary), "site-nodes")
+        nodes.append(part)
+        crowded = part.where(F.col("n") > leaf_sites).select("level", F.col("ty").alias("cty"), F.col("tx").alias("ctx"))
+        deepest = crowded.agg(F.max("level")).first()[0]
+        # the tiles around a crowded tile are crowded, so their number is the level of the leaf
+        finest = part.where(F.col("level") == high).select("ty", "tx")
+        above = F.lit(high) - F.col("level")
+        kin = finest.withColumn("level", each).withColumns({"cty": _up("ty", above), "ctx": _up("tx", above)})
+        deeper = kin.join(crowded, ["level", "cty", "ctx"]).groupBy("ty", "tx").agg(F.count(F.lit(1)).alias("around"))
+        lvl = F.least(F.coalesce("around", F.lit(0)) + (low + 1), F.lit(FINEST)).cast("int")
+        known = finest.join(deeper, ["ty", "tx"], "left").select("ty", "tx", lvl.alias("lvl"))
+        keyed = pending.withColumns({"ty": _up("iy", FINEST - high), "tx": _up("ix", FINEST - high)})
+        placed = keyed.join(known, ["ty", "tx"]).drop("ty", "tx")
+        if high == FINEST or deepest != high:
+            depth = min((low if deepest is None else deepest) + 1, FINEST)
+            leaves.append(placed)
+            break
+        leaves.append(placed.where(F.col("lvl") <= high))
+        pending, low = cut_lineage(placed.where(F.col("lvl") > high).drop("lvl"), "site-crowd"), high
+    below = F.lit(FINEST) - F.col("lvl")
+    settled = reduce(DataFrame.unionByName, leaves).select(
+        "sid", "copies", *spot, "lvl", _up("iy", below).alias("lty"), _up("ix", below).alias("ltx")
     )
-    up = FACTOR if level else ROOT_SPAN
-    tiles = tiles.withColumn("pty", F.floor(F.col("ty") / up)).withColumn("ptx", F.floor(F.col("tx") / up))
-    return F.broadcast(tiles) if level <= BROADCAST_LEVEL else tiles
+    return SiteTree(reduce(DataFrame.unionByName, nodes), settled, depth, dims, leaf_sites)
 
 
 def _sum(parts) -> Column:
@@ -124,17 +181,27 @@ def _spot2(dims: int) -> Column:
 
 
 def _query_spots(points: DataFrame, lat: str, lon: str, metric: str) -> DataFrame:
-    clean = points.where(_on_globe(lat, lon))
+    """Distinct places of the points, below the root of the tree."""
+    clean = points.where(_usable(metric, lat, lon))
     spots = clean.select(F.col(lat).cast("double").alias("qlat"), F.col(lon).cast("double").alias("qlon")).distinct()
     # a fixed number of parts: adaptive execution would merge rows that are about to grow
     spots = spots.repartition(shuffle_width(points.sparkSession), "qlat", "qlon")
-    return spots.select("*", *[c.alias(f"p{i}") for i, c in enumerate(_coords(metric, "qlat", "qlon"))])
+    # not a literal, which would make the first join one without keys
+    root = F.floor(F.col("qlat") * 0.0).cast("long")
+    return spots.select(
+        "*",
+        *[c.alias(f"p{i}") for i, c in enumerate(_coords(metric, "qlat", "qlon"))],
+        root.alias("pty"),
+        root.alias("ptx"),
+        F.lit(None).cast("int").alias("lvl"),
+        F.lit(None).cast("long").alias("lty"),
+        F.lit(None).cast("long").alias("ltx"),
+    )
 
 
-def _at_root(spots: DataFrame) -> DataFrame:
-    """Starts every point at the one parent of all first-level tiles."""
-    ty, tx = _tile("qlat", "qlon", 0)
-    return spots.withColumn("pty", F.floor(ty / ROOT_SPAN)).withColumn("ptx", F.floor(tx / ROOT_SPAN))
+def _away() -> Column:
+    """Settled rows travel along under keys that match no tile, spread to avoid a hot key."""
+    return -1 - F.pmod(F.xxhash64("qlat", "qlon"), F.lit(1 << 20))
 
 
 def _to_metric(d2: Column, metric: str) -> Column:
@@ -158,8 +225,8 @@ def nearest_join(
     ``metric`` is plain degrees or great-circle km.  Points without a site (within
     ``max_distance`` when given) or off the globe keep nulls.
     """
-    spots, dims = _distinct_sites(sites, site_lat, site_lon, site_id, metric)
-    depth = leaf_level(spots, leaf_sites)
+    tree = site_tree(sites, site_lat, site_lon, site_id, metric, leaf_sites)
+    dims = tree.dims
     keys = ["qlat", "qlon", *[f"p{i}" for i in range(dims)]]
     cap = None
     if max_distance is not None:
@@ -168,18 +235,30 @@ def nearest_join(
     # the distinct points are already spread by position, so no level shuffles them again
     # while its tiles are broadcast
     around = Window.partitionBy("qlat", "qlon")
-    walk = _at_root(_query_spots(points, lat, lon, metric))
-    for level in range(depth + 1):
-        near = walk.join(_tiles(spots, level, dims), ["pty", "ptx"]).select(
-            *keys, "ty", "tx", _gap2(dims).alias("gap2"), _rep2(dims).alias("rep2")
+    none = F.lit(None).cast("double")
+    walk = _query_spots(points, lat, lon, metric).withColumns({"gap2": none, "rep2": none})
+    for level in tree.levels:
+        met = walk.join(tree.level(level), ["pty", "ptx"], "left")
+        settled = F.col("lvl").isNotNull()
+        leaf = settled | F.col("is_leaf")
+        near = met.where(settled | F.col("ty").isNotNull()).select(
+            *keys,
+            F.when(leaf, _away()).otherwise(F.col("ty")).alias("pty"),
+            F.when(leaf, _away()).otherwise(F.col("tx")).alias("ptx"),
+            F.coalesce("lvl", F.when(leaf, level)).alias("lvl"),
+            F.coalesce("lty", "ty").alias("lty"),
+            F.coalesce("ltx", "tx").alias("ltx"),
+            F.when(settled, F.col("gap2")).otherwise(_gap2(dims)).alias("gap2"),
+            F.when(settled, F.col("rep2")).otherwise(_rep2(dims)).alias("rep2"),
         )
         if cap is not None:
             near = near.where(F.col("gap2") <= cap)
         near = near.withColumn("limit", F.min("rep2").over(around) * (1 + SLACK) + SLACK * SLACK)
-        walk = near.where(F.col("gap2") <= F.col("limit")).select(*keys, F.col("ty").alias("pty"), F.col("tx").alias("ptx"))
-    ty, tx = _tile("slat", "slon", depth)
-    leaves = spots.select(ty.alias("pty"), tx.alias("ptx"), "sid", *[f"s{i}" for i in range(dims)])
-    pairs = walk.join(leaves, ["pty", "ptx"])
+        walk = near.where(F.col("gap2") <= F.col("limit")).drop("limit")
+        if level < tree.depth:
+            open_ = F.col("lvl").isNull()
+            walk = walk.withColumns({"lty": F.when(~open_, F.col("lty")), "ltx": F.when(~open_, F.col("ltx"))})
+    pairs = walk.join(tree.spots, ["lvl", "lty", "ltx"])
     best = pairs.groupBy("qlat", "qlon").agg(F.min(F.struct(_spot2(dims).alias("d2"), "sid")).alias("b"))
     found = best.select("qlat", "qlon", F.col("b.sid").alias("site_id"), _to_metric(F.col("b.d2"), metric).alias("distance"))
     if max_distance is not None:
@@ -222,34 +301,35 @@ def count_within(points, sites, lat, lon, site_lat, site_lon, site_id, kms: list
 
     Tiles wholly inside a radius add their count without being opened.
     """
-    spots, dims = _distinct_sites(sites, site_lat, site_lon, site_id, "haversine")
-    depth = leaf_level(spots, leaf_sites)
+    tree = site_tree(sites, site_lat, site_lon, site_id, "haversine", leaf_sites)
+    dims = tree.dims
     pcols = [f"p{i}" for i in range(dims)]
     keys = ["qlat", "qlon", *pcols, "km", "c2"]
     radii = F.array(*[F.struct(F.lit(float(k)).alias("km"), F.lit(km_to_chord(k) ** 2).alias("c2")) for k in kms])
     walk = _query_spots(points, lat, lon, "haversine")
-    walk = walk.select("*", F.explode(radii).alias("r")).select("qlat", "qlon", *pcols, "r.km", "r.c2")
-    walk = _at_root(walk).withColumn("n", F.lit(None).cast("long"))
-    # settled counts travel along under keys that match no tile, spread to avoid a hot key
-    away = -1 - F.pmod(F.xxhash64("qlat", "qlon"), F.lit(1 << 20))
-    for level in range(depth + 1):
-        met = walk.join(_tiles(spots, level, dims), ["pty", "ptx"], "left")
-        met = met.select(*keys, "n", "pty", "ptx", "ty", "tx", "copies", _gap2(dims).alias("gap2"), _far2(dims).alias("far2"))
+    walk = walk.withColumn("r", F.explode(radii)).select("qlat", "qlon", *pcols, "r.km", "r.c2", "pty", "ptx", "lvl", "lty", "ltx")
+    walk = walk.withColumn("n", F.lit(None).cast("long"))
+    for level in tree.levels:
+        met = walk.join(tree.level(level), ["pty", "ptx"], "left")
+        met = met.select("*", _gap2(dims).alias("gap2"), _far2(dims).alias("far2"))
         inside = F.col("far2") < F.col("c2") * (1 - SLACK)
         border = ~inside & (F.col("gap2") <= F.col("c2") * (1 + SLACK))
-        met = met.where(F.col("n").isNotNull() | inside | border)
-        settled = F.col("n").isNotNull() | inside
+        waits = F.col("n").isNotNull() | F.col("lvl").isNotNull()
+        met = met.where(waits | inside | border)
+        leaf = ~inside & F.col("is_leaf")
+        settled = waits | inside | leaf
         walk = met.select(
             *keys,
-            F.when(settled, away).otherwise(F.col("ty")).alias("pty"),
-            F.when(settled, away).otherwise(F.col("tx")).alias("ptx"),
-            F.when(F.col("n").isNotNull(), F.col("n")).when(inside, F.col("copies")).alias("n"),
+            F.when(settled, _away()).otherwise(F.col("ty")).alias("pty"),
+            F.when(settled, _away()).otherwise(F.col("tx")).alias("ptx"),
+            F.coalesce("lvl", F.when(~waits & leaf, level)).alias("lvl"),
+            F.coalesce("lty", F.when(~waits & leaf, F.col("ty"))).alias("lty"),
+            F.coalesce("ltx", F.when(~waits & leaf, F.col("tx"))).alias("ltx"),
+            F.when(waits, F.col("n")).when(inside, F.col("copies")).alias("n"),
         )
-        # settled rows of a point become one; the rows are already spread by position
-        walk = walk.groupBy(*keys, "pty", "ptx").agg(F.sum("n").alias("n"))
-    ty, tx = _tile("slat", "slon", depth)
-    leaves = spots.select(ty.alias("pty"), tx.alias("ptx"), "copies", *[f"s{i}" for i in range(dims)])
-    pairs = walk.join(leaves, ["pty", "ptx"], "left")
+        # counted rows of a point become one; the rows are already spread by position
+        walk = walk.groupBy(*keys, "pty", "ptx", "lvl", "lty", "ltx").agg(F.sum("n").alias("n"))
+    pairs = walk.join(tree.spots, ["lvl", "lty", "ltx"], "left")
     hit = F.when(F.col("n").isNotNull(), F.col("n")).when(_spot2(dims) <= F.col("c2"), F.col("copies")).otherwise(0)
     counts = pairs.groupBy("qlat", "qlon", "km").agg(F.sum(hit).alias("n"))
     wide = counts.groupBy("qlat", "qlon").agg(

@@ -81,3 +81,25 @@ def test_places_off_the_globe_are_left_out(spark):
     sites = spark.createDataFrame([(1, -1e7, 1e9), (2, 31.0, 263.0), (3, 40.0, -90.0)], "sid int, slat double, slon double")
     got = {r["id"]: r["site_id"] for r in SP.nearest_join(points, sites, "lat", "lon", "slat", "slon", "sid", "haversine").collect()}
     assert got == {1: 2, 2: None}
+
+
+def test_a_crowded_spot_deepens_the_tree_only_there(spark):
+    even = spark.range(20_000).select("id", (F.rand(1) * 40).alias("lat"), (F.rand(2) * 40).alias("lon"))
+    spot = spark.range(500).select("id", (20 + F.rand(3) * 1e-9).alias("lat"), (20 + F.rand(4) * 1e-9).alias("lon"))
+    tree = SP.site_tree(even.unionByName(spot), "lat", "lon", "id", "degree")
+    levels = {r["lvl"]: r["n"] for r in tree.spots.groupBy("lvl").agg(F.count("*").alias("n")).collect()}
+    assert sum(levels.values()) == 20_500 and max(levels) == tree.depth > 12
+    assert sum(n for lvl, n in levels.items() if lvl > 6) < 570
+    assert tree.spots.groupBy("lvl", "lty", "ltx").count().agg(F.max("count")).first()[0] <= SP.LEAF_SITES
+    points = even.where("id < 40").unionByName(spot.where("id < 10"))
+    near = SP.nearest_join(points, even.unionByName(spot), "lat", "lon", "lat", "lon", "id")
+    assert near.where("distance <> 0").count() == 0 and near.count() == 50
+
+
+def test_degrees_need_no_globe(spark):
+    sites = [(i, 1000.0 * (i % 30), 250_000.0 + 700 * (i // 30)) for i in range(900)] + [(1000, float("nan"), 0.0), (1001, None, 1.0)]
+    sites = spark.createDataFrame(sites, "sid long, y double, x double")
+    points = spark.createDataFrame([(1, 10_400.0, 250_000.0), (2, 29_000.0, 1e7), (3, float("inf"), 0.0)], "id int, y double, x double")
+    got = {r["id"]: r for r in SP.nearest_join(points, sites, "y", "x", "y", "x", "sid").collect()}
+    assert (got[1]["site_id"], got[1]["distance"]) == (10, 400.0)
+    assert got[2]["site_id"] == 899 and got[3]["site_id"] is None
