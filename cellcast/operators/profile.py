@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordered import average_rank, percentiles, running_before, top_n
+from .wide import pair_correlations, wide_percentiles
 
 # Thresholds of the profile report.
 MISSING_TIERS = ((90.0, "critical"), (75.0, "high"), (50.0, "moderate"), (25.0, "low"))
@@ -124,29 +126,48 @@ def distinct_counts(df: DataFrame, cols: list[str], include_null: bool = False,
 # ---------------------------------------------------------------- numeric
 
 
+def _stacked(df: DataFrame, cols: list[str], wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows (column, *wanted) of aggregates, each of all columns made in one pass over the rows."""
+    out = None
+    for at in range(0, len(cols), COLUMNS_PER_PASS * 4):
+        part = cols[at : at + COLUMNS_PER_PASS * 4]
+        flat = df.agg(*[make(F.col(c)).alias(f"{name}_{i}") for i, c in enumerate(part) for name, make in wanted.items()])
+        rows = [
+            F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in wanted]) for i, c in enumerate(part)
+        ]
+        one = flat.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """Count, moments, range and percentiles of numeric columns; infinite values are only counted."""
     cols = cols or numeric_columns(df)
-    long = melt(df, cols)
-    finite = F.abs("value") < F.lit(float("inf"))
-    v = F.when(finite, F.col("value"))
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.var_samp(v).alias("var"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count(F.when(~finite, 1)).alias("inf_count"),
-    )
+
+    def value(c: Column) -> Column:
+        return F.nanvl(c.cast("double"), F.lit(None))
+
+    def finite(c: Column) -> Column:
+        return F.when(F.abs(value(c)) < float("inf"), value(c))
+
+    wanted = {
+        "count": lambda c: F.count(value(c)),
+        "mean": lambda c: F.avg(finite(c)),
+        "std": lambda c: F.stddev_samp(finite(c)),
+        "var": lambda c: F.var_samp(finite(c)),
+        "min": lambda c: F.min(finite(c)),
+        "max": lambda c: F.max(finite(c)),
+        "inf_count": lambda c: F.count(value(c)) - F.count(finite(c)),
+    }
     probs, names = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99], ["p5", "q1", "median", "q3", "p95", "p99"]
-    usable = long.where(finite)
+    if not exact:
+        wanted["q"] = lambda c: F.percentile_approx(finite(c), probs, 10000)
+    moments = _stacked(df, cols, wanted)
     if exact:
-        quant = percentiles(usable, "value", probs, by="column", names=names)
+        summary = moments.join(wide_percentiles(df, cols, probs, names), "column", "left")
     else:
-        arr = F.percentile_approx("value", probs, 10000)
-        quant = usable.groupBy("column").agg(arr.alias("a"))
-        quant = quant.select("column", *[F.col("a")[i].alias(n) for i, n in enumerate(names)])
-    return moments.join(quant, "column", "left").withColumn("iqr", F.col("q3") - F.col("q1"))
+        summary = moments.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)]).drop("q")
+    return summary.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def shape_moments(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -165,21 +186,40 @@ def shape_moments(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR) -> DataFrame:
-    long = melt(df, cols).where(F.col("value").isNotNull())
-    fences = percentiles(long, "value", [0.25, 0.75], by="column", names=["q1", "q3"]).select(
-        "column",
-        (F.col("q1") - (F.col("q3") - F.col("q1")) * factor).alias("low"),
-        (F.col("q3") + (F.col("q3") - F.col("q1")) * factor).alias("high"),
-    )
-    # one fence row per profiled column, bounded by the schema
-    joined = long.join(F.broadcast(fences), "column")
-    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    return joined.groupBy("column").agg(
-        F.max("low").alias("low"),
-        F.max("high").alias("high"),
-        F.count(F.when(outside, 1)).alias("outliers"),
-        F.round(F.count(F.when(outside, 1)) * 100.0 / F.count(F.lit(1)), 4).alias("outlier_pct"),
-    )
+    """Fences and the values beyond them of every column that has a value.
+
+    One row of quartiles for each column, bounded by the schema, becomes part of the plan.
+    """
+    quartiles = wide_percentiles(df, cols, [0.25, 0.75], ["q1", "q3"], finite=False).where("q1 is not null").collect()
+    fences = {q["column"]: (q["q1"] - (q["q3"] - q["q1"]) * factor, q["q3"] + (q["q3"] - q["q1"]) * factor) for q in quartiles}
+    if not fences:
+        return df.sparkSession.createDataFrame([], "column string, low double, high double, outliers bigint, outlier_pct double")
+    used = [c for c in cols if c in fences]
+
+    def value(c: Column) -> Column:
+        return F.nanvl(c.cast("double"), F.lit(None))
+
+    out = None
+    for at in range(0, len(used), COLUMNS_PER_PASS * 4):
+        part = used[at : at + COLUMNS_PER_PASS * 4]
+        counts = []
+        for i, c in enumerate(part):
+            low, high = fences[c]
+            v = value(F.col(c))
+            counts += [F.count(v).alias(f"n{i}"), F.count(F.when((v < low) | (v > high), 1)).alias(f"o{i}")]
+        rows = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(fences[c][0]).alias("low"),
+                F.lit(fences[c][1]).alias("high"),
+                F.col(f"o{i}").alias("outliers"),
+                F.round(F.col(f"o{i}") * 100.0 / F.col(f"n{i}"), 4).alias("outlier_pct"),
+            )
+            for i, c in enumerate(part)
+        ]
+        one = df.agg(*counts).select(F.explode(F.array(*rows)).alias("m")).select("m.*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def top_variance(df: DataFrame, cols: list[str], n: int) -> DataFrame:
@@ -190,29 +230,9 @@ def top_variance(df: DataFrame, cols: list[str], n: int) -> DataFrame:
 # ---------------------------------------------------------------- correlation
 
 
-def _pair_aggregate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """corr over rows where both are present, a bounded number of pairs per aggregate."""
-    chunks = [pairs[i : i + COLUMNS_PER_PASS] for i in range(0, len(pairs), COLUMNS_PER_PASS)]
-    out = None
-    for chunk in chunks:
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-            x, y = F.when(both, x), F.when(both, y)
-            # corr() fails on a constant column, the quotient gives null
-            aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{i}"))
-        rows = F.array(
-            *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(chunk)]
-        )
-        part = df.agg(*aggs).select(F.explode(rows).alias("m")).select("m.*")
-        out = part if out is None else out.unionAll(part)
-    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
-
-
 def pearson_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Upper triangle of the correlation matrix; constant columns give null."""
-    return _pair_aggregate(df, list(combinations(cols, 2)))
+    return pair_correlations(df, list(combinations(cols, 2)))
 
 
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -230,7 +250,7 @@ def high_corr_pairs(pairs: DataFrame, limit: float = HIGH_CORR) -> DataFrame:
 
 
 def corr_with(df: DataFrame, cols: list[str], target: str, n: int = 40) -> DataFrame:
-    out = _pair_aggregate(df, [(c, target) for c in cols if c != target])
+    out = pair_correlations(df, [(c, target) for c in cols if c != target])
     return out.orderBy(F.desc(F.abs("r")), "a").limit(n).select(F.col("a").alias("column"), "r")
 
 
@@ -255,7 +275,7 @@ def spearman_pairs(df: DataFrame, cols: list[str], keep: Column | None = None) -
         for c in some:
             ranks = average_rank(ranked.select(c), c, name=f"_rank_{c}").drop("n")
             ranked = ranked.join(ranks, c)
-        found = _pair_aggregate(ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in some]), wanted)
+        found = pair_correlations(ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in some]), wanted)
         out = found if out is None else out.unionAll(found)
     return out
 
