@@ -53,10 +53,8 @@ def hdw(temp_c, rh, wind) -> Column:
     return as_col(wind) * vpd(temp_c, rh)
 
 
-# Fixed values: (constant, rh, rh squared, temperature, rh * temperature) by humidity branch.
-EMC_DRY = (0.03229, 0.281073, 0.0, 0.0, -0.000578)
-EMC_MID = (2.22749, 0.160107, 0.0, -0.014784, 0.0)
-EMC_HUMID = (21.0606, -0.100276, 0.005531, 0.0, -0.001436)
+# Fixed values: (constant, rh, rh squared, rh * temperature) of moisture above 50 % humidity.
+EMC_HUMID = (21.0606, -0.100276, 0.005531, -0.001436)
 
 
 def ffwi(temp_c, rh, wind_ms, humid=EMC_HUMID) -> Column:
@@ -65,10 +63,10 @@ def ffwi(temp_c, rh, wind_ms, humid=EMC_HUMID) -> Column:
     t = as_col(temp_c) * 1.8 + 32.0
     mph = as_col(wind_ms) * 2.23694
 
-    def emc(k) -> Column:
-        return rh * k[1] + rh * rh * k[2] + t * k[3] + rh * t * k[4] + k[0]
-
-    m = F.when(rh < 10.0, emc(EMC_DRY)).when(rh <= 50.0, emc(EMC_MID)).otherwise(emc(humid))
+    dry = 0.03229 + 0.281073 * rh - 0.000578 * rh * t
+    middle = 2.22749 + 0.160107 * rh - 0.014784 * t
+    damp = humid[0] + humid[1] * rh + humid[2] * rh * rh + humid[3] * rh * t
+    m = F.when(rh < 10.0, dry).when(rh <= 50.0, middle).otherwise(damp)
     x = m / 30.0
     damping = F.when(m > 30.0, F.lit(0.0)).otherwise(F.lit(1.0) - x * 2.0 + x * x * 1.5 - x * x * x * 0.5)
     index = damping * F.sqrt(mph * mph + 1.0) / 0.3002

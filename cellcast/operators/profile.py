@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordered import average_rank, percentiles, running_before, top_n
-from .wide import pair_correlations, wide_percentiles
+from .wide import doubles, pair_correlations, wide_percentiles
 
 # Thresholds of the profile report.
 MISSING_TIERS = ((90.0, "critical"), (75.0, "high"), (50.0, "moderate"), (25.0, "low"))
@@ -25,8 +24,6 @@ SIZE_EDGES = (0.0, 0.25, 1.0, 10.0, 100.0, 300.0, 1000.0, 5000.0)
 SIZE_LABELS = ("<0.25", "0.25-1", "1-10", "10-100", "100-300", "300-1k", "1k-5k", ">5k")
 SIZE_PERCENTILES = (0, 5, 10, 25, 50, 75, 90, 95, 99, 100)
 
-COLUMNS_PER_PASS = 60
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -126,43 +123,34 @@ def distinct_counts(df: DataFrame, cols: list[str], include_null: bool = False,
 # ---------------------------------------------------------------- numeric
 
 
-def _stacked(df: DataFrame, cols: list[str], wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Rows (column, *wanted) of aggregates, each of all columns made in one pass over the rows."""
-    out = None
-    for at in range(0, len(cols), COLUMNS_PER_PASS * 4):
-        part = cols[at : at + COLUMNS_PER_PASS * 4]
-        flat = df.agg(*[make(F.col(c)).alias(f"{name}_{i}") for i, c in enumerate(part) for name, make in wanted.items()])
-        rows = [
-            F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in wanted]) for i, c in enumerate(part)
-        ]
-        one = flat.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
-        out = one if out is None else out.unionByName(one)
-    return out
+def _stacked(rows: DataFrame, cols: list[str], wanted: dict[str, str]) -> DataFrame:
+    """Rows (column, *wanted) of aggregates of columns c0, c1, ..., named ``cols``, made together.
+
+    ``wanted`` are aggregates in which ``{c}`` stands for the column.
+    """
+    flat = rows.selectExpr(*[f"{make.format(c=f'c{i}')} as {name}_{i}" for i in range(len(cols)) for name, make in wanted.items()])
+    quoted = [c.replace("\\", "\\\\").replace("'", "\\'") for c in cols]
+    cells = [f"'{c}', " + ", ".join(f"{name}_{i}" for name in wanted) for i, c in enumerate(quoted)]
+    return flat.selectExpr(f"stack({len(cols)}, {', '.join(cells)}) as (column, {', '.join(wanted)})")
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, moments, range and percentiles of numeric columns; infinite values are only counted."""
     cols = cols or numeric_columns(df)
-
-    def value(c: Column) -> Column:
-        return F.nanvl(c.cast("double"), F.lit(None))
-
-    def finite(c: Column) -> Column:
-        return F.when(F.abs(value(c)) < float("inf"), value(c))
-
+    finite = "if(abs({c}) < double('infinity'), {c}, null)"
     wanted = {
-        "count": lambda c: F.count(value(c)),
-        "mean": lambda c: F.avg(finite(c)),
-        "std": lambda c: F.stddev_samp(finite(c)),
-        "var": lambda c: F.var_samp(finite(c)),
-        "min": lambda c: F.min(finite(c)),
-        "max": lambda c: F.max(finite(c)),
-        "inf_count": lambda c: F.count(value(c)) - F.count(finite(c)),
+        "count": "count({c})",
+        "mean": f"avg({finite})",
+        "std": f"stddev_samp({finite})",
+        "var": f"var_samp({finite})",
+        "min": f"min({finite})",
+        "max": f"max({finite})",
+        "inf_count": f"count({{c}}) - count({finite})",
     }
     probs, names = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99], ["p5", "q1", "median", "q3", "p95", "p99"]
     if not exact:
-        wanted["q"] = lambda c: F.percentile_approx(finite(c), probs, 10000)
-    moments = _stacked(df, cols, wanted)
+        wanted["q"] = f"percentile_approx({finite}, array({', '.join(map(str, probs))}), 10000)"
+    moments = _stacked(doubles(df, cols), cols, wanted)
     if exact:
         summary = moments.join(wide_percentiles(df, cols, probs, names), "column", "left")
     else:
@@ -195,31 +183,15 @@ def iqr_outliers(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR) ->
     if not fences:
         return df.sparkSession.createDataFrame([], "column string, low double, high double, outliers bigint, outlier_pct double")
     used = [c for c in cols if c in fences]
-
-    def value(c: Column) -> Column:
-        return F.nanvl(c.cast("double"), F.lit(None))
-
-    out = None
-    for at in range(0, len(used), COLUMNS_PER_PASS * 4):
-        part = used[at : at + COLUMNS_PER_PASS * 4]
-        counts = []
-        for i, c in enumerate(part):
-            low, high = fences[c]
-            v = value(F.col(c))
-            counts += [F.count(v).alias(f"n{i}"), F.count(F.when((v < low) | (v > high), 1)).alias(f"o{i}")]
-        rows = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(fences[c][0]).alias("low"),
-                F.lit(fences[c][1]).alias("high"),
-                F.col(f"o{i}").alias("outliers"),
-                F.round(F.col(f"o{i}") * 100.0 / F.col(f"n{i}"), 4).alias("outlier_pct"),
-            )
-            for i, c in enumerate(part)
-        ]
-        one = df.agg(*counts).select(F.explode(F.array(*rows)).alias("m")).select("m.*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    ends = [[f"double('{x!r}')" for x in fences[c]] for c in used]
+    rows = doubles(df, used)
+    marks = [x for i, (low, high) in enumerate(ends) for x in (f"c{i}", f"c{i} < {low} or c{i} > {high} as o{i}")]
+    counts = [x for i in range(len(used)) for x in (f"count(c{i}) as n{i}", f"count_if(o{i}) as x{i}")]
+    counted = rows.selectExpr(*marks).selectExpr(*counts)
+    names = [c.replace("\\", "\\\\").replace("'", "\\'") for c in used]
+    cells = [f"'{c}', {low}, {high}, x{i}, n{i}" for i, (c, (low, high)) in enumerate(zip(names, ends))]
+    found = counted.selectExpr(f"stack({len(used)}, {', '.join(cells)}) as (column, low, high, outliers, n)")
+    return found.select("column", "low", "high", "outliers", F.round(F.col("outliers") * 100.0 / F.col("n"), 4).alias("outlier_pct"))
 
 
 def top_variance(df: DataFrame, cols: list[str], n: int) -> DataFrame:
@@ -688,11 +660,11 @@ def headline_stats(df: DataFrame, date: str, measure: str) -> DataFrame:
     return base.withColumn("peak_year", peak(F.year(date), "y").scalar()).withColumn("peak_month", peak(F.month(date), "m").scalar())
 
 
-def fill_contamination(df: DataFrame, cols: list[str], limits=(9000.0, 32000.0)) -> DataFrame:
-    long = melt(df, cols)
-    return long.groupBy("column").agg(
-        *[F.count(F.when(F.col("value") > x if x == 9000.0 else F.col("value") >= x, 1)).alias(f"over_{int(x)}") for x in limits]
-    )
+def fill_contamination(df: DataFrame, cols: list[str], limits=((9000.0, ">"), (32000.0, ">="))) -> DataFrame:
+    """Per column the number of values beyond each limit; a limit says whether it counts itself."""
+    beyond = {">": lambda x: F.col("value") > x, ">=": lambda x: F.col("value") >= x}
+    counts = [F.count(F.when(beyond[sign](x), 1)).alias(f"over_{int(x)}") for x, sign in limits]
+    return melt(df, cols).groupBy("column").agg(*counts)
 
 
 # ---------------------------------------------------------------- class diagnostics

@@ -20,9 +20,14 @@ BINS = 4096
 FEW = 1 << 16
 
 
-def _doubles(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The columns as doubles under their numbers; NaN becomes null."""
-    return df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(cols)])
+def doubles(df: DataFrame, cols: list[str], finite: bool = False) -> DataFrame:
+    """The columns as doubles c0, c1, ...; NaN becomes null, and infinite values too if ``finite``."""
+    # as text, for one call a column and not one an operator
+    values = ["nanvl(cast(`{}` as double), null)".format(c.replace("`", "``")) for c in cols]
+    rows = df.selectExpr(*[f"{v} as c{i}" for i, v in enumerate(values)])
+    if finite:
+        rows = rows.selectExpr(*[f"if(abs(c{i}) < double('infinity'), c{i}, null) as c{i}" for i in range(len(cols))])
+    return rows
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -123,12 +128,8 @@ def wide_percentiles(df: DataFrame, cols: list[str], probs: list[float], names:
     without a value has nulls.
     """
     spark = df.sparkSession
-    rows = _doubles(df, cols)
-    if finite:
-        rows = rows.select(*[F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in rows.columns])
-    ends = rows.agg(
-        *[f(c).alias(f"{c}{mark}") for c in rows.columns for f, mark in ((F.count, "n"), (F.min, "l"), (F.max, "h"))]
-    ).first()
+    rows = doubles(df, cols, finite)
+    ends = rows.selectExpr(*[f"{f}({c}) as {c}{mark}" for c in rows.columns for f, mark in (("count", "n"), ("min", "l"), ("max", "h"))]).first()
     sizes = [ends[f"c{i}n"] for i in range(len(cols))]
     places = [[(n - 1) * p for p in probs] for n in sizes]
     open_ = []
@@ -209,7 +210,7 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=["pair", *names])
 
     spark = df.sparkSession
-    found = _doubles(df, cols).mapInArrow(run, "pair int, " + ", ".join(f"{n} double" for n in names))
+    found = doubles(df, cols).mapInArrow(run, "pair int, " + ", ".join(f"{n} double" for n in names))
     blocks = found.groupBy("pair").agg(F.collect_list(F.struct(*names)).alias("blocks"))
 
     def total(value: Callable[[Column], Column]) -> Column:

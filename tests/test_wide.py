@@ -71,11 +71,12 @@ def test_many_columns_take_one_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1 and "Expand" not in plan
     assert found.count() == 250 * 249 // 2
-    summary = P.numeric_summary(df, list(data))
-    assert "Generate explode(array(struct(column, k0" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    summary = P.numeric_summary(df, list(data)[:60])
+    # only the row of aggregates becomes rows per column
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
     got = {r["column"]: r for r in summary.collect()}
     assert got["k17"]["median"] == pytest.approx(data["k17"].median(), rel=1e-12)
-    assert got["k249"]["std"] == pytest.approx(data["k249"].std(), rel=1e-9)
+    assert got["k59"]["std"] == pytest.approx(data["k59"].std(), rel=1e-9)
 
 
 def test_empty_tables(spark):
