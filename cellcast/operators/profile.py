@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import average_rank, percentiles, running_before, top_n
+from .ordered import percentiles, running_before, top_n
+from .rankcorr import rank_correlations
 from .wide import doubles, pair_correlations, wide_percentiles
 
 # Thresholds of the profile report.
@@ -229,27 +230,10 @@ def corr_with(df: DataFrame, cols: list[str], target: str, n: int = 40) -> DataF
 def spearman_pairs(df: DataFrame, cols: list[str], keep: Column | None = None) -> DataFrame:
     """Rank correlation of every pair with tie-averaged ranks.
 
-    Each pair uses the rows where both are present.  Ranks are found per distinct value and
-    joined back by value; the columns without a missing value share one set of ranks.
-    ``keep`` optionally restricts the rows (the sampled form of the report).
+    Each pair uses the rows where both are present.  ``keep`` optionally restricts the rows
+    (the sampled form of the report).
     """
-    rows = df if keep is None else df.where(keep)
-    rows = rows.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
-    gaps = rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-    full = [c for c in cols if not gaps[c]]
-    pairs = list(combinations(cols, 2))
-    together = [p for p in pairs if p[0] in full and p[1] in full]
-    parts = [(full, together)] if together else []
-    parts += [(list(p), [p]) for p in pairs if p not in set(together)]
-    out = None
-    for some, wanted in parts:
-        ranked = rows.select(*some).dropna()
-        for c in some:
-            ranks = average_rank(ranked.select(c), c, name=f"_rank_{c}").drop("n")
-            ranked = ranked.join(ranks, c)
-        found = pair_correlations(ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in some]), wanted)
-        out = found if out is None else out.unionAll(found)
-    return out
+    return rank_correlations(df if keep is None else df.where(keep), cols)
 
 
 # ---------------------------------------------------------------- group contrasts

@@ -173,6 +173,25 @@ def _(t):
     return rounded(P.spearman_pairs(t.part, ["p_size", "p_retailprice"]))
 
 
+_GAPS = {
+    "quantity": ("l_returnflag = 'N'", "l_quantity"),
+    "price": ("l_discount = 0.05", "l_extendedprice"),
+    "discount": ("l_returnflag = 'N'", "l_discount"),
+    "tax": ("l_linenumber > 4", "l_tax"),
+    "line": ("false", "l_linenumber"),
+}
+_GAP_COLUMNS = ", ".join(f"case when {gap} then null else {c} end as {n}" for n, (gap, c) in _GAPS.items())
+
+
+@query("a14_spearman_gaps", f"with g as (select {_GAP_COLUMNS} from lineitem) " + " union all ".join(f"""select '{a}' as a, '{b}' as b, round(corr(x, y), 6) as r from
+ (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1)/2.0 as x,
+ rank() over (order by {b}) + (count(*) over (partition by {b}) - 1)/2.0 as y from g where {a} is not null and {b} is not null)"""
+ for i, a in enumerate(_GAPS) for b in list(_GAPS)[i + 1 :]))
+def _(t):
+    df = t.lineitem.selectExpr(*[f"case when {gap} then null else {c} end as {n}" for n, (gap, c) in _GAPS.items()])
+    return rounded(P.spearman_pairs(df, list(_GAPS)))
+
+
 @query("a15_high_corr_pairs", """select 'l_quantity' as a, 'double_qty' as b, 1.0::double as r, 1.0::double as abs_r union all
  select 'l_quantity','minus_qty',-1.0,1.0 union all select 'double_qty','minus_qty',-1.0,1.0""")
 def _(t):
