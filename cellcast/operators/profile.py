@@ -351,6 +351,12 @@ def median_by_top(df: DataFrame, key: str, size: str, n: int = 20) -> DataFrame:
     return top.join(med, key, "left")
 
 
+def coordinate_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Mean, median, spread, range, quartiles and count of coordinates, to six digits."""
+    found = numeric_summary(df, cols)
+    return found.select("column", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "min", "max", "q1", "q3")], "count")
+
+
 def bin_counts(df: DataFrame, col: str, edges=SIZE_EDGES, labels=SIZE_LABELS) -> DataFrame:
     """Right-closed bins; values at or below the first edge belong to none."""
     v = F.col(col).cast("double")
@@ -533,50 +539,84 @@ def duplicate_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     return df.sparkSession.createDataFrame(sorted(pairs, key=lambda p: (cols.index(p[0]), cols.index(p[1]))), "a string, b string")
 
 
+# What the report says of a column by words of its name; the first that fits wins.
+DESCRIPTIONS = (
+    ("LAT", "Latitude coordinate"),
+    ("LON", "Longitude coordinate"),
+    ("DATE", "Date field"),
+    ("DOY", "Day of year"),
+    ("ELEV", "Elevation (meters)"),
+    ("SLOPE", "Terrain slope"),
+    ("PDSI|DROUGHT", "Drought index"),
+    ("NDVI|EVI|NBR", "Vegetation index"),
+    ("TMAX|TMIN|TAVG", "Temperature variable"),
+    ("PRCP|RAIN|PRECIP", "Precipitation variable"),
+    ("WIND|AWND|WSF", "Wind variable"),
+    ("POP|POPDEN", "Population metric"),
+    ("ROAD|HIGHWAY", "Road/infrastructure distance"),
+    ("NLCD|LANDCOVER", "Land cover classification"),
+    ("SOIL", "Soil property"),
+    ("DEM|SRTM", "Digital elevation model"),
+    ("ECOREGION|ECO3|ECO4", "Ecoregion classification"),
+    ("FIPS|COUNTY", "Administrative geographic code"),
+)
+NO_DESCRIPTION = "No description available"
+
+
+def describe_column(name: str, known: dict[str, str] | None = None) -> str:
+    """What a column holds: the text ``known`` has for it, else by words of its name in any case."""
+    by_words = (text for words, text in DESCRIPTIONS if any(w in name.upper() for w in words.split("|")))
+    return (known or {}).get(name) or next(by_words, NO_DESCRIPTION)
+
+
+def _named_type(kind: T.DataType) -> str | None:
+    """The semantic type that a column's own type tells; None where its values decide."""
+    if isinstance(kind, T.BooleanType):
+        return "Boolean"
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "Datetime"
+    return "Numeric" if isinstance(kind, T.NumericType) else None
+
+
 def semantic_type(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Numeric, Categorical, Datetime, Boolean, Text or Unknown per column."""
-    cols = cols or df.columns
-    kinds = {}
-    for c in cols:
-        t = df.schema[c].dataType
-        if isinstance(t, T.BooleanType):
-            kinds[c] = "Boolean"
-        elif isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            kinds[c] = "Datetime"
-        elif isinstance(t, T.NumericType):
-            kinds[c] = "Numeric"
-        else:
-            kinds[c] = None
-    counts = long_counts(df, cols)
-    stats = counts.groupBy("column").agg(
-        F.count("value").alias("unique"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("present")
-    )
-    known = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(kinds[c]).cast("string"))])
-    text = (F.col("unique") / F.col("present") > 0.5) | (F.col("unique") > 200)
-    derived = F.when(F.col("present") == 0, "Unknown").when(text, "Text").otherwise("Categorical")
-    return stats.select("column", F.coalesce(F.element_at(known, F.col("column")), derived).alias("semantic_type"), "unique", "present")
+    return schema_profile(df, cols).select("column", "semantic_type", "unique", "present")
+
 
+def semantic_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Columns per semantic type."""
+    return semantic_type(df, cols).groupBy("semantic_type").agg(F.count(F.lit(1)).alias("columns"))
 
-def schema_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """dtype, semantic type, an example, distinct and missing counts per column."""
+
+def schema_profile(df: DataFrame, cols: list[str] | None = None, known: dict[str, str] | None = None) -> DataFrame:
+    """dtype, semantic type, example, distinct, present and missing counts, description per column.
+
+    ``known`` has descriptions by column name; other columns are described by their names.
+    """
     from ..functions.scalars import truncate_example
 
     cols = cols or df.columns
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    dtype = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
-    counts = long_counts(df, cols)
-    stats = counts.groupBy("column").agg(
+    facts = [(c, df.schema[c].dataType.simpleString(), _named_type(df.schema[c].dataType), describe_column(c, known)) for c in cols]
+    facts = df.sparkSession.createDataFrame(facts, "column string, dtype string, named string, description string")
+    n = F.col("n")
+    stats = long_counts(df, cols).groupBy("column").agg(
         F.min("value").alias("example"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.count("value").alias("unique"),
+        F.sum(F.when(F.col("value").isNotNull(), n).otherwise(0)).alias("present"),
+        F.sum(F.when(F.col("value").isNull(), n).otherwise(0)).alias("missing"),
     )
-    out = stats.join(semantic_type(df, cols), "column")
-    return out.select(
+    text = (F.col("unique") / F.col("present") > 0.5) | (F.col("unique") > 200)
+    derived = F.when(F.col("present") == 0, "Unknown").when(text, "Text").otherwise("Categorical")
+    return stats.join(F.broadcast(facts), "column").select(
         "column",
-        F.element_at(dtype, F.col("column")).alias("dtype"),
-        "semantic_type",
+        "dtype",
+        F.coalesce("named", derived).alias("semantic_type"),
         truncate_example("example").alias("example"),
         "unique",
+        "present",
         "missing",
+        share(F.col("missing"), F.col("missing") + F.col("present"), 4).alias("missing_pct"),
+        "description",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
-from .proxies import POS_SQL, SCORED_SQL, pos, scored
+from .proxies import GRID_SQL, POS_SQL, SCORED_SQL, grid, pos, scored
 from .registry import query, r, rounded
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -106,15 +106,30 @@ def _(t):
     return P.distinct_counts(t.part, ["p_brand", "p_type", "p_size", "p_name"])
 
 
-_PART = ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"]
+_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
-@query("a8_column_quality", " union all ".join(f"""select '{c}' as "column", count(distinct {c}) as "unique",
- {r(f"(count(*)-count({c}))*100.0/count(*)", 4)} as missing_pct, count(distinct {c})<=1 as is_constant,
- {r(f"(select max(n) from (select count(*) as n from part where {c} is not null group by {c}))*1.0/count({c})", 4)} as dominant_fraction,
- {"false" if c in ("p_partkey", "p_size", "p_retailprice") else f"count(distinct {c})>100"} as high_cardinality from part""" for c in _PART))
+_NUMBERS = ("p_partkey", "p_size", "p_retailprice")
+
+
+def _quality(c: str) -> str:
+    number = c in _NUMBERS
+    spread = f"coalesce(stddev_samp({c})<1e-10, false), coalesce(min({c})=0 and max({c})=0 and count({c})=count(*), false)" if number else "false, false"
+    negative = f"count(*) filter (where {c}<0)" if c in ("p_size", "p_retailprice") else "0"
+    return f"""select '{c}', count(distinct {c}), (count(*)-count({c}))*100.0/count(*), count(distinct {c})<=1,
+ case when count(distinct {c})<=1 then 0 else (select max(n) from (select count(*) as n from part where {c} is not null group by {c}))*1.0/count({c}) end,
+ {spread}, {"false" if number else f"count(distinct {c})>100"}, {negative} from part"""
+
+
+@query("a8_column_quality", f"""with q("column", "unique", gone, is_constant, top, zero_variance, all_zeros, high_cardinality, negative_count) as
+ ({" union all ".join(_quality(c) for c in _PART)}),
+ f as (select *, top>=0.98 as is_near_constant, concat_ws('; ', case when is_constant then 'CONSTANT' end, case when top>=0.98 then 'NEAR_CONSTANT' end,
+ case when zero_variance then 'ZERO_VARIANCE' end, case when all_zeros then 'ALL_ZEROS' end,
+ case when high_cardinality then 'HIGH_CARD(' || "unique" || ')' end, case when negative_count>0 then 'NEG(' || negative_count || ')' end) as flags from q)
+ select "column", "unique", {r("gone", 4)} as missing_pct, is_constant, is_near_constant, {r("top", 4)} as dominant_fraction, zero_variance, all_zeros,
+ high_cardinality, cast(0 as bigint) as inf_count, cast(negative_count as bigint) as negative_count, flags, if(flags='', 'PASS', 'REVIEW') as status from f""")
 def _(t):
-    return P.column_quality(t.part, _PART).select("column", "unique", "missing_pct", "is_constant", "dominant_fraction", "high_cardinality")
+    return P.column_quality(t.part, _PART)
 
 
 @query("a9_duplicate_columns", """select 'l_orderkey' as a, 'copy_key' as b""")
@@ -123,16 +138,30 @@ def _(t):
     return P.duplicate_columns(df)
 
 
-@query("a10_schema_profile", """select * from (values
- ('c_custkey','bigint','Numeric'), ('c_name','string','Text'), ('c_nationkey','int','Numeric'), ('c_acctbal','double','Numeric'),
- ('c_mktsegment','string','Categorical')) v("column", dtype, semantic_type) join (
- select 'c_custkey' as "column", min(c_custkey::varchar) as example, count(distinct c_custkey) as "unique", cast(0 as bigint) as missing from customer union all
- select 'c_name', min(c_name), count(distinct c_name), 0 from customer union all
- select 'c_nationkey', min(c_nationkey::varchar), count(distinct c_nationkey), 0 from customer union all
- select 'c_mktsegment', min(c_mktsegment), count(distinct c_mktsegment), 0 from customer) using ("column")""")
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string", "c_latest": "string"}
+
+
+def _column_facts(c: str, dtype: str, table: str) -> str:
+    kind = "'Numeric'" if dtype != "string" else f"""case when count({c})=0 then 'Unknown'
+ when count(distinct {c})*1.0/count({c})>0.5 or count(distinct {c})>200 then 'Text' else 'Categorical' end"""
+    return f"""select '{c}' as "column", '{dtype}' as dtype, {kind} as semantic_type, min({c}::varchar) as example,
+ count(distinct {c}) as "unique", count({c}) as present, count(*)-count({c}) as missing, {r(f"(count(*)-count({c}))*100.0/count(*)", 4)} as missing_pct from {table}"""
+
+
+_CUSTOMER_SQL = "c as (select *, case when c_nationkey>4 then c_mktsegment end as c_latest from customer), f as (" + " union all ".join(
+    _column_facts(c, kind, "c") for c, kind in _CUSTOMER.items() if c != "c_acctbal"
+) + ")"
+
+
+def _customers(t):
+    return t.customer.withColumn("c_latest", F.expr("case when c_nationkey > 4 then c_mktsegment end"))
+
+
+@query("a10_schema_profile", f"""with {_CUSTOMER_SQL} select *, case "column" when 'c_custkey' then 'Key of the customer'
+ when 'c_latest' then 'Latitude coordinate' else 'No description available' end as description from f""")
 def _(t):
-    cols = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-    return P.schema_profile(t.customer, cols)
+    cols = [c for c in _CUSTOMER if c != "c_acctbal"]
+    return P.schema_profile(_customers(t), cols, {"c_custkey": "Key of the customer"})
 
 
 @query("a11_dataset_overview", """select (select count(*) from lineitem) as rows, dtype, cast(n as bigint) as columns from
@@ -141,6 +170,11 @@ def _(t):
     return P.dataset_overview(t.lineitem)
 
 
+@query("a11_semantic_counts", f"with {_CUSTOMER_SQL} select semantic_type, count(*) as columns from (select semantic_type from f union all select 'Numeric') group by 1")
+def _(t):
+    return P.semantic_counts(_customers(t), list(_CUSTOMER))
+
+
 @query("a12_categorical_summary", """with c as (select 'o_orderpriority' as "column", o_orderpriority as v, count(*) as n from orders group by 2
  union all select 'o_orderstatus', o_orderstatus, count(*) from orders group by 2),
  k as (select *, row_number() over (partition by "column" order by n desc, v) as rn from c),
@@ -216,12 +250,16 @@ def _(t):
     return rounded(P.effect_size(df, LINE, "g"))
 
 
-@query("a19_mann_whitney", """select 'l_quantity' as "column", round(r0 - n0*(n0+1)/2, 1) as u from
- (select sum(rk) as r0, cast(count(*) as double) as n0 from (select l_returnflag,
- rank() over (order by l_quantity) + (count(*) over (partition by l_quantity)-1)/2.0 as rk from lineitem) where l_returnflag<>'R')""")
+@query("a19_mann_whitney", """with k as (select l_returnflag='R' as g, count(*) over (partition by l_quantity) as same,
+ rank() over (order by l_quantity) + (count(*) over (partition by l_quantity)-1)/2.0 as rk from lineitem),
+ s as (select sum(rk) filter (not g) as r0, cast(count(*) filter (not g) as double) as n0, cast(count(*) filter (g) as double) as n1,
+ cast(count(*) as double) as n, sum(same*same*1.0 - 1) as ties from k),
+ z as (select r0 - n0*(n0+1)/2 as u, greatest(abs(r0 - n0*(n0+1)/2 - n0*n1/2) - 0.5, 0)/sqrt(n0*n1/12*(n+1 - ties/(n*(n-1))))/sqrt(2) as x from s)
+ select 'l_quantity' as "column", round(u, 1) as u, round((select 1 - 2/sqrt(pi())*x/6000*sum(exp(-power(x*i/2000.0, 2)) *
+ case when i in (0, 2000) then 1 when i%2=1 then 4 else 2 end) from range(2001) w(i)), 4) as p_value from z""")
 def _(t):
     df = t.lineitem.withColumn("g", (F.col("l_returnflag") == "R").cast("int"))
-    return rounded(P.mann_whitney(df, ["l_quantity"], "g").drop("p_value"), 1)
+    return P.mann_whitney(df, ["l_quantity"], "g").select("column", F.round("u", 1).alias("u"), F.round("p_value", 4).alias("p_value"))
 
 
 _PERIOD = """select {p} as period, count(*) as count, round(sum(o_totalprice),2) as total, round(avg(o_totalprice),2) as mean,
@@ -277,6 +315,12 @@ def _(t):
     return rounded(P.median_by_top(t.customer, "c_nationkey", "c_acctbal", 20))
 
 
+@query("a23_coordinate_stats", f"with {GRID_SQL} " + _each(("lat", "lon"), """select '{c}' as "column", round(avg({c}),6) as mean, round(quantile_cont({c},0.5),6) as median,
+ round(stddev_samp({c}),6) as std, round(min({c}),6) as min, round(max({c}),6) as max, round(quantile_cont({c},0.25),6) as q1, round(quantile_cont({c},0.75),6) as q3, count({c}) as count from grid"""))
+def _(t):
+    return P.coordinate_stats(grid(t), ["lat", "lon"])
+
+
 @query("a23_counts_by_region", f"""select n_name, count(*) as count, {r("count(*)*100.0/(select count(*) from customer)")} as pct from customer join nation on c_nationkey=n_nationkey group by 1""")
 def _(t):
     df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -71,3 +71,19 @@ def test_density_integrates_to_one(spark):
     got = P.density_curve(df, "x", points=200).toPandas().sort_values("x")
     step = got["x"].diff().mean()
     assert (got["density"] * step).sum() == pytest.approx(1, abs=0.02)
+
+
+def test_columns_are_described_by_name(spark):
+    df = spark.createDataFrame([(1.0, None, "x"), (2.0, None, "x"), (3.0, None, "y")], "Max_Elevation double, county string, kind string")
+    got = {r["column"]: r for r in P.schema_profile(df, known={"kind": "What it is"}).collect()}
+    assert [got[c]["description"] for c in df.columns] == ["Elevation (meters)", "Administrative geographic code", "What it is"]
+    assert [got[c]["semantic_type"] for c in df.columns] == ["Numeric", "Unknown", "Text"]
+    assert got["county"]["missing_pct"] == 100.0 and got["county"]["example"] is None
+    assert P.describe_column("plain") == P.NO_DESCRIPTION
+    assert {r["semantic_type"]: r["columns"] for r in P.semantic_counts(df).collect()} == {"Numeric": 1, "Unknown": 1, "Text": 1}
+
+
+def test_coordinate_stats_leave_out_gaps(spark):
+    df = spark.createDataFrame([(30.5,), (31.5,), (None,), (float("nan"),)], "lat double")
+    r = P.coordinate_stats(df, ["lat"]).first()
+    assert (r["mean"], r["median"], r["min"], r["max"], r["count"]) == (31.0, 31.0, 30.5, 31.5, 2)
