@@ -356,12 +356,21 @@ def _tokenizer(path: str) -> WordTokenizer:
 def pack_examples(examples: DataFrame, limits: Limits, key: str = "doc_id") -> DataFrame:
     """Packs whole instruction examples (key, tokens, loss_tokens) without cutting any.
 
-    Returns key, sequence_id and offset. Null or non-positive token counts take no room and
-    are left in no sequence (both null). An example above a limit raises ValueError.
+    Returns key, sequence_id, offset and reason, one row for each example. Those that are in no
+    sequence have null for both and a reason: ``empty`` for a null or non-positive token count,
+    ``tokens`` or ``loss_tokens`` for an example above that limit by itself. Else reason is null.
+    Loss tokens are at most an example's tokens; null and negative ones are none.
     """
     rows = examples.select(key, "tokens", "loss_tokens")
     kind = rows.schema[key].dataType.simpleString()
 
+    def unfit(tokens: int, loss: int) -> str | None:
+        if tokens <= 0:
+            return "empty"
+        if tokens > limits.tokens:
+            return "tokens"
+        return "loss_tokens" if loss > limits.loss else None
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, names, number = DotProductPacker(limits, cut=False), {}, 0
         sequence = TaskContext.get().partitionId() << 40
@@ -371,7 +380,7 @@ def pack_examples(examples: DataFrame, limits: Limits, key: str = "doc_id") -> D
             nonlocal sequence
             at = 0
             for piece in made.pieces:
-                out.append((names.pop(piece.source), sequence, at))
+                out.append((names.pop(piece.source), sequence, at, None))
                 at += piece.length
             sequence += 1
 
@@ -379,11 +388,14 @@ def pack_examples(examples: DataFrame, limits: Limits, key: str = "doc_id") -> D
         for batch in batches:
             kind_of = batch.schema.field(0).type
             for name, tokens, loss in zip(*(c.to_pylist() for c in batch.columns)):
-                if not tokens or tokens < 0:
-                    out.append((name, None, None))
+                tokens = tokens or 0
+                loss = min(max(loss or 0, 0), tokens)
+                reason = unfit(tokens, loss)
+                if reason:
+                    out.append((name, None, None, reason))
                     continue
                 names[number] = name
-                for made in packer.offer(Piece(number, 0, tokens, min(max(loss or 0, 0), tokens))):
+                for made in packer.offer(Piece(number, 0, tokens, loss)):
                     place(made)
                 number += 1
             yield batch_of(out, kind_of)
@@ -394,12 +406,13 @@ def pack_examples(examples: DataFrame, limits: Limits, key: str = "doc_id") -> D
             yield batch_of(out, kind_of)
 
     def batch_of(rows_out: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*rows_out)) or [()] * 3
+        columns = list(zip(*rows_out)) or [()] * 4
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, [id_type, pa.int64(), pa.int64()])], names=[key, "sequence_id", "offset"]
+            [pa.array(c, t) for c, t in zip(columns, [id_type, pa.int64(), pa.int64(), pa.string()])],
+            names=[key, "sequence_id", "offset", "reason"],
         )
 
-    return rows.mapInArrow(pack, f"{key} {kind}, sequence_id bigint, offset bigint")
+    return rows.mapInArrow(pack, f"{key} {kind}, sequence_id bigint, offset bigint, reason string")
 
 
 def count_tokens_of(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -166,26 +166,32 @@ def test_documents_are_packed_whole_without_padding(spark, limits):
     assert packing.pack_documents(docs.limit(0), WORD_BPE, limits).count() == 0
 
 
-def test_examples_keep_all_three_limits(spark):
+@pytest.mark.parametrize("limits", [packing.Limits(100, 6, 100), packing.Limits(100, 6, 30), packing.Limits(100, 2, 60)])
+def test_examples_keep_all_three_limits(spark, limits):
     rng = random.Random(6)
     rows = [(i, n, rng.randint(0, n)) for i in range(300) for n in [rng.randint(1, 100)]]
-    rows += [(400, None, 1), (401, 0, 0), (402, 100, None), (403, 5, 9)]
+    rows += [(400, None, 1), (401, 0, 0), (402, 100, None), (403, 5, 9), (404, 101, 0), (405, -3, 2), (406, 60, -1)]
     examples = spark.createDataFrame(rows, "doc_id long, tokens long, loss_tokens long").repartition(2)
-    limits = packing.Limits(100, 6, 100)
-    used = defaultdict(lambda: [0, 0, 0])
-    size = {i: (n or 0, min(loss or 0, n or 0)) for i, n, loss in rows}
+    used = defaultdict(list)
+    size = {i: (n or 0, max(0, min(loss or 0, n or 0))) for i, n, loss in rows}
     out = packing.pack_examples(examples, limits).collect()
-    assert len(out) == len(rows)
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _, _ in rows)
     for r in out:
-        if r.sequence_id is None:
-            assert r.doc_id in (400, 401)
-            continue
-        room = used[r.sequence_id]
-        room[0], room[1], room[2] = room[0] + size[r.doc_id][0], room[1] + 1, room[2] + size[r.doc_id][1]
-    assert all(a <= 100 and b <= 6 and c <= 100 for a, b, c in used.values())
-    assert sum(a for a, _, _ in used.values()) > 0.8 * 100 * len(used)
-    with pytest.raises(Exception, match="exceeds the limits"):
-        packing.pack_examples(spark.createDataFrame([(1, 200, 0)], "doc_id long, tokens long, loss_tokens long"), limits).collect()
+        tokens, loss = size[r.doc_id]
+        reason = "empty" if tokens <= 0 else "tokens" if tokens > 100 else "loss_tokens" if loss > limits.loss else None
+        assert r.reason == reason and (r.sequence_id is None) == (r.offset is None) == (reason is not None)
+        if reason is None:
+            used[r.sequence_id].append((r.offset, tokens, loss))
+    totals = []
+    for held in used.values():
+        held.sort()
+        # offsets leave no gap
+        assert [at for at, _, _ in held] == [sum(n for _, n, _ in held[:k]) for k in range(len(held))]
+        totals.append((sum(n for _, n, _ in held), len(held), sum(loss for *_, loss in held)))
+    assert all(a <= limits.tokens and b <= limits.segments and c <= limits.loss for a, b, c in totals)
+    # sequences are full by the limit that binds
+    full = [sum(t[k] for t in totals) / bound / len(totals) for k, bound in enumerate((limits.tokens, limits.segments, limits.loss))]
+    assert max(full) > 0.75
 
 
 def unigram_of(vocabulary, byte_fallback):
