@@ -211,17 +211,18 @@ def draw_dates(points: DataFrame, events: DataFrame, date: str, event_id: str, d
     return points.withColumn("_slot", F.pmod(mix(seed, draw) if key is None else key, total)).join(dated.drop(event_id), "_slot").drop("_slot")
 
 
-def random_negatives(spark, events, bbox: tuple[float, float, float, float], n: int, km: float, event_lat, event_lon, event_id, seed: int = 42, over: int = 2) -> DataFrame:
+def random_negatives(spark, events, bbox: tuple[float, float, float, float], n: int, km: float, event_lat, event_lon, event_id, seed: int = 42, over: int = 2, least_share: float = 1e-6) -> DataFrame:
     """The first ``n`` points of a uniform sequence over a box that lie outside ``km`` of events.
 
     Points are drawn in runs; each run is tested once, and the next is as long as the share
-    of free points so far asks for.  A run without any free point ends it with an error.
+    of free points so far asks for.  While none is free, runs double; an error says that fewer
+    than ``least_share`` of the box seems free once so many points hold none.
     """
     south, north, west, east = bbox
     done, found, parts = 0, 0, None
-    while found < n:
+    while parts is None or found < n:
         share = found / done if done else 1 / over
-        run = max(math.ceil((n - found) / share * 1.1), 1000)
+        run = max(math.ceil((n - found) / share * 1.1) if share else done, 1000)
         drawn = spark.range(done, done + run, numPartitions=shuffle_width(spark)).select(
             "id",
             (uniform(seed, "id") * (north - south) + south).alias("lat"),
@@ -229,9 +230,9 @@ def random_negatives(spark, events, bbox: tuple[float, float, float, float], n:
         )
         far = cut_lineage(exclude_within(drawn, events, "lat", "lon", event_lat, event_lon, event_id, km))
         fresh = far.count()
-        if not fresh:
-            raise ValueError(f"events cover the box: none of {run} points lies outside")
         done, found = done + run, found + fresh
+        if found < n and not found and done * least_share >= 1:
+            raise ValueError(f"events cover the box: none of {done} points lies outside")
         parts = far if parts is None else parts.unionByName(far)
     return global_index(parts, ["id"], "_n").where(F.col("_n") < n).drop("_n")
 
@@ -274,7 +275,8 @@ def smote(df: DataFrame, key: str, features: list[str], n: int, k: int = 5, seed
     """``n`` synthetic rows between minority rows and close minority neighbours.
 
     Candidate neighbours are the rows next to each other along a few random directions,
-    at most 2 * reach per direction, then the ``k`` closest are kept.
+    at most 2 * reach per direction, then the ``k`` closest are kept.  Fewer than two rows have
+    no neighbours and give no synthetic rows.
     """
     # written once: every direction orders it anew
     base = cut_lineage(df.select(F.col(key).alias("_id"), F.array(*[F.col(f).cast("double") for f in features]).alias("_v")))
@@ -294,10 +296,11 @@ def smote(df: DataFrame, key: str, features: list[str], n: int, k: int = 5, seed
     close = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     start = global_index(base.select("_id"), ["_id"], "_n")
     size = start.count()
-    draws = df.sparkSession.range(0, n, numPartitions=shuffle_width(df.sparkSession)).select(
+    neighbours = max(min(k, size - 1), 1)
+    draws = df.sparkSession.range(0, n if size > 1 else 0, numPartitions=shuffle_width(df.sparkSession)).select(
         F.col("id").alias("draw"),
-        F.pmod("id", F.lit(size)).alias("_n"),
-        (F.pmod(mix(seed, "id"), F.lit(min(k, size - 1))) + 1).cast("int").alias("rank"),
+        F.pmod("id", F.lit(max(size, 1))).alias("_n"),
+        (F.pmod(mix(seed, "id"), F.lit(neighbours)) + 1).cast("int").alias("rank"),
         uniform(seed + 1, "id").alias("u"),
     )
     picked = draws.join(start, "_n").join(close, (F.col("_id") == F.col("a")) & (close["rank"] == draws["rank"]))

@@ -91,6 +91,21 @@ def test_random_negatives(spark):
     assert got.count() == 300 and near.count() == 0
 
 
+def test_random_negatives_of_a_nearly_covered_box(spark):
+    # all but a corner of about two thousandths of the box lies near an event
+    events = spark.range(0, 900).select("id", (28 + F.floor(F.col("id") / 30) / 29 * 0.94).alias("la"), (-100 + F.col("id") % 30 / 29 * 0.94).alias("lo"))
+    box = (28.0, 29.0, -100.0, -99.0)
+    got = N.random_negatives(spark, events, box, 3, 6.0, "la", "lo", "id", seed=5)
+    assert got.count() == 3 and got.crossJoin(events.select("la", "lo")).where(haversine_km("lat", "lon", "la", "lo") <= 6).count() == 0
+    with pytest.raises(ValueError, match="cover the box"):
+        N.random_negatives(spark, events, (28.0, 28.9, -100.0, -99.1), 3, 60.0, "la", "lo", "id", least_share=1e-3)
+
+
+def test_smote_of_fewer_than_two_rows(spark):
+    for rows in (0, 1):
+        assert N.smote(spark.range(rows).select("id", F.lit(1.0).alias("x")), "id", ["x"], 5).collect() == []
+
+
 def test_smote_stays_between_neighbours(spark):
     rows = spark.range(0, 120).select("id", F.rand(1).alias("x"), F.rand(2).alias("y")).cache()
     got = N.smote(rows, "id", ["x", "y"], 90, k=3).collect()
