@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import chord_to_km, in_ring, km_to_chord, unit_xyz
+from ..functions.geo import _crossing, chord_to_km, km_to_chord, unit_xyz
 from ..session import cut_lineage, shuffle_width
 
 # tiles of the finest level are as narrow as doubles of the box's size tell apart
@@ -353,37 +353,151 @@ def curvilinear_map(cells, grid_points, lat, lon, p_lat, p_lon, p_id, margin_deg
     return nearest_join(cells, near, lat, lon, p_lat, p_lon, p_id, "degree")
 
 
-def polygon_join(points, polygons, lat: str, lon: str, ring: str, tile_deg: float = 0.5) -> DataFrame:
+def _steps(size: Column) -> Column:
+    """Exponent of the power of two that is at least ``size``."""
+    return F.ceil(F.log2(size)).cast("int")
+
+
+def _power(exponent: Column) -> Column:
+    return F.pow(F.lit(2.0), exponent.cast("double"))
+
+
+def _tile_of(place: Column, exponent: Column) -> Column:
+    # dividing by a power of two is exact, so a place on a border has one tile
+    return F.floor(place / _power(exponent)).cast("long")
+
+
+def _on_levels(points: DataFrame, tiles: DataFrame, y: str, x: str) -> DataFrame:
+    """Each point once for every tile width that occurs (a few dozen at most), with its tile there."""
+    widths = sorted(tiles.agg(F.collect_set("_k")).first()[0])
+    spread = points.where(_usable("degree", y, x)).withColumn("_k", F.explode(F.array(*[F.lit(k) for k in widths]).cast("array<int>")))
+    at = {name: _tile_of(F.col(c).cast("double"), F.col("_k")) for name, c in (("_ty", y), ("_tx", x))}
+    return spread.withColumns(at)
+
+
+def polygon_tiles(polygons: DataFrame, ring: str) -> DataFrame:
+    """Tiles of each polygon with the edges that touch them: (_k, _ty, _tx, odd, edges, held).
+
+    A polygon's tiles are as wide as makes both its tiles and the edges in them a few times its
+    corners, whatever its shape.  ``odd`` with the edges of one tile decides every point of it:
+    it counts the edges elsewhere that lie right of the tile's lower left corner.  ``held`` has
+    the polygon's other columns.  Tiles without edges are kept where the polygon covers them.
+    """
+    others = [c for c in polygons.columns if c != ring]
+    held = F.struct(*others) if others else F.struct(F.lit(True).alias("_"))
+
+    def finite(c: Column) -> Column:
+        return F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+
+    corners = F.transform(F.col(ring), lambda v: F.struct(v["lon"].cast("double").alias("x"), v["lat"].cast("double").alias("y")))
+    corners = F.filter(corners, lambda v: finite(v["x"]) & finite(v["y"]))
+    rings = polygons.select(F.monotonically_increasing_id().alias("_pid"), held.alias("held"), corners.alias("c"))
+    rings = cut_lineage(rings.where(F.size("c") > 2), "rings")
+
+    def edge(v: Column, i: Column) -> Column:
+        after = F.get("c", F.pmod(i + 1, F.size("c")))
+        return F.struct(v["x"].alias("x1"), v["y"].alias("y1"), after["x"].alias("x2"), after["y"].alias("y2"))
+
+    xs, ys = F.transform("c", lambda v: v["x"]), F.transform("c", lambda v: v["y"])
+    sides = {"w": F.array_min(xs), "e": F.array_max(xs), "s": F.array_min(ys), "n": F.array_max(ys)}
+    rings = rings.withColumns({**sides, "edges": F.transform("c", edge)})
+    length = F.aggregate(
+        "edges", F.lit(0.0), lambda a, g: a + F.abs(g["x2"] - g["x1"]) + F.abs(g["y2"] - g["y1"])
+    )
+    far = F.greatest(*[F.abs(F.col(c)) for c in sides])
+    width = F.greatest(
+        F.sqrt((F.col("e") - F.col("w")) * (F.col("n") - F.col("s")) / F.size("c")), length / F.size("c"), far * 2.0**-50
+    )
+    # corners that all lie on one spot hold nothing
+    rings = rings.where(length > 0).withColumn("_k", _steps(width)).withColumn("step", _power(F.col("_k")))
+    key = ["_pid", "_k", "_tx", "_ty"]
+    step = F.col("step")
+    slack = step / 8
+
+    box = rings.withColumn("_tx", F.explode(F.sequence(_tile_of(F.col("w"), F.col("_k")), _tile_of(F.col("e"), F.col("_k")))))
+    box = box.withColumn("_ty", F.explode(F.sequence(_tile_of(F.col("s"), F.col("_k")), _tile_of(F.col("n"), F.col("_k")))))
+    shape = "struct<x1:double,y1:double,x2:double,y2:double>"
+    box = box.select(*key, "held", F.lit(None).cast(shape).alias("g"), F.lit(0).alias("above"), F.lit(0).alias("own"))
+
+    lines = rings.select("_pid", "_k", "step", F.explode("edges").alias("g")).select("*", "g.*")
+    west, east = F.least("x1", "x2"), F.greatest("x1", "x2")
+    lines = lines.withColumn(
+        "_tx", F.explode(F.sequence(_tile_of(west - slack, F.col("_k")), _tile_of(east + slack, F.col("_k"))))
+    )
+    left = F.col("_tx") * step
+
+    def height(x: Column) -> Column:
+        return (x - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")) + F.col("y1")
+
+    def clipped(x: Column) -> Column:
+        return F.least(F.greatest(x, west), east)
+
+    upright = F.col("x1") == F.col("x2")
+    ya = F.when(upright, F.col("y1")).otherwise(height(clipped(left - slack)))
+    yb = F.when(upright, F.col("y2")).otherwise(height(clipped(left + step + slack)))
+    # row of the highest tile whose lower border is below the place where the edge meets the tile's left side
+    meets = (F.col("x1") > left) != (F.col("x2") > left)
+    row = F.when(meets, F.ceil(height(left) / step).cast("long") - 1)
+    lines = lines.select(*key[:3], "step", "g", row.alias("row"), F.least(ya, yb).alias("lo"), F.greatest(ya, yb).alias("hi"))
+    none = F.lit(None).cast(box.schema["held"].dataType)
+    above = lines.where("row is not null").select(
+        *key[:3], F.col("row").alias("_ty"), none.alias("held"), F.lit(None).cast(shape).alias("g"), F.lit(1).alias("above"), F.lit(0).alias("own")
+    )
+    inside = F.sequence(_tile_of(F.col("lo") - slack, F.col("_k")), _tile_of(F.col("hi") + slack, F.col("_k")))
+    touch = lines.withColumn("_ty", F.explode(inside)).select(
+        *key, none.alias("held"), "g", F.lit(0).alias("above"), F.coalesce((F.col("row") >= F.col("_ty")).cast("int"), F.lit(0)).alias("own")
+    )
+    tiles = box.unionByName(above).unionByName(touch).groupBy(*key).agg(
+        F.first("held", ignorenulls=True).alias("held"), F.collect_list("g").alias("edges"), F.sum("above").alias("above"), F.sum("own").alias("own")
+    )
+    down = Window.partitionBy("_pid", "_k", "_tx").orderBy(F.desc("_ty"))
+    tiles = tiles.withColumn("odd", (F.sum("above").over(down) + F.col("own")) % 2 == 1)
+    # slack tiles around the box have no point of the polygon
+    return tiles.where(F.col("held").isNotNull() & (F.col("odd") | (F.size("edges") > 0))).select(
+        "_k", "_ty", "_tx", "odd", "edges", "held"
+    )
+
+
+def polygon_join(points, polygons, lat: str, lon: str, ring: str) -> DataFrame:
     """Inner join of points to the polygons that hold them (even-odd rule).
 
-    ``ring`` is ARRAY<STRUCT<lon, lat>>.  Polygons are repeated per tile of their box, so
-    a point meets only the polygons around it.
+    ``ring`` is ARRAY<STRUCT<lon, lat>>; corners without finite coordinates are left out, and
+    fewer than three hold nothing.  A point meets only the edges in its own tile of each polygon
+    around it (``polygon_tiles``), so a ring of many corners costs it no more than a short one.
     """
-    xs = F.transform(ring, lambda v: v["lon"])
-    ys = F.transform(ring, lambda v: v["lat"])
+    tiles = cut_lineage(polygon_tiles(polygons, ring), "polygons")
+    others = [f"held.{c}" for c in polygons.columns if c != ring]
+    left = _on_levels(points, tiles, lat, lon)
+    y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
+    corner = F.col("_tx") * _power(F.col("_k"))
 
-    def tile(c: Column) -> Column:
-        return F.floor(c / tile_deg)
+    def flips(odd: Column, g: Column) -> Column:
+        right = ((g["x1"] > corner) & (g["y1"] > y)) != ((g["x2"] > corner) & (g["y2"] > y))
+        return odd != (right != _crossing(y, x, g["x1"], g["y1"], g["x2"], g["y2"]))
 
-    tiled = polygons.withColumn("_ty", F.explode(F.sequence(tile(F.array_min(ys)), tile(F.array_max(ys)))))
-    tiled = tiled.withColumn("_tx", F.explode(F.sequence(tile(F.array_min(xs)), tile(F.array_max(xs)))))
-    left = points.withColumn("_ty", tile(F.col(lat))).withColumn("_tx", tile(F.col(lon)))
-    joined = left.join(tiled, ["_ty", "_tx"])
-    return joined.where(in_ring(lat, lon, ring)).drop("_ty", "_tx", ring)
+    met = left.join(tiles, ["_k", "_ty", "_tx"])
+    return met.where(F.aggregate("edges", F.col("odd"), flips)).select(*points.columns, *others)
 
 
-def point_in_tile(points: DataFrame, tiles: DataFrame, x: str, y: str, tol: float = 1e-9, coarse: float | None = None) -> DataFrame:
-    """First tile by name whose (left, right, bottom, top) holds the point, else null."""
-    step = coarse or 1.0
+def point_in_tile(points: DataFrame, tiles: DataFrame, x: str, y: str, tol: float = 1e-9) -> DataFrame:
+    """First tile by name whose (left, right, bottom, top) holds the point, else null.
+
+    A tile is looked up in squares as wide as its longer side, so it lies in nine at most,
+    in degrees and metres alike.
+    """
+    sides = {c: F.col(c).cast("double") for c in ("left", "right", "bottom", "top")}
+    boxes = tiles.withColumns(sides).where((F.col("left") <= F.col("right")) & (F.col("bottom") <= F.col("top")))
+    far = F.greatest(*[F.abs(F.col(c)) for c in sides])
+    wide = F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), far * 2.0**-50, F.lit(2 * tol), F.lit(2.0**-50))
+    boxes = boxes.where(far < float("inf")).withColumn("_k", _steps(wide))
 
-    def cell(c: Column) -> Column:
-        return F.floor(c / step)
+    def span(low: str, high: str) -> Column:
+        return F.explode(F.sequence(_tile_of(F.col(low) - tol, F.col("_k")), _tile_of(F.col(high) + tol, F.col("_k"))))
 
-    spread = tiles.withColumn("_by", F.explode(F.sequence(cell(F.col("bottom") - tol), cell(F.col("top") + tol))))
-    spread = spread.withColumn("_bx", F.explode(F.sequence(cell(F.col("left") - tol), cell(F.col("right") + tol))))
-    spots = points.select(x, y).distinct().withColumn("_by", cell(F.col(y))).withColumn("_bx", cell(F.col(x)))
+    spread = boxes.withColumn("_ty", span("bottom", "top")).withColumn("_tx", span("left", "right"))
+    spots = _on_levels(points.select(x, y).distinct(), boxes, y, x)
     inside = F.col(x).between(F.col("left") - tol, F.col("right") + tol) & F.col(y).between(
         F.col("bottom") - tol, F.col("top") + tol
     )
-    found = spots.join(spread, ["_by", "_bx"]).where(inside).groupBy(x, y).agg(F.min("tile").alias("tile"))
+    found = spots.join(spread, ["_k", "_ty", "_tx"]).where(inside).groupBy(x, y).agg(F.min("tile").alias("tile"))
     return points.join(found, [x, y], "left")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def test_polygon_join(spark):
     points = spark.range(0, 500).select("id", (F.rand(1) * 4).alias("lat"), (F.rand(2) * 4).alias("lon"))
     square = "array(struct({x} as lon, {y} as lat), struct({x}+1.5D as lon, {y} as lat), struct({x}+1.5D as lon, {y}+1.5D as lat), struct({x} as lon, {y}+1.5D as lat))"
     polys = spark.sql(f"select 'a' as name, {square.format(x='0.2D', y='0.3D')} as ring union all select 'b', {square.format(x='1.1D', y='1.0D')}")
-    got = {(r["id"], r["name"]) for r in SP.polygon_join(points, polys, "lat", "lon", "ring", tile_deg=0.4).collect()}
+    got = {(r["id"], r["name"]) for r in SP.polygon_join(points, polys, "lat", "lon", "ring").collect()}
     want = {(r["id"], n) for r in points.collect() for n, x, y in (("a", 0.2, 0.3), ("b", 1.1, 1.0)) if x < r["lon"] < x + 1.5 and y < r["lat"] < y + 1.5}
     assert got == want
 
@@ -103,3 +104,66 @@ def test_degrees_need_no_globe(spark):
     got = {r["id"]: r for r in SP.nearest_join(points, sites, "y", "x", "y", "x", "sid").collect()}
     assert (got[1]["site_id"], got[1]["distance"]) == (10, 400.0)
     assert got[2]["site_id"] == 899 and got[3]["site_id"] is None
+
+
+def _holds(ring, lat, lon):
+    """Even-odd rule over all edges of one ring."""
+    odd = np.zeros(len(lat), bool)
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if y1 != y2:
+            odd ^= ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
+    return odd
+
+
+def _rings():
+    rng = np.random.default_rng(5)
+    turn = np.sort(rng.uniform(0, 2 * np.pi, 20_000))
+    coast = 8 + np.cos(5 * turn) + rng.normal(0, 0.02, len(turn))
+    zigzag = [(float(rng.uniform(-3, 3)), float(rng.uniform(40, 44))) for _ in range(60)]
+    return {
+        "coast": list(zip((coast * np.cos(turn)).tolist(), (coast * np.sin(turn)).tolist())),
+        "zigzag": zigzag,
+        "grid": [(0.0, 40.0), (2.0, 40.0), (2.0, 41.0), (1.0, 41.0), (1.0, 42.0), (2.0, 42.0), (2.0, 44.0), (0.0, 44.0)],
+        "needle": [(-10.0, -10.0), (10.0, -10.0), (10.0, -9.999)],
+        "tiny": [(3.0, 3.0), (3.0 + 1e-7, 3.0), (3.0, 3.0 + 1e-7)],
+        "bowtie": [(-2.0, -2.0), (2.0, 2.0), (2.0, -2.0), (-2.0, 2.0)],
+        "flat": [(0.0, 1.0), (1.0, 1.0), (2.0, 1.0)],
+        "pair": [(0.0, 0.0), (1.0, 1.0)],
+        "spot": [(5.0, 5.0)] * 4,
+    }
+
+
+def test_polygon_join_equals_the_rule_over_whole_rings(spark):
+    rings = _rings()
+    rng = np.random.default_rng(6)
+    lat = np.concatenate([rng.uniform(-11, 11, 6000), rng.uniform(39, 45, 3000), 3 + rng.uniform(0, 1e-7, 50), np.repeat([40.0, 41.0, 42.0, -2.0], 9), rng.uniform(-10, -9.99, 500)])
+    lon = np.concatenate([rng.uniform(-11, 11, 6000), rng.uniform(-4, 4, 3000), 3 + rng.uniform(0, 1e-7, 50), np.tile(np.arange(-4, 5) / 2.0, 4), rng.uniform(-10, 10, 500)])
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(lat.tolist(), lon.tolist()))]
+    points = spark.createDataFrame(rows + [(-1, None, 1.0), (-2, float("nan"), 1.0), (-3, 1.0, float("inf"))], "id long, lat double, lon double")
+    shapes = [(name, [{"lon": x, "lat": y} for x, y in ring]) for name, ring in rings.items()]
+    shapes += [("none", None), ("empty", []), ("gaps", [*shapes[2][1][:3], {"lon": None, "lat": 1.0}, {"lon": float("nan"), "lat": 1.0}, *shapes[2][1][3:]])]
+    polys = spark.createDataFrame(shapes, "name string, ring array<struct<lon: double, lat: double>>")
+    got = {(r["id"], r["name"]) for r in SP.polygon_join(points, polys, "lat", "lon", "ring").collect()}
+    want = {(int(i), name) for name, ring in rings.items() for i in np.flatnonzero(_holds(ring, lat, lon))}
+    want |= {(i, "gaps") for i, name in want if name == "grid"}
+    assert got == want and {name for _, name in want} >= {"coast", "zigzag", "grid", "needle", "tiny", "bowtie", "gaps"}
+    # repeated polygons and points stay apart
+    twice = SP.polygon_join(points.unionByName(points), polys.unionByName(polys), "lat", "lon", "ring")
+    assert twice.count() == 4 * len(want)
+    assert SP.polygon_join(points, polys.where("name = 'none'"), "lat", "lon", "ring").count() == 0
+
+
+def test_a_long_ring_costs_a_point_the_edges_of_one_tile(spark):
+    ring = [{"lon": x, "lat": y} for x, y in _rings()["coast"]]
+    polys = spark.createDataFrame([("coast", ring)], "name string, ring array<struct<lon: double, lat: double>>")
+    tiles = SP.polygon_tiles(polys, "ring").select(F.size("edges").alias("n"))
+    got = tiles.agg(F.count("*").alias("tiles"), F.sum("n").alias("edges"), F.max("n").alias("most")).first()
+    assert got["tiles"] < 5 * len(ring) and got["edges"] < 5 * len(ring) and got["most"] < len(ring) / 50
+
+
+def test_tiles_in_metres(spark):
+    tiles = [(f"t{i}", 5e6 + 1e5 * i, 5e6 + 1e5 * (i + 1), 0.0, 1e5) for i in range(5)] + [("small", 5e6, 5e6 + 0.5, 0.0, 0.5), ("turned", 9.0, 1.0, 0.0, 1.0)]
+    tiles = spark.createDataFrame(tiles, "tile string, left double, right double, bottom double, top double")
+    points = spark.createDataFrame([(1, 5e6 + 0.25, 0.25), (2, 5.15e6, 7e4), (3, 5.2e6, 1e5), (4, 4e6, 0.0), (5, None, 1.0)], "id int, x double, y double")
+    got = {r["id"]: r["tile"] for r in SP.point_in_tile(points, tiles, "x", "y").collect()}
+    assert got == {1: "small", 2: "t1", 3: "t1", 4: None, 5: None}
