@@ -376,12 +376,12 @@ def _on_levels(points: DataFrame, tiles: DataFrame, y: str, x: str) -> DataFrame
 
 
 def polygon_tiles(polygons: DataFrame, ring: str) -> DataFrame:
-    """Tiles of each polygon with the edges that touch them: (_k, _ty, _tx, odd, edges, held).
+    """Tiles of each polygon with the edges that touch them: (_k, _ty, _tx, odd, edges, box, held).
 
     A polygon's tiles are as wide as makes both its tiles and the edges in them a few times its
     corners, whatever its shape.  ``odd`` with the edges of one tile decides every point of it:
-    it counts the edges elsewhere that lie right of the tile's lower left corner.  ``held`` has
-    the polygon's other columns.  Tiles without edges are kept where the polygon covers them.
+    it counts the edges elsewhere that lie right of the tile's lower left corner.  ``box`` is
+    the ring's (w, e, s, n), ``held`` has the polygon's other columns.  Tiles without edges are kept where the polygon covers them.
     """
     others = [c for c in polygons.columns if c != ring]
     held = F.struct(*others) if others else F.struct(F.lit(True).alias("_"))
@@ -417,7 +417,7 @@ def polygon_tiles(polygons: DataFrame, ring: str) -> DataFrame:
     box = rings.withColumn("_tx", F.explode(F.sequence(_tile_of(F.col("w"), F.col("_k")), _tile_of(F.col("e"), F.col("_k")))))
     box = box.withColumn("_ty", F.explode(F.sequence(_tile_of(F.col("s"), F.col("_k")), _tile_of(F.col("n"), F.col("_k")))))
     shape = "struct<x1:double,y1:double,x2:double,y2:double>"
-    box = box.select(*key, "held", F.lit(None).cast(shape).alias("g"), F.lit(0).alias("above"), F.lit(0).alias("own"))
+    box = box.select(*key, "held", F.struct(*sides).alias("box"), F.lit(None).cast(shape).alias("g"), F.lit(0).alias("above"), F.lit(0).alias("own"))
 
     lines = rings.select("_pid", "_k", "step", F.explode("edges").alias("g")).select("*", "g.*")
     west, east = F.least("x1", "x2"), F.greatest("x1", "x2")
@@ -439,22 +439,25 @@ def polygon_tiles(polygons: DataFrame, ring: str) -> DataFrame:
     meets = (F.col("x1") > left) != (F.col("x2") > left)
     row = F.when(meets, F.ceil(height(left) / step).cast("long") - 1)
     lines = lines.select(*key[:3], "step", "g", row.alias("row"), F.least(ya, yb).alias("lo"), F.greatest(ya, yb).alias("hi"))
-    none = F.lit(None).cast(box.schema["held"].dataType)
+    none = [F.lit(None).cast(box.schema[c].dataType).alias(c) for c in ("held", "box")]
     above = lines.where("row is not null").select(
-        *key[:3], F.col("row").alias("_ty"), none.alias("held"), F.lit(None).cast(shape).alias("g"), F.lit(1).alias("above"), F.lit(0).alias("own")
+        *key[:3], F.col("row").alias("_ty"), *none, F.lit(None).cast(shape).alias("g"), F.lit(1).alias("above"), F.lit(0).alias("own")
     )
     inside = F.sequence(_tile_of(F.col("lo") - slack, F.col("_k")), _tile_of(F.col("hi") + slack, F.col("_k")))
     touch = lines.withColumn("_ty", F.explode(inside)).select(
-        *key, none.alias("held"), "g", F.lit(0).alias("above"), F.coalesce((F.col("row") >= F.col("_ty")).cast("int"), F.lit(0)).alias("own")
+        *key, *none, "g", F.lit(0).alias("above"), F.coalesce((F.col("row") >= F.col("_ty")).cast("int"), F.lit(0)).alias("own")
     )
     tiles = box.unionByName(above).unionByName(touch).groupBy(*key).agg(
-        F.first("held", ignorenulls=True).alias("held"), F.collect_list("g").alias("edges"), F.sum("above").alias("above"), F.sum("own").alias("own")
-    )
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("held", "box")],
+        F.collect_list("g").alias("edges"),
+        F.sum("above").alias("above"),
+        F.sum("own").alias("own"),
+    )
     down = Window.partitionBy("_pid", "_k", "_tx").orderBy(F.desc("_ty"))
     tiles = tiles.withColumn("odd", (F.sum("above").over(down) + F.col("own")) % 2 == 1)
     # slack tiles around the box have no point of the polygon
     return tiles.where(F.col("held").isNotNull() & (F.col("odd") | (F.size("edges") > 0))).select(
-        "_k", "_ty", "_tx", "odd", "edges", "held"
+        "_k", "_ty", "_tx", "odd", "edges", "box", "held"
     )
 
 
@@ -476,6 +479,7 @@ def polygon_join(points, polygons, lat: str, lon: str, ring: str) -> DataFrame:
         return odd != (right != _crossing(y, x, g["x1"], g["y1"], g["x2"], g["y2"]))
 
     met = left.join(tiles, ["_k", "_ty", "_tx"])
+    met = met.where(x.between(F.col("box.w"), F.col("box.e")) & y.between(F.col("box.s"), F.col("box.n")))
     return met.where(F.aggregate("edges", F.col("odd"), flips)).select(*points.columns, *others)
 
 
