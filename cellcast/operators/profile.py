@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .ordered import percentiles, running_before, top_n
 from .rankcorr import rank_correlations
 from .wide import doubles, pair_correlations, wide_percentiles
@@ -21,6 +22,8 @@ HIGH_CORR = 0.90
 NEAR_CONSTANT = 0.98
 HIGH_CARDINALITY = 100
 ZERO_VARIANCE = 1e-10
+# leading characters that order texts before they are fetched
+HEAD = 32
 SIZE_EDGES = (0.0, 0.25, 1.0, 10.0, 100.0, 300.0, 1000.0, 5000.0)
 SIZE_LABELS = ("<0.25", "0.25-1", "1-10", "10-100", "100-300", "300-1k", "1k-5k", ">5k")
 SIZE_PERCENTILES = (0, 5, 10, 25, 50, 75, 90, 95, 99, 100)
@@ -38,7 +41,8 @@ def melt(df: DataFrame, cols: list[str], kind: str = "double") -> DataFrame:
         if kind == "double":
             value = F.when(~F.isnan(value), value)
         parts.append(F.struct(F.lit(c).alias("column"), value.alias("value")))
-    return df.select(F.explode(F.array(*parts)).alias("m")).select("m.column", "m.value")
+    rows = F.array(*parts) if parts else F.array().cast(f"array<struct<column:string,value:{kind}>>")
+    return df.select(F.explode(rows).alias("m")).select("m.column", "m.value")
 
 
 def share(part: Column, whole: Column, digits: int) -> Column:
@@ -57,9 +61,48 @@ def value_counts(df: DataFrame, col: str, n: int | None = None, dropna: bool = T
     return ordered.limit(n) if n else ordered
 
 
-def long_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value, n) over text forms of many columns, one shuffle."""
-    return melt(df, cols, "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def _digest(text: Column) -> list[Column]:
+    """128 bits that stand for a text; null for null."""
+    return [F.when(text.isNotNull(), F.xxhash64(F.lit(i), text)).alias(f"d{i}") for i in (1, 2)]
+
+
+def _digests(df: DataFrame, cols: list[str], *more) -> DataFrame:
+    """(column, d1, d2) of each value's text form, and what ``more`` makes of the text."""
+    parts = []
+    for c in cols:
+        text = F.col(c).cast("string")
+        parts.append(F.struct(F.lit(c).alias("column"), *_digest(text), *[make(text) for make in more]))
+    return df.select(F.explode(F.array(*parts)).alias("m")).select("m.*")
+
+
+def digest_counts(df: DataFrame, cols: list[str], head: int = 0) -> DataFrame:
+    """(column, d1, d2, n) over text forms of many columns, one shuffle of digests.
+
+    No text is moved, however long; a common value is counted within tasks first. ``head``
+    adds that many leading characters, by which most texts can be ordered.
+    """
+    more = [lambda text: F.substring(text, 1, head).alias("head")] if head else []
+    rows = _digests(df, cols, *more)
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequent_texts(df: DataFrame, counts: DataFrame, cols: list[str], n: int) -> DataFrame:
+    """The ``n`` commonest texts of each column with their counts, the smaller text first on ties.
+
+    ``counts`` are ``digest_counts`` with a head.  Count and head leave few candidates; a second
+    scan gets their texts only, so the ties that are moved are those whose heads are equal too.
+    """
+    present = counts.where(F.col("d1").isNotNull())
+    # one row a column is left of the last ones
+    last = top_n(present, "column", [F.desc("n"), F.asc("head")], n)
+    low = last.groupBy("column").agg(F.min("n").alias("low"))
+    edge = last.join(low, "column").where(F.col("n") == F.col("low")).groupBy("column", "low").agg(F.max("head").alias("tail"))
+    near = (F.col("n") > F.col("low")) | ((F.col("n") == F.col("low")) & (F.col("head") <= F.col("tail")))
+    wanted = present.join(F.broadcast(edge), "column").where(near).select("column", "d1", "d2", "n")
+    wanted = cut_lineage(wanted, "frequent")
+    texts = _digests(df, cols, lambda text: text.alias("value")).where(F.col("d1").isNotNull())
+    found = texts.join(wanted, ["column", "d1", "d2"]).groupBy("column", "value", "n").agg(F.count(F.lit(1)).alias("_"))
+    return top_n(found.drop("_"), "column", [F.desc("n"), F.asc("value")], n)
 
 
 def missing_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -116,8 +159,8 @@ def distinct_counts(df: DataFrame, cols: list[str], include_null: bool = False,
         flat = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
         parts = [F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct")) for c in cols]
         return flat.select(F.explode(F.array(*parts)).alias("m")).select("m.*")
-    counts = long_counts(df, cols)
-    kept = F.count(F.lit(1)) if include_null else F.count("value")
+    counts = digest_counts(df, cols)
+    kept = F.count(F.lit(1)) if include_null else F.count("d1")
     return counts.groupBy("column").agg(kept.alias("distinct"))
 
 
@@ -463,12 +506,13 @@ def column_quality(df: DataFrame, cols: list[str] | None = None, non_negative=NO
     """One row per column with dominance, cardinality and sign checks and flag text."""
     cols = cols or df.columns
     numeric = set(numeric_columns(df))
-    counts = long_counts(df, cols)
-    by_col = counts.groupBy("column").agg(
+    nan = [F.col(f"d{i}") == d for i, d in enumerate(_digest(F.lit("NaN")), 1)]
+    valid = F.coalesce(~(nan[0] & nan[1]), F.lit(False))
+    by_col = digest_counts(df, cols).groupBy("column").agg(
         F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("value").isNull() | (F.col("value") == "NaN"), F.col("n")).otherwise(0)).alias("missing"),
-        F.count(F.when(F.col("value") != "NaN", 1)).alias("unique"),
-        F.max(F.when(F.col("value") != "NaN", F.struct("n", "value"))).alias("top"),
+        F.sum(F.when(~valid, F.col("n")).otherwise(0)).alias("missing"),
+        F.count(F.when(valid, 1)).alias("unique"),
+        F.max(F.when(valid, F.col("n"))).alias("most"),
     )
     nums = melt(df, [c for c in cols if c in numeric]).groupBy("column").agg(
         F.stddev_samp("value").alias("std"),
@@ -481,7 +525,7 @@ def column_quality(df: DataFrame, cols: list[str] | None = None, non_negative=NO
     is_num = F.col("column").isin(*numeric) if numeric else F.lit(False)
     present = F.col("rows") - F.col("missing")
     constant = F.col("unique") <= 1
-    dominant = F.when(constant, F.lit(0.0)).otherwise(F.try_divide(F.col("top.n"), present))
+    dominant = F.when(constant, F.lit(0.0)).otherwise(F.try_divide(F.col("most"), present))
     hinted = F.lit(False)
     for hint in non_negative:
         hinted = hinted | F.lower("column").contains(hint)
@@ -598,13 +642,18 @@ def schema_profile(df: DataFrame, cols: list[str] | None = None, known: dict[str
     cols = cols or df.columns
     facts = [(c, df.schema[c].dataType.simpleString(), _named_type(df.schema[c].dataType), describe_column(c, known)) for c in cols]
     facts = df.sparkSession.createDataFrame(facts, "column string, dtype string, named string, description string")
-    n = F.col("n")
-    stats = long_counts(df, cols).groupBy("column").agg(
-        F.min("value").alias("example"),
-        F.count("value").alias("unique"),
-        F.sum(F.when(F.col("value").isNotNull(), n).otherwise(0)).alias("present"),
-        F.sum(F.when(F.col("value").isNull(), n).otherwise(0)).alias("missing"),
+    n, there = F.col("n"), F.col("d1").isNotNull()
+    stats = digest_counts(df, cols).groupBy("column").agg(
+        F.count("d1").alias("unique"),
+        F.sum(F.when(there, n).otherwise(0)).alias("present"),
+        F.sum(F.when(there, 0).otherwise(n)).alias("missing"),
     )
+    # one text a column and task
+    least = df.agg(*[F.min(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(cols)])
+    least = least.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("example")) for i, c in enumerate(cols)])).alias("m")
+    ).select("m.*")
+    stats = stats.join(least, "column")
     text = (F.col("unique") / F.col("present") > 0.5) | (F.col("unique") > 200)
     derived = F.when(F.col("present") == 0, "Unknown").when(text, "Text").otherwise("Categorical")
     return stats.join(F.broadcast(facts), "column").select(
@@ -633,15 +682,17 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, low_card:
     """Text columns and numeric columns with few values: top category and top five."""
     cols = cols or df.columns
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    counts = long_counts(df, cols)
+    counts = cut_lineage(digest_counts(df, cols, HEAD), "counts")
     stats = counts.groupBy("column").agg(
         F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-        F.count("value").alias("unique"),
+        F.sum(F.when(F.col("d1").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.count("d1").alias("unique"),
     )
     is_text = F.col("column").isin(*text) if text else F.lit(False)
     stats = stats.where(is_text | F.col("unique").between(1, low_card))
-    top = top_n(counts.where(F.col("value").isNotNull()), "column", [F.desc("n"), F.asc("value")], 5)
+    # one row a column
+    few = counts.join(F.broadcast(stats.select("column")), "column", "left_semi")
+    top = frequent_texts(df, few, cols, 5)
     # five rows per column after the trim
     rank = F.struct((-F.col("n")).alias("k"), F.col("value"), F.col("n"))
     lists = top.groupBy("column").agg(F.sort_array(F.collect_list(rank)).alias("t"))
@@ -660,11 +711,10 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, low_card:
 
 def useless_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
-    counts = long_counts(df, cols)
-    stats = counts.groupBy("column").agg(
+    stats = digest_counts(df, cols).groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.count(F.lit(1)).alias("unique"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.sum(F.when(F.col("d1").isNull(), F.col("n")).otherwise(0)).alias("missing"),
     )
     reason = (
         F.when(F.col("unique") <= 1, "constant")

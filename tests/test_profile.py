@@ -87,3 +87,51 @@ def test_coordinate_stats_leave_out_gaps(spark):
     df = spark.createDataFrame([(30.5,), (31.5,), (None,), (float("nan"),)], "lat double")
     r = P.coordinate_stats(df, ["lat"]).first()
     assert (r["mean"], r["median"], r["min"], r["max"], r["count"]) == (31.0, 31.0, 30.5, 31.5, 2)
+
+
+def _texts(spark):
+    far = F.lpad(F.col("id").cast("string"), 5, "0")
+    return spark.range(0, 3000).select(
+        F.concat(F.lit("x" * 40), far).alias("alike"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), (F.col("id") % 700).cast("string"))).alias("skewed"),
+        F.when(F.col("id") % 10 > 0, F.concat(far, F.lit("y" * 50))).alias("gaps"),
+        F.when(F.col("id") < 2, F.lit("NaN")).when(F.col("id") < 4, F.lit("")).otherwise("a").alias("few"),
+        (F.col("id") % 7).cast("int").alias("digit"),
+        F.lit(None).cast("string").alias("never"),
+    )
+
+
+def test_digests_give_the_counts_of_texts(spark):
+    df = _texts(spark)
+    pdf = df.toPandas()
+    text = ["alike", "skewed", "gaps", "few", "never"]
+    pdf[text] = pdf[text].astype(object).where(pdf[text].notna(), None)
+    unique = {c: len(set(pdf[c]) - {None}) for c in df.columns}
+    assert {r["column"]: r["distinct"] for r in P.distinct_counts(df, df.columns).collect()} == unique
+    rows = {r["column"]: r for r in P.categorical_summary(df).collect()}
+    assert set(rows) == set(df.columns)
+    for c in df.columns:
+        counts = pdf[c].astype(str).where(pdf[c].notna()).value_counts()
+        want = sorted(((-n, v) for v, n in counts.items()))[:5]
+        got = rows[c]
+        assert (got["unique"], got["top_category"]) == (unique[c], want[0][1] if want else "N/A")
+        assert (got["top_five"] or "") == "; ".join(f"{v}: {-n}" for n, v in want)
+    quality = {r["column"]: r for r in P.column_quality(df).collect()}
+    assert quality["few"]["unique"] == 2 and quality["few"]["missing_pct"] == round(200 / 3000, 4)
+    assert quality["skewed"]["dominant_fraction"] == round(1000 / 3000, 4)
+    schema = {r["column"]: r for r in P.schema_profile(df).collect()}
+    assert schema["gaps"]["present"] == 2700 and schema["alike"]["unique"] == 3000 and schema["never"]["example"] is None
+    assert schema["few"]["example"] == ""
+    reasons = {r["column"]: r["reason"] for r in P.useless_columns(df).collect()}
+    assert reasons == {"alike": "all unique", "never": "constant"}
+    nothing = df.where("digit > 9")
+    assert [f(nothing).count() for f in (P.categorical_summary, P.column_quality, P.schema_profile, P.useless_columns)] == [0] * 4
+
+
+def test_no_text_is_shuffled_by_counts(spark):
+    df = _texts(spark).select("alike", "gaps")
+    for made in (P.distinct_counts(df, df.columns), P.column_quality(df), P.useless_columns(df)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert keyed and not any("alike" in line or "gaps" in line or "value" in line for line in keyed)
+        assert "partial_first" not in plan and "partial_max(struct" not in plan
