@@ -476,3 +476,10 @@ def _(t):
     rules = {"low": F.col("value") < 10, "clicks": F.col("event_type") == "click"}
     out = live.live_violations(_stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "ts", rules)
     return live.drain(out, "live-rules").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("x2_upserted_violations", "select time_bucket(interval '6 hours', ts) as window_start, count(*) as rows, cast(sum(case when value<10 then 1 else 0 end) as bigint) as low, cast(sum(case when event_type='click' then 1 else 0 end) as bigint) as clicks from events group by 1")
+def _(t):
+    rules = {"low": F.col("value") < 10, "clicks": F.col("event_type") == "click"}
+    out = live.live_violations(_stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "ts", rules)
+    return live.upsert_live(out, "upserted-rules", ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import cut_lineage, work_path
 
 WINDOW = "6 hours"
 
@@ -44,7 +45,7 @@ def drain(result: DataFrame, name: str) -> DataFrame:
     rewrites one folder in the shared directory; nothing passes the driver.
     """
     spark = result.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = work_path(spark, name)
     target = f"{base}/table"
 
     def replace(batch: DataFrame, _: int) -> None:
@@ -69,7 +70,7 @@ def append_closed(result: DataFrame, name: str) -> DataFrame:
     end stay in the state of the checkpoint.
     """
     spark = result.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = work_path(spark, name)
     query = (
         result.writeStream.outputMode("append")
         .format("parquet")
@@ -80,3 +81,65 @@ def append_closed(result: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{base}/table")
+
+
+def _versions(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    whole = T.StructType(schema.fields).add("batch", "long").add("day", "date")
+    return spark.read.schema(whole).parquet(table)
+
+
+def _newest(versions: DataFrame) -> DataFrame:
+    """Rows of the newest version of each day."""
+    days = versions.groupBy("day").agg(F.max("batch").alias("batch"))
+    return versions.join(days, ["day", "batch"], "left_semi")
+
+
+def read_windows(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """The table that ``upsert`` keeps, one row per key."""
+    return _newest(_versions(spark, table, schema)).select(*schema.names)
+
+
+def upsert(batch: DataFrame, batch_id: int, table: str, keys: list[str], start: str = "window_start") -> None:
+    """Puts a trigger's rows into the table: a key's new row takes the place of its old one.
+
+    The table lies in ``batch=<id>/day=<day of start>``.  A batch writes a new version of the
+    days that it has rows of, made from their newest version of an earlier batch, and touches no
+    other day.  A batch that runs again writes the same version again, so nothing changes, and
+    a batch that was stopped half way is written anew.  Rows without a key value equal each other.
+    """
+    spark = batch.sparkSession
+    # the batch is used twice but its state must move on once
+    fresh = cut_lineage(batch.withColumn("day", F.to_date(start)), "batch")
+    touched = fresh.select("day").distinct()
+    earlier = _versions(spark, table, batch.schema).where(F.col("batch") < batch_id)
+    old = _newest(earlier).drop("batch").join(touched, "day", "left_semi")
+    same = reduce(lambda a, b: a & b, [old[k].eqNullSafe(fresh[k]) for k in keys])
+    kept = old.join(fresh, (old["day"] == fresh["day"]) & same, "left_anti")
+    whole = kept.unionByName(fresh).hint("rebalance", "day")
+    whole.write.mode("overwrite").partitionBy("day").parquet(f"{table}/batch={batch_id}")
+
+
+def upsert_live(result: DataFrame, name: str, keys: list[str], start: str = "window_start") -> DataFrame:
+    """Runs a stream over everything available now in update mode and reads its table back.
+
+    A trigger moves only the windows it changed and rewrites only their days.  State older than
+    the watermark is dropped, and rows later than it are left out; a first trigger has none.
+    """
+    spark = result.sparkSession
+    base = work_path(spark, name)
+    table, schema = f"{base}/table", result.schema
+    # the folder must be there before the first version
+    result.sparkSession.createDataFrame([], schema).write.parquet(f"{table}/_start")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        upsert(batch, batch_id, table, keys, start)
+
+    query = (
+        result.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(put)
+        .start()
+    )
+    query.awaitTermination()
+    return read_windows(spark, table, schema)
