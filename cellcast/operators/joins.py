@@ -103,3 +103,12 @@ def in_grid(labels: DataFrame, grid: DataFrame, key: str = "cell") -> DataFrame:
     """Flags labelled rows whose cell belongs to the grid."""
     mark = grid.select(key, F.lit(1).alias("in_grid"))
     return labels.join(mark, key, "left").withColumn("in_grid", F.coalesce("in_grid", F.lit(0)))
+
+
+def map_values(mapping: DataFrame, values: DataFrame, key: str = "site_id") -> DataFrame:
+    """Values of every output cell by a mapping made once; cells without values stay, with nulls.
+
+    With both sides stored in buckets of ``key`` neither moves, whatever the window; with the
+    mapping alone stored, only the values of the window do.
+    """
+    return mapping.join(values, key, "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
@@ -19,7 +17,7 @@ from ..operators import spatial as SP
 from ..operators import windows as W
 from ..operators.ordered import top_n
 from ..operators.profile import column_quality, missing_summary, pearson_pairs
-from ..session import shared_dir
+from ..session import work_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from .proxies import GRID_SQL, PIXELS_SQL, POS_SQL, SITES_SQL, TEXAS_BOX, WEATHER_SQL, cell_px, grid, pixels, pos, sites, weather
@@ -29,7 +27,7 @@ from .registry import query, r, rounded
 
 
 def _place(t, name: str) -> str:
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return work_path(t.spark, name)
 
 
 @query("s1_read_events", """select cast(year(o_orderdate) as integer) as source_year, count(*) as rows, count(case when year(o_orderdate)=1995 and o_orderkey%97=0 then 1 when year(o_orderdate)=1997 and o_orderkey%89=0 then 1 end) as corrupt,
@@ -539,6 +537,21 @@ def _(t):
     return SP.curvilinear_map(grid(t).where(F.col("region") < 10), sites(t), "lat", "lon", "slat", "slon", "sid", margin_deg=90.0).select("cell", "site_id")
 
 
+_MAPPED = "lat between 28.5 and 31.5 and lon between -101.5 and -97.5"
+
+
+@query("j6_stored_mapping", f"""with {GRID_SQL}, {SITES_SQL}, c as (select * from grid where {_MAPPED}), b as (select min(lat)-0.5 as s, max(lat)+0.5 as n, min(lon)-0.5 as w, max(lon)+0.5 as e from c),
+ near as (select sites.* from sites, b where slat between s and n and slon between w and e),
+ k as (select cell, sid, row_number() over (partition by cell order by (lat-slat)*(lat-slat)+(lon-slon)*(lon-slon), sid) as rn from c, near),
+ v as (select l_suppkey as sid, year(l_shipdate) as win, sum(l_linenumber) as value from lineitem group by 1,2)
+ select cell, k.sid as site_id, cast(win as integer) as win, cast(value as bigint) as value from k left join v using (sid) where rn=1""")
+def _(t):
+    mapping = SP.curvilinear_map(grid(t).where(_MAPPED), sites(t), "lat", "lon", "slat", "slon", "sid")
+    values = t.lineitem.groupBy(F.col("l_suppkey").alias("site_id"), F.year("l_shipdate").alias("win")).agg(F.sum("l_linenumber").alias("value"))
+    stored = SK.store_bucketed(mapping.select("cell", "site_id"), "site_id", "mapping")
+    return J.map_values(stored, SK.store_bucketed(values, "site_id", "gridded")).select("cell", "site_id", "win", "value")
+
+
 _AFF = {"a": 0.2, "c": -106.65, "e": -0.7, "f": 36.5, "width": 66, "height": 16, "nodata": 7.0}
 
 

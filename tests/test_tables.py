@@ -137,3 +137,20 @@ def test_fill_policy_and_features(spark):
     assert got == [(0.0, -1, 0.0), (2.0, 41, 3.5)]
     kept, absent = CL.select_features(df, ["n", "zzz"])
     assert kept.columns == ["n"] and absent == ["zzz"]
+
+
+def test_a_stored_mapping_joins_without_moving(spark):
+    mapping = spark.range(0, 500).select(F.col("id").alias("cell"), F.when(F.col("id") % 11 > 0, F.col("id") % 37).alias("site_id"))
+    values = spark.range(0, 30).select(F.col("id").alias("site_id"), (F.col("id") * 2).alias("value"))
+    stored, kept = SK.store_bucketed(mapping, "site_id", "mapping"), SK.store_bucketed(values, "site_id", "window-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [J.map_values(stored, v) for v in (kept, values)]
+        texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+        assert texts[0].count("Exchange") == 0 and texts[1].count("Exchange") == 1
+        want = {(i, i % 37 if i % 11 else None, 2 * (i % 37) if i % 11 and i % 37 < 30 else None) for i in range(500)}
+        for p in plans:
+            assert {(r["cell"], r["site_id"], r["value"]) for r in p.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert J.map_values(SK.store_bucketed(mapping.limit(0), "site_id", "none"), kept).count() == 0
