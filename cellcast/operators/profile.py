@@ -41,8 +41,7 @@ def melt(df: DataFrame, cols: list[str], kind: str = "double") -> DataFrame:
         if kind == "double":
             value = F.when(~F.isnan(value), value)
         parts.append(F.struct(F.lit(c).alias("column"), value.alias("value")))
-    rows = F.array(*parts) if parts else F.array().cast(f"array<struct<column:string,value:{kind}>>")
-    return df.select(F.explode(rows).alias("m")).select("m.column", "m.value")
+    return df.select(F.explode(F.array(*parts)).alias("m")).select("m.column", "m.value")
 
 
 def share(part: Column, whole: Column, digits: int) -> Column:
@@ -203,10 +202,9 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, exact: bool =
 
 
 def shape_moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Bias-corrected skewness and excess kurtosis with report flags."""
-    raw = melt(df, cols).groupBy("column").agg(
-        F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2")
-    )
+    """Bias-corrected skewness and excess kurtosis with report flags, in one scan."""
+    wanted = {"n": "cast(count({c}) as double)", "g1": "skewness({c})", "g2": "kurtosis({c})"}
+    raw = _stacked(doubles(df, cols), cols, wanted)
     n = F.col("n")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
@@ -239,7 +237,7 @@ def iqr_outliers(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR) ->
 
 
 def top_variance(df: DataFrame, cols: list[str], n: int) -> DataFrame:
-    out = melt(df, cols).groupBy("column").agg(F.var_samp("value").alias("variance"))
+    out = _stacked(doubles(df, cols), cols, {"variance": "var_samp({c})"})
     return out.orderBy(F.desc("variance"), "column").limit(n)
 
 
@@ -283,16 +281,13 @@ def spearman_pairs(df: DataFrame, cols: list[str], keep: Column | None = None) -
 
 
 def effect_size(df: DataFrame, cols: list[str], flag: str, min_rows: int = 5) -> DataFrame:
-    """Absolute Cohen's d between flag = 1 and flag = 0 rows."""
-    parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
-    long = df.select(F.col(flag).alias("_g"), F.explode(F.array(*parts)).alias("m")).select("_g", "m.*")
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-    def side(g: int) -> list[Column]:
-        v = F.when(F.col("_g") == g, F.col("value"))
-        return [F.count(v).alias(f"n{g}"), F.avg(v).alias(f"m{g}"), F.var_samp(v).alias(f"v{g}")]
-
-    wide = long.groupBy("column").agg(*side(0), *side(1))
+    """Absolute Cohen's d between flag = 1 and flag = 0 rows, in one scan."""
+    # a column of each side's values
+    halves = [F.when(F.col(flag) == g, F.col(c).cast("double")).alias(f"h{i}_{g}") for i, c in enumerate(cols) for g in (0, 1)]
+    sides = df.select(*halves)
+    rows = doubles(sides, sides.columns).toDF(*[f"c{i}_{g}" for i in range(len(cols)) for g in (0, 1)])
+    wanted = {f"{name}{g}": f"{make}({{c}}_{g})" for g in (0, 1) for name, make in (("n", "count"), ("m", "avg"), ("v", "var_samp"))}
+    wide = _stacked(rows, cols, wanted)
     pooled = F.sqrt((F.col("v0") + F.col("v1")) / 2)
     return wide.where((F.col("n0") >= min_rows) & (F.col("n1") >= min_rows)).select(
         "column", (F.abs(F.col("m1") - F.col("m0")) / (pooled + 1e-10)).alias("cohens_d")
@@ -514,13 +509,16 @@ def column_quality(df: DataFrame, cols: list[str] | None = None, non_negative=NO
         F.count(F.when(valid, 1)).alias("unique"),
         F.max(F.when(valid, F.col("n"))).alias("most"),
     )
-    nums = melt(df, [c for c in cols if c in numeric]).groupBy("column").agg(
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.count(F.when(F.abs("value") == F.lit(float("inf")), 1)).alias("inf"),
-        F.count(F.when(F.col("value") < 0, 1)).alias("negative"),
-    )
+    wanted = {
+        "std": "stddev_samp({c})",
+        "lo": "min({c})",
+        "hi": "max({c})",
+        "inf": "count_if(abs({c}) = double('infinity'))",
+        "negative": "count_if({c} < 0)",
+    }
+    measured = [c for c in cols if c in numeric]
+    none = "column string, std double, lo double, hi double, inf bigint, negative bigint"
+    nums = _stacked(doubles(df, measured), measured, wanted) if measured else df.sparkSession.createDataFrame([], none)
     joined = by_col.join(nums, "column", "left")
     is_num = F.col("column").isin(*numeric) if numeric else F.lit(False)
     present = F.col("rows") - F.col("missing")
@@ -736,9 +734,11 @@ def headline_stats(df: DataFrame, date: str, measure: str) -> DataFrame:
 
 def fill_contamination(df: DataFrame, cols: list[str], limits=((9000.0, ">"), (32000.0, ">="))) -> DataFrame:
     """Per column the number of values beyond each limit; a limit says whether it counts itself."""
-    beyond = {">": lambda x: F.col("value") > x, ">=": lambda x: F.col("value") >= x}
-    counts = [F.count(F.when(beyond[sign](x), 1)).alias(f"over_{int(x)}") for x, sign in limits]
-    return melt(df, cols).groupBy("column").agg(*counts)
+    unknown = {sign for _, sign in limits} - {">", ">="}
+    if unknown:
+        raise ValueError(f"unknown comparison {sorted(unknown)}")
+    wanted = {f"over_{int(x)}": f"count_if({{c}} {sign} double('{x!r}'))" for x, sign in limits}
+    return _stacked(doubles(df, cols), cols, wanted)
 
 
 # ---------------------------------------------------------------- class diagnostics

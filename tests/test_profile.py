@@ -135,3 +135,27 @@ def test_no_text_is_shuffled_by_counts(spark):
         keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
         assert keyed and not any("alike" in line or "gaps" in line or "value" in line for line in keyed)
         assert "partial_first" not in plan and "partial_max(struct" not in plan
+
+
+def test_one_scan_without_rows_per_column(spark):
+    df = spark.range(0, 400).select(
+        (F.col("id") % 2).cast("int").alias("flag"),
+        F.when(F.col("id") % 7 > 0, F.sin(F.col("id"))).alias("gaps"),
+        F.when(F.col("id") == 5, float("nan")).otherwise(F.exp(F.col("id") / 90.0)).alias("it's"),
+        F.lit(None).cast("double").alias("never"),
+        F.when(F.col("id") < 9, 9000).otherwise(32000).alias("filled"),
+    )
+    cols = ["gaps", "it's", "never", "filled"]
+    pdf = df.toPandas()
+    made = [P.shape_moments(df, cols), P.effect_size(df, cols, "flag"), P.top_variance(df, cols, 9), P.fill_contamination(df, cols)]
+    for frame in made:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan") + plan.count("Range (") == 1 and "explode" not in plan and "hashpartitioning" not in plan
+    shape, effect, variance, fill = [{r["column"]: r for r in frame.collect()} for frame in made]
+    for c in ("gaps", "it's"):
+        assert shape[c]["skewness"] == pytest.approx(pdf[c].skew()) and shape[c]["kurtosis"] == pytest.approx(pdf[c].kurt())
+        assert variance[c]["variance"] == pytest.approx(pdf[c].var())
+        a, b = pdf[c][pdf["flag"] == 0], pdf[c][pdf["flag"] == 1]
+        assert effect[c]["cohens_d"] == pytest.approx(abs(b.mean() - a.mean()) / ((a.var() + b.var()) / 2) ** 0.5)
+    assert "never" not in effect and shape["never"]["skewness"] is None
+    assert (fill["filled"]["over_9000"], fill["filled"]["over_32000"], fill["never"]["over_9000"]) == (391, 391, 0)
