@@ -544,7 +544,7 @@ _MAPPED = "lat between 28.5 and 31.5 and lon between -101.5 and -97.5"
  near as (select sites.* from sites, b where slat between s and n and slon between w and e),
  k as (select cell, sid, row_number() over (partition by cell order by (lat-slat)*(lat-slat)+(lon-slon)*(lon-slon), sid) as rn from c, near),
  v as (select l_suppkey as sid, year(l_shipdate) as win, sum(l_linenumber) as value from lineitem group by 1,2)
- select cell, k.sid as site_id, cast(win as integer) as win, cast(value as bigint) as value from k left join v using (sid) where rn=1""")
+ select c.cell, k.sid as site_id, cast(win as integer) as win, cast(value as bigint) as value from c left join k on k.cell=c.cell and rn=1 left join v on v.sid=k.sid""")
 def _(t):
     mapping = SP.curvilinear_map(grid(t).where(_MAPPED), sites(t), "lat", "lon", "slat", "slon", "sid")
     values = t.lineitem.groupBy(F.col("l_suppkey").alias("site_id"), F.year("l_shipdate").alias("win")).agg(F.sum("l_linenumber").alias("value"))
