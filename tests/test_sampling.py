@@ -84,6 +84,37 @@ def test_spatial_negatives_repeat_only_when_short(spark):
     assert many.count() == 250 and sizes[1] - sizes[0] <= 1
 
 
+def test_no_free_pool_point_gives_no_negatives(spark):
+    pool = spark.range(0, 5).select("id", (F.col("id") / 10.0 + 26).alias("lat"), F.lit(-100.0).alias("lon"))
+    events = pool.select(F.col("id").alias("eid"), F.col("lat").alias("elat"), F.col("lon").alias("elon"))
+    got = N.spatial_negatives(pool, events, 30, 5.0, F.xxhash64("id"), "lat", "lon", "id", "elat", "elon", "eid")
+    assert got.collect() == [] and got.columns == ["id", "lat", "lon", "draw"]
+
+
+def test_random_negatives_of_a_covered_box_may_be_empty(spark):
+    events = spark.createDataFrame([(1, 28.5, -99.5)], "id int, la double, lo double")
+    got = N.random_negatives(spark, events, (28.4, 28.6, -99.6, -99.4), 3, 60.0, "la", "lo", "id", least_share=1e-3, covered="empty")
+    assert got.collect() == [] and got.columns == ["id", "lat", "lon"]
+
+
+def test_places_by_tables_are_those_of_the_order(spark):
+    order, key = N.Permutation(4999), F.concat_ws(":", F.lit(7), "slot")
+    rows = spark.range(0, order.places).withColumn("slot", F.col("id") % 2)
+    tables = [F.when(F.col("slot") == 0, table).alias(f"_t{r}") for r, table in enumerate(order.tables(key))]
+    rows = order.looked_up(rows.select("*", *tables), "id", key, ["_t0", "_t1", "_t2", "_t3"], "place")
+    assert rows.where(F.col("place") != order.at(F.col("id"), key)).count() == 0
+    assert rows.where("place is not null").count() == order.places
+
+
+def test_many_steps_of_a_slot_share_their_hashes(spark):
+    got = N.day_matched_negatives(_pos(spark, range(0, 4000, 10)), _grid(spark, 70000), 200)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode(kept")]
+    # no test for null works the places out a second time
+    assert "_t0" in plan and "isnotnull(((" not in above and "isnotnull(coalesce" not in above
+    assert got.count() == got.select("cell").distinct().count() == 69600
+
+
 def test_random_negatives(spark):
     events = spark.range(0, 50).select("id", (F.rand(1) * 4 + 28).alias("la"), (F.rand(2) * 4 - 100).alias("lo")).cache()
     got = N.random_negatives(spark, events, (28.0, 32.0, -100.0, -96.0), 300, 25.0, "la", "lo", "id")
