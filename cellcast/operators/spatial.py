@@ -329,6 +329,8 @@ def count_within(points, sites, lat, lon, site_lat, site_lon, site_id, kms: list
         )
         # counted rows of a point become one; the rows are already spread by position
         walk = walk.groupBy(*keys, "pty", "ptx", "lvl", "lty", "ltx").agg(F.sum("n").alias("n"))
+    # counted rows open no leaf; under null keys all of them would be in one task
+    walk = walk.withColumns({"lvl": F.coalesce("lvl", F.lit(-1)), "lty": F.coalesce("lty", _away()), "ltx": F.coalesce("ltx", F.lit(-1).cast("long"))})
     pairs = walk.join(tree.spots, ["lvl", "lty", "ltx"], "left")
     hit = F.when(F.col("n").isNotNull(), F.col("n")).when(_spot2(dims) <= F.col("c2"), F.col("copies")).otherwise(0)
     counts = pairs.groupBy("qlat", "qlon", "km").agg(F.sum(hit).alias("n"))

@@ -167,3 +167,22 @@ def test_tiles_in_metres(spark):
     points = spark.createDataFrame([(1, 5e6 + 0.25, 0.25), (2, 5.15e6, 7e4), (3, 5.2e6, 1e5), (4, 4e6, 0.0), (5, None, 1.0)], "id int, x double, y double")
     got = {r["id"]: r["tile"] for r in SP.point_in_tile(points, tiles, "x", "y").collect()}
     assert got == {1: "small", 2: "t1", 3: "t1", 4: None, 5: None}
+
+
+def test_counted_points_are_spread_over_the_last_join(spark, monkeypatch):
+    seen = []
+    join = type(spark.range(1)).join
+
+    def watched(left, right, on=None, how=None):
+        if isinstance(on, list) and on == ["lvl", "lty", "ltx"]:
+            seen.append(left)
+        return join(left, right, on, how)
+
+    points = spark.range(0, 300).select("id", (F.rand(1) + 30).alias("lat"), (F.rand(2) - 97).alias("lon"))
+    monkeypatch.setattr(type(points), "join", watched)
+    got = SP.count_within(points, points, "lat", "lon", "lat", "lon", "id", [500])
+    monkeypatch.undo()
+    assert {r["within_500"] for r in got.collect()} == {300}
+    walk = seen[0]
+    assert walk.where("lvl is null or lty is null or ltx is null").count() == 0
+    assert walk.groupBy("lvl", "lty", "ltx").count().agg(F.max("count")).first()[0] <= 3
