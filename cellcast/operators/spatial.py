@@ -485,25 +485,45 @@ def polygon_join(points, polygons, lat: str, lon: str, ring: str) -> DataFrame:
     return met.where(F.aggregate("edges", F.col("odd"), flips)).select(*points.columns, *others)
 
 
-def point_in_tile(points: DataFrame, tiles: DataFrame, x: str, y: str, tol: float = 1e-9) -> DataFrame:
-    """First tile by name whose (left, right, bottom, top) holds the point, else null.
+def tile_squares(tiles: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """Squares (_k, _ty, _tx) with the tiles that may be the first by name at a place of theirs.
 
-    A tile is looked up in squares as wide as its longer side, so it lies in nine at most,
-    in degrees and metres alike.
+    A square is at most half as wide as a tile's longer side, so a tile touches 36 of them at
+    most, in degrees and metres alike. A tile that holds a whole square decides it: those later
+    by name are left out there. Equal boxes are one, under the first name.
     """
     sides = {c: F.col(c).cast("double") for c in ("left", "right", "bottom", "top")}
     boxes = tiles.withColumns(sides).where((F.col("left") <= F.col("right")) & (F.col("bottom") <= F.col("top")))
     far = F.greatest(*[F.abs(F.col(c)) for c in sides])
-    wide = F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), far * 2.0**-50, F.lit(2 * tol), F.lit(2.0**-50))
-    boxes = boxes.where(far < float("inf")).withColumn("_k", _steps(wide))
+    boxes = boxes.where(far < float("inf")).groupBy(*sides).agg(F.min("tile").alias("tile"))
+    wide = F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), far * 2.0**-48, F.lit(8 * tol), F.lit(2.0**-48))
+    boxes = boxes.withColumn("_k", _steps(wide) - 2)
 
     def span(low: str, high: str) -> Column:
         return F.explode(F.sequence(_tile_of(F.col(low) - tol, F.col("_k")), _tile_of(F.col(high) + tol, F.col("_k"))))
 
     spread = boxes.withColumn("_ty", span("bottom", "top")).withColumn("_tx", span("left", "right"))
-    spots = _on_levels(points.select(x, y).distinct(), boxes, y, x)
+    # written once: it is summed and joined with what was summed
+    spread = cut_lineage(spread, "squares")
+    step = _power(F.col("_k"))
+    whole = (
+        (F.col("left") <= F.col("_tx") * step) & (F.col("right") >= (F.col("_tx") + 1) * step)
+        & (F.col("bottom") <= F.col("_ty") * step) & (F.col("top") >= (F.col("_ty") + 1) * step)
+    )
+    key = ["_k", "_ty", "_tx"]
+    first = spread.where(whole).groupBy(*key).agg(F.min("tile").alias("first"))
+    return spread.join(first, key, "left").where(F.col("first").isNull() | (F.col("tile") <= F.col("first"))).drop("first")
+
+
+def point_in_tile(points: DataFrame, tiles: DataFrame, x: str, y: str, tol: float = 1e-9) -> DataFrame:
+    """First tile by name whose (left, right, bottom, top) holds the point, else null.
+
+    A place meets only the tiles of its square that can be the first there (``tile_squares``).
+    """
+    squares = cut_lineage(tile_squares(tiles, tol), "first-squares")
+    spots = _on_levels(points.select(x, y).distinct(), squares, y, x)
     inside = F.col(x).between(F.col("left") - tol, F.col("right") + tol) & F.col(y).between(
         F.col("bottom") - tol, F.col("top") + tol
     )
-    found = spots.join(spread, ["_k", "_ty", "_tx"]).where(inside).groupBy(x, y).agg(F.min("tile").alias("tile"))
+    found = spots.join(squares, ["_k", "_ty", "_tx"]).where(inside).groupBy(x, y).agg(F.min("tile").alias("tile"))
     return points.join(found, [x, y], "left")

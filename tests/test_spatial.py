@@ -186,3 +186,28 @@ def test_counted_points_are_spread_over_the_last_join(spark, monkeypatch):
     walk = seen[0]
     assert walk.where("lvl is null or lty is null or ltx is null").count() == 0
     assert walk.groupBy("lvl", "lty", "ltx").count().agg(F.max("count")).first()[0] <= 3
+
+
+def _boxes(n, seed, width):
+    rng = np.random.default_rng(seed)
+    x, y = rng.uniform(0, 4, n), rng.uniform(0, 4, n)
+    w, h = rng.uniform(0.2, 1, n) * width, rng.uniform(0.2, 1, n) * width
+    return [(f"t{i:05d}", float(x[i]), float(x[i] + w[i]), float(y[i]), float(y[i] + h[i])) for i in range(n)]
+
+
+def test_crowded_tiles_equal_brute_force_and_leave_few_to_a_square(spark):
+    shape = "tile string, left double, right double, bottom double, top double"
+    boxes = _boxes(3000, 3, 1.5) + [(f"s{i}", 9.0, 9.5, 9.0, 9.5) for i in range(500)] + [("n", None, 1.0, 0.0, 1.0), ("line", 8.0, 8.0, 0.0, 3.0)]
+    rng = np.random.default_rng(4)
+    spots = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-0.5, 6, (400, 2)))]
+    spots += [(1000 + i, b[1], b[4]) for i, b in enumerate(boxes[:200])] + [(2000, 9.2, 9.5), (2001, 8.0, 1.5), (2002, None, 1.0)]
+    tiles, points = spark.createDataFrame(boxes, shape), spark.createDataFrame(spots, "id int, x double, y double")
+    got = {r["id"]: r["tile"] for r in SP.point_in_tile(points, tiles, "x", "y").collect()}
+    for i, x, y in spots:
+        holds = [t for t, a, b, c, d in boxes if None not in (x, a) and a - 1e-9 <= x <= b + 1e-9 and c - 1e-9 <= y <= d + 1e-9]
+        assert got[i] == min(holds, default=None)
+    squares = SP.tile_squares(tiles)
+    assert squares.where("left = 9.0").select("tile").distinct().count() == 1
+    per = squares.where("left < 5").groupBy("_k", "_ty", "_tx").count()
+    every = tiles.where("left < 5").count()
+    assert per.agg(F.avg("count")).first()[0] < every / 50
