@@ -131,10 +131,13 @@ def at_roots(entering: DataFrame, join: PathJoin) -> DataFrame:
 
 
 def one_down(large: DataFrame, signed: DataFrame, join: PathJoin) -> DataFrame:
-    """The rows of large nodes as rows of their children."""
-    return large.join(signed.hint("merge"), "cls").select(
-        "cls", "known", "weight", F.explode(_children(join, F.col("node"))).alias("node")
-    )
+    """The rows of large nodes as rows of their children.
+
+    A class meets its tokens once, whatever the number of its nodes.
+    """
+    held = large.groupBy("cls", "known", "weight").agg(F.collect_list("node").alias("nodes"))
+    rows = held.join(signed.hint("merge"), "cls").select("cls", "known", "weight", "sig", F.explode("nodes").alias("node"))
+    return rows.select("cls", "known", "weight", F.explode(_children(join, F.col("node"))).alias("node"))
 
 
 def small_nodes(
@@ -203,7 +206,10 @@ def with_core(large: DataFrame, component: DataFrame) -> DataFrame:
     ``component`` has (cls, known). The commonest component of a node is its core; its classes
     are joined already, the others, the strays, weigh ``stray``.
     """
-    named = cut_lineage(large.drop("known").join(component.hint("merge"), "cls"), "path-crowded")
+    rest = [c for c in large.columns if c not in ("cls", "known")]
+    held = large.groupBy("cls").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    named = held.join(component.hint("merge"), "cls").select("cls", "known", F.explode("rows").alias("row"))
+    named = cut_lineage(named.select("cls", "known", "row.*"), "path-crowded")
     shares = named.groupBy("node", "known").agg(F.count("*").alias("n"), F.sum("weight").alias("held"))
     most = F.struct("n", "known")
     cores = cut_lineage(

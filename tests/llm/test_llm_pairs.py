@@ -346,3 +346,26 @@ def test_components_of_chains_stars_and_loops(spark, held):
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(3), held)
     assert sorted(tuple(r) for r in got.collect()) == sorted((v, least(v)) for v in root)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_class_of_many_large_nodes_meets_its_tokens_once(spark, monkeypatch):
+    join = chosenpath.PathJoin()
+    large = spark.range(50).select(F.col("id").alias("cls"), F.col("id").alias("known"), F.lit(1.0).alias("weight"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("node"))
+    large = large.withColumns({"n": F.lit(50), "heavy": F.lit(50.0)})
+    signed = spark.range(50).select(F.col("id").alias("cls"), F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("sig"))
+    signed = signed.withColumn("sig", F.concat(*["sig"] * 4))
+    want = signed.join(large, "cls").select("cls", F.explode(chosenpath._children(join, F.col("node"))).alias("node"))
+    component = large.select("cls", (F.col("cls") % 2).alias("known")).distinct()
+    joined, plain = [], type(large).join
+
+    def watched(*args, **kwargs):
+        joined.append(plain(*args, **kwargs))
+        return joined[-1]
+
+    monkeypatch.setattr(type(large), "join", watched)
+    down = chosenpath.one_down(large, signed, join)
+    rows = chosenpath.with_core(large, component)
+    monkeypatch.undo()
+    assert [d.count() for d in joined[:2]] == [50, 50]
+    assert down.columns == ["cls", "known", "weight", "node"] and down.select("cls", "node").exceptAll(want).count() == 0 == want.exceptAll(down.select("cls", "node")).count()
+    assert rows.count() == 1000 and rows.select("cls", "node").distinct().count() == 1000
