@@ -26,6 +26,8 @@ STEP = 6
 LEAF_SITES = 64
 # at most 16 ** 3 tiles
 BROADCAST_LEVEL = 3
+# of a polygon's box, about; that many rows a polygon at most are made of its tiles, a few times over
+FEWEST_TILES = 64
 SLACK = 1e-9
 
 
@@ -381,7 +383,8 @@ def polygon_tiles(polygons: DataFrame, ring: str) -> DataFrame:
     """Tiles of each polygon with the edges that touch them: (_k, _ty, _tx, odd, edges, box, held).
 
     A polygon's tiles are as wide as makes both its tiles and the edges in them a few times its
-    corners, whatever its shape.  ``odd`` with the edges of one tile decides every point of it:
+    corners, or ``FEWEST_TILES`` for one of fewer corners, whatever its shape: a polygon's tiles
+    then reach little beyond it, so that a point meets few polygons that don't hold it.  ``odd`` with the edges of one tile decides every point of it:
     it counts the edges elsewhere that lie right of the tile's lower left corner.  ``box`` is
     the ring's (w, e, s, n), ``held`` has the polygon's other columns.  Tiles without edges are kept where the polygon covers them.
     """
@@ -407,9 +410,8 @@ def polygon_tiles(polygons: DataFrame, ring: str) -> DataFrame:
         "edges", F.lit(0.0), lambda a, g: a + F.abs(g["x2"] - g["x1"]) + F.abs(g["y2"] - g["y1"])
     )
     far = F.greatest(*[F.abs(F.col(c)) for c in sides])
-    width = F.greatest(
-        F.sqrt((F.col("e") - F.col("w")) * (F.col("n") - F.col("s")) / F.size("c")), length / F.size("c"), far * 2.0**-50
-    )
+    parts = F.greatest(F.size("c"), F.lit(FEWEST_TILES))
+    width = F.greatest(F.sqrt((F.col("e") - F.col("w")) * (F.col("n") - F.col("s")) / parts), length / parts, far * 2.0**-46)
     # corners that all lie on one spot hold nothing
     rings = rings.where(length > 0).withColumn("_k", _steps(width)).withColumn("step", _power(F.col("_k")))
     key = ["_pid", "_k", "_tx", "_ty"]
@@ -480,9 +482,13 @@ def polygon_join(points, polygons, lat: str, lon: str, ring: str) -> DataFrame:
         right = ((g["x1"] > corner) & (g["y1"] > y)) != ((g["x2"] > corner) & (g["y2"] > y))
         return odd != (right != _crossing(y, x, g["x1"], g["y1"], g["x2"], g["y2"]))
 
-    met = left.join(tiles, ["_k", "_ty", "_tx"])
+    key = ["_k", "_ty", "_tx"]
+    # an explicit number keeps adaptive execution from merging rows that are about to meet many points
+    met = left.join(tiles.repartition(shuffle_width(tiles.sparkSession), *key), key)
     met = met.where(x.between(F.col("box.w"), F.col("box.e")) & y.between(F.col("box.s"), F.col("box.n")))
-    return met.where(F.aggregate("edges", F.col("odd"), flips)).select(*points.columns, *others)
+    # a tile without edges decides all its points
+    holds = F.when(F.size("edges") == 0, F.col("odd")).otherwise(F.aggregate("edges", F.col("odd"), flips))
+    return met.where(holds).select(*points.columns, *others)
 
 
 def tile_squares(tiles: DataFrame, tol: float = 1e-9) -> DataFrame:

@@ -153,6 +153,14 @@ def test_polygon_join_equals_the_rule_over_whole_rings(spark):
     assert SP.polygon_join(points, polys.where("name = 'none'"), "lat", "lon", "ring").count() == 0
 
 
+def test_tiles_of_a_short_ring_reach_little_beyond_it(spark):
+    ring = [{"lon": x, "lat": y} for x, y in [(30.0, 10.7), (30.7, 10.0), (30.0, 9.3), (29.3, 10.0)]]
+    polys = spark.createDataFrame([("diamond", ring)], "name string, ring array<struct<lon: double, lat: double>>")
+    tiles = SP.polygon_tiles(polys, "ring")
+    got = tiles.agg(F.sum(F.pow(F.lit(4.0), "_k")).alias("area"), F.count("*").alias("tiles"), F.count(F.when(F.size("edges") == 0, 1)).alias("whole")).first()
+    assert got["area"] < 3 * 0.98 and got["tiles"] < 3 * SP.FEWEST_TILES and got["whole"] > 0
+
+
 def test_a_long_ring_costs_a_point_the_edges_of_one_tile(spark):
     ring = [{"lon": x, "lat": y} for x, y in _rings()["coast"]]
     polys = spark.createDataFrame([("coast", ring)], "name string, ring array<struct<lon: double, lat: double>>")
