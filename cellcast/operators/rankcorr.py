@@ -23,7 +23,7 @@ from ..session import cut_lineage, shuffle_width
 from .wide import _matrix, doubles
 
 #: Ranks that a task holds at once, in a bin or in a block of rows.
-HELD = 1 << 22
+HELD = 1 << 20
 
 _VECTORS = ("total", "at_low", "at_high")
 _PLACE = "bin int, col int, before array<bigint>, low double, low_less array<bigint>, low_n array<bigint>, high double, high_less array<bigint>, high_n array<bigint>"
@@ -62,8 +62,18 @@ def _packed(present: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(ends), pa.py_buffer(bits.tobytes())])
 
 
+def _first(values: pa.Array) -> int:
+    """Where the bytes of an array of binary values begin."""
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    return int(np.frombuffer(values.buffers()[1], kind, 1, values.offset * np.dtype(kind).itemsize)[0])
+
+
 def _flags(packed: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    bits = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+    # no objects of one row each: all values are equally long and none is missing
+    parts = packed.chunks if isinstance(packed, pa.ChunkedArray) else [packed]
+    size = -(-width // 8)
+    held = [np.frombuffer(p.buffers()[2] or b"", np.uint8, len(p) * size, _first(p)) for p in parts if len(p)]
+    bits = np.concatenate([np.empty(0, np.uint8), *held]).reshape(-1, size)
     return np.unpackbits(bits, axis=1, count=width).astype(bool)
 
 

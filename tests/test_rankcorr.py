@@ -1,7 +1,10 @@
 """Rank correlations with gaps against pandas, and a plan that does not grow with the columns."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +87,17 @@ def test_empty_single_and_restricted(spark):
     df = spark.range(10).select(F.col("id").alias("a"), (F.col("id") % 3).alias("b"))
     got = P.spearman_pairs(df, ["a", "b"], F.col("id") < 3).first()
     assert got["r"] == pytest.approx(1)
+
+
+def test_flags_are_read_without_an_object_a_row():
+    rng = np.random.default_rng(3)
+    there = rng.random((200_000, 11)) < 0.5
+    packed = rankcorr._packed(there)
+    cut = pa.chunked_array([packed.slice(5, 7), packed.slice(0, 0), packed.slice(12)])
+    assert (rankcorr._flags(cut, 11) == there[5:]).all() and rankcorr._flags(packed.slice(0, 0), 11).shape == (0, 11)
+    tracemalloc.start()
+    rankcorr._flags(packed, 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the flags and their bits; a list of 200,000 byte strings takes over 8 MB more
+    assert peak < 8e6
