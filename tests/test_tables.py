@@ -8,6 +8,7 @@ from cellcast.operators import catalog as K
 from cellcast.operators import clean as CL
 from cellcast.operators import dataset as D
 from cellcast.operators import joins as J
+from cellcast.plans import table_queries as TQ
 from cellcast.sources import readers as RD
 from cellcast.sources import sinks as SK
 
@@ -79,6 +80,24 @@ def test_keyword_modes_and_table_agree(spark):
         assert a == b and [a["Lightning strike"], a["strike"], a["none of it"]] == want
 
 
+def test_weather_groups_a_bounded_number_in_a_task(spark):
+    class Given:
+        lineitem = spark.range(0, 1 << 20, 1, 2).select(
+            (F.col("id") % 1000).alias("l_suppkey"),
+            F.timestamp_seconds((F.col("id") / 1000).cast("long") * 86400).alias("l_shipdate"),
+            *[(F.col("id") % m).cast("double").alias(c) for m, c in ((17, "l_quantity"), (7, "l_tax"), (999, "l_extendedprice"))],
+        )
+
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        merged = J.merge_weather_vars(TQ._decoded(Given), ["erc", "tmmx"], ("date", "px"))
+        tasks = merged.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert sum(r["count"] for r in tasks) == 1 << 20 and max(r["count"] for r in tasks) < 300_000
+
+
 def test_gates(spark):
     cat = spark.createDataFrame([("a", "POST_FIRE_ONLY", True), ("b", "PRE", True), ("c", "PRE", False), ("d", "SAME_DAY_RISK", False)], "column string, availability string, is_constant boolean")
     got = {r["column"]: r["gate1_reason"] for r in K.gate_feasibility(cat).collect()}
