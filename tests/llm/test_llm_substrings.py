@@ -1,12 +1,15 @@
 """Exact substring removal against a count of all strings."""
 
 import hashlib
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from cellcast.llm import substrings
+from cellcast.llm.suffix import sparse_suffix_array
 
 
 def brute(texts, length):
@@ -81,3 +84,51 @@ def test_copies_only_and_empty_tables(spark):
     rows = {r.doc_id: r for r in substrings.repeat_digests(docs).collect()}
     assert all((rows[i].n_removed, rows[i].n_spans) == (1200, 1) for i in range(30)) and rows[99].n_removed == 0
     assert substrings.repeat_digests(docs.limit(0)).count() == 0
+
+
+def test_shards_are_compared_by_their_anchors_in_little_time():
+    """A megabyte of segments that share anchors; a suffix array of all of its bytes took 2.8 CPU seconds."""
+    rng = np.random.default_rng(6)
+    length, gram = 400, 64
+    stretches, anchors = [], []
+    for k in range(300):
+        # segments of an anchor agree around it, each up to its own places
+        middle = rng.integers(0, 40, 2 * length, np.uint8)
+        for _ in range(6):
+            made = rng.integers(0, 40, 2 * length, np.uint8)
+            a, b = rng.integers(0, length), rng.integers(length + gram, 2 * length)
+            made[a:b] = middle[a:b]
+            n = int(rng.integers(1, length - gram + 2))
+            into = int(rng.integers(n - 1, length - gram + 1))
+            stretches.append(made[length - into : length - into + n + length - 1].tobytes())
+            anchors.append(substrings.gram_hashes(middle[length : length + gram], gram).view(np.int64)[0])
+    again = [k % 50 == 7 for k in range(len(stretches))]
+    started = time.process_time()
+    got = substrings.repeated_ranges(stretches, np.array(anchors), again, length, gram)
+    took = time.process_time() - started
+    seen = Counter(s[i : i + length] for s in stretches for i in range(len(s) - length + 1))
+    for s, whole, ranges in zip(stretches, again, got):
+        places = {i for i in range(len(s) - length + 1) if whole or seen[s[i : i + length]] > 1}
+        assert {i for a, b in ranges for i in range(a, b)} == places
+    assert sum(map(len, stretches)) > 900_000 and any(n > 1 for n in seen.values())
+    assert took < 0.7
+
+
+def test_anchors_of_periodic_stretches_are_the_leftmost():
+    text = b"abcdefg" * 40 + b"x" * 90
+    (number, at, count, anchors) = (np.concatenate(c) for c in zip(*substrings.segments([text], 60, 9)))
+    stretches = [text[a : a + n + 59] for a, n in zip(at.tolist(), count.tolist())]
+    places = substrings.anchor_places(stretches, anchors, 60, 9)
+    hashes = substrings.gram_hashes(np.frombuffer(text, np.uint8), 9).view(np.int64)
+    for a, n, into, v in zip(at.tolist(), count.tolist(), places.tolist(), anchors.tolist()):
+        assert n - 1 <= into <= 60 - 9 and hashes[a + into] == v
+        assert v not in hashes[a : a + into].tolist()
+
+
+@pytest.mark.parametrize("suffixes", [[], [b""], [b"", b""], [b"ab\0", b"ab", b"", b"abc", b"ab"], [b"\0", b"\0\0", b"\0\1"]])
+def test_sparse_suffix_arrays_and_their_prefixes(suffixes):
+    order, shared = sparse_suffix_array(suffixes)
+    assert [suffixes[i] for i in order] == sorted(suffixes) and sorted(order.tolist()) == list(range(len(suffixes)))
+    own = sorted(suffixes)
+    plain = [len(os.path.commonprefix([a, b])) for a, b in zip(own, own[1:])]
+    assert shared.tolist() == [0, *plain][: len(own)]
